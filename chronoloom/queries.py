@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from chronoloom.operators import drift, instants
+from chronoloom.operators import anomalies, drift, instants
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -28,4 +28,9 @@ def p2_found(spark: SparkSession, d: str) -> DataFrame:
     return read.where(~F.col("canonical")).select("table_name", "rec_id", "time_field", "time_status", "ts_ns").distinct()
 
 
-QUERIES = {"p1_found": p1_found, "p1_consistent": p1_consistent, "p2_found": p2_found}
+def p7_found(spark: SparkSession, d: str) -> DataFrame:
+    flagged = anomalies.flag_readings(table(spark, d, "posts"), table(spark, d, "kind_fields"))
+    return flagged.select("post_id", "field_name", "case_kind").distinct()
+
+
+QUERIES = {"p1_found": p1_found, "p1_consistent": p1_consistent, "p2_found": p2_found, "p7_found": p7_found}
