@@ -103,7 +103,7 @@ def _tile(table: pa.Table, limits: dict, p: dict) -> pa.Table | None:
     impossible = (v < low) | (v > high) | np.isinf(v)
     repeats = np.append(False, v[1:] == v[:-1]) & ~begins
     stuck = charted & (run_lengths(~repeats) >= p["stuck_run"])
-    live = np.flatnonzero(charted & ~impossible)
+    live = np.flatnonzero(charted & ~impossible & ~stuck)
     suspect = np.zeros(len(v), bool)
     if len(live):
         new = np.append(True, sequence[live][1:] != sequence[live][:-1])

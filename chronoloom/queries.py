@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from chronoloom.operators import anomalies, drift, instants
+from chronoloom.operators import anomalies, drift, instants, trailing
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -28,9 +28,23 @@ def p2_found(spark: SparkSession, d: str) -> DataFrame:
     return read.where(~F.col("canonical")).select("table_name", "rec_id", "time_field", "time_status", "ts_ns").distinct()
 
 
+def _day_text() -> Column:
+    return F.date_format(F.date_from_unix_date("day"), "yyyy-MM-dd").alias("day_text")
+
+
+def p4_trailing(spark: SparkSession, d: str) -> DataFrame:
+    rows = trailing.trailing_totals(table(spark, d, "posts")).where(F.col("field_name").isNotNull())
+    return rows.select("index_name", "field_name", _day_text(), F.col("window_days").cast("long").alias("window_days"), "n_posts", "n_readings", F.round("total", 6).alias("total"), F.round("average", 6).alias("average"))
+
+
+def p4_found(spark: SparkSession, d: str) -> DataFrame:
+    rows = trailing.trailing_totals(table(spark, d, "posts"))
+    return rows.where(F.col("field_name").isNull() & (F.col("n_posts") == 0)).select("index_name", _day_text(), F.col("window_days").cast("long").alias("window_days"))
+
+
 def p7_found(spark: SparkSession, d: str) -> DataFrame:
     flagged = anomalies.flag_readings(table(spark, d, "posts"), table(spark, d, "kind_fields"))
     return flagged.select("post_id", "field_name", "case_kind").distinct()
 
 
-QUERIES = {"p1_found": p1_found, "p1_consistent": p1_consistent, "p2_found": p2_found, "p7_found": p7_found}
+QUERIES = {"p1_found": p1_found, "p1_consistent": p1_consistent, "p2_found": p2_found, "p4_found": p4_found, "p4_trailing": p4_trailing, "p7_found": p7_found}
