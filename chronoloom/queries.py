@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from chronoloom.operators import anomalies, drift, grid, instants, trailing
+from chronoloom.operators import anomalies, drift, grid, impute, instants, trailing
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -42,6 +42,14 @@ def p4_found(spark: SparkSession, d: str) -> DataFrame:
     return rows.where(F.col("field_name").isNull() & (F.col("n_posts") == 0)).select("index_name", _day_text(), F.col("window_days").cast("long").alias("window_days"))
 
 
+def p5_filled(spark: SparkSession, d: str) -> DataFrame:
+    return impute.fill_missing(table(spark, d, "posts"), table(spark, d, "points"), table(spark, d, "kind_fields"))
+
+
+def p5_found(spark: SparkSession, d: str) -> DataFrame:
+    return p5_filled(spark, d).select("table_name", "rec_id", "field_name")
+
+
 def p6_grid(spark: SparkSession, d: str) -> DataFrame:
     return grid.regular_grid(table(spark, d, "posts"), table(spark, d, "grid_requests"), table(spark, d, "kind_fields"))
 
@@ -55,4 +63,4 @@ def p7_found(spark: SparkSession, d: str) -> DataFrame:
     return flagged.select("post_id", "field_name", "case_kind").distinct()
 
 
-QUERIES = {"p1_found": p1_found, "p1_consistent": p1_consistent, "p2_found": p2_found, "p4_found": p4_found, "p4_trailing": p4_trailing, "p6_found": p6_found, "p6_grid": p6_grid, "p7_found": p7_found}
+QUERIES = {"p1_found": p1_found, "p1_consistent": p1_consistent, "p2_found": p2_found, "p4_found": p4_found, "p4_trailing": p4_trailing, "p5_found": p5_found, "p5_filled": p5_filled, "p6_found": p6_found, "p6_grid": p6_grid, "p7_found": p7_found}
