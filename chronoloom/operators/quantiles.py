@@ -1,0 +1,301 @@
+"""Percentiles of very large numeric columns from mergeable sketches: dyadic Count-sketches.
+
+A value is encoded in 32 bits that sort as the values do (sign, exponent and 20 bits of mantissa: a relative resolution of
+about 1e-6). For every binary resolution from ``EXACT_BITS`` to 32 bits a sketch counts the values in each dyadic
+interval: exactly at the coarsest, by a signed Count-sketch (``DEPTH`` rows of ``WIDTH`` counters, median of rows) at the
+finer ones. Sketches merge by addition, and a deletion is an addition of a negative count. A percentile is found by
+descending the resolutions: left if the rank lies in the left half, else right.
+
+Groups of at most ``SPARSE`` distinct codes are held as exact (code, count) rows, which merge by the same addition and are
+absorbed by a sketch where a group outgrows them; results then have no rank error at all. For larger groups the rank
+error stays below ``RANK_ERROR`` of the count (measured in the tests; the Count-sketch bound holds with high probability).
+
+Every partition sketches what it holds before anything is shuffled, so of a hot group only one sketch of bounded size per
+partition moves. Null, NaN and infinite values count nowhere; groups without values, and empty tables, give no rows.
+"""
+
+from __future__ import annotations
+
+import zlib
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from chronoloom.operators import tiling
+from chronoloom.operators.grid import DAY_US, bucket_number, requests_plan
+from chronoloom.operators.readings import chunks, codes_of, standing
+
+BITS = 32
+EXACT_BITS = 11
+WIDTH = 1024
+DEPTH = 5
+SPARSE = 4096
+RANK_ERROR = 0.01
+PERCENTILES = (0.01, 0.05, 0.25, 0.5, 0.75, 0.95, 0.99)
+LEVELS = BITS - EXACT_BITS
+_MULTIPLIERS = np.random.default_rng(20_250_203).integers(1, 2**63, (2, LEVELS, DEPTH), dtype="uint64") * np.uint64(2) + np.uint64(1)
+_WIDTH_SHIFT = np.uint64(64 - WIDTH.bit_length() + 1)
+ROWS = pa.schema([("scope", pa.string()), ("group_key", pa.string()), ("field_name", pa.string()), ("sketch", pa.binary()), ("code", pa.int64()), ("n", pa.int64()), ("p", pa.list_(pa.float64()))])
+ROWS_DDL = "scope string, group_key string, field_name string, sketch binary, code long, n long, p array<double>"
+KEYS = ("scope", "group_key", "field_name")
+
+
+def encode(v: np.ndarray) -> np.ndarray:
+    """Codes of finite values, in their order."""
+    bits = (np.asarray(v, "float64") + 0.0).view("uint64")
+    ordered = np.where(bits >> np.uint64(63), ~bits, bits | np.uint64(1 << 63))
+    return (ordered >> np.uint64(64 - BITS)).astype("int64")
+
+
+def decode(code: np.ndarray) -> np.ndarray:
+    """The value in the middle of a code's interval."""
+    ordered = (np.asarray(code).astype("uint64") << np.uint64(64 - BITS)) | np.uint64(1 << (63 - BITS))
+    exact = (np.asarray(code).astype("uint64") << np.uint64(64 - BITS)) == np.uint64(1 << 63)
+    bits = np.where(ordered >> np.uint64(63), ordered & np.uint64((1 << 63) - 1), ~ordered)
+    return np.where(exact, 0.0, bits.view("float64"))
+
+
+class DyadicSketch:
+    """Counts of codes at every binary resolution; see the module's text."""
+
+    def __init__(self, coarse: np.ndarray | None = None, table: np.ndarray | None = None):
+        self.coarse = np.zeros(1 << EXACT_BITS, "int64") if coarse is None else coarse
+        self.table = np.zeros((LEVELS, DEPTH, WIDTH), "int64") if table is None else table
+
+    @staticmethod
+    def _place(level: int, prefix: np.ndarray) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+        x = prefix.astype("uint64") + np.uint64(1)
+        for d in range(DEPTH):
+            mixed = x * _MULTIPLIERS[0, level, d]
+            mixed ^= mixed >> np.uint64(29)
+            mixed *= _MULTIPLIERS[1, level, d]
+            yield d, (mixed >> _WIDTH_SHIFT).astype("int64"), 1 - 2 * ((mixed >> np.uint64(20)) & np.uint64(1)).astype("int64")
+
+    def add(self, codes: np.ndarray, counts: np.ndarray) -> DyadicSketch:
+        """Adds counts (negative to delete) of codes; in place."""
+        order = np.argsort(codes, kind="stable")
+        codes, counts = codes[order], counts[order]
+        for level in reversed(range(LEVELS)):  # finest first: each coarser level has fewer intervals to add
+            prefix = codes >> (LEVELS - 1 - level)
+            first = np.flatnonzero(np.append(True, prefix[1:] != prefix[:-1])) if len(prefix) else np.zeros(0, int)
+            if not len(first):
+                return self
+            # codes now hold this level's intervals, shifted back so that the next level shifts one bit more
+            codes, counts = codes[first], np.add.reduceat(counts, first)
+            prefix = prefix[first]
+            for d, at, sign in self._place(level, prefix):
+                self.table[level, d] += np.bincount(at, weights=sign * counts, minlength=WIDTH).astype("int64")
+        np.add.at(self.coarse, codes >> LEVELS, counts)
+        return self
+
+    def merge(self, other: DyadicSketch) -> DyadicSketch:
+        self.coarse += other.coarse
+        self.table += other.table
+        return self
+
+    @property
+    def n(self) -> int:
+        return int(self.coarse.sum())
+
+    def _estimate(self, level: int, prefix: np.ndarray) -> np.ndarray:
+        return np.median([self.table[level, d, at] * sign for d, at, sign in self._place(level, prefix)], axis=0)
+
+    def codes_at(self, ranks: np.ndarray) -> np.ndarray:
+        """Codes whose ranks (from 0) are about those given."""
+        upto = np.cumsum(self.coarse)
+        prefix = np.minimum(np.searchsorted(upto, ranks, side="right"), len(upto) - 1)
+        rest = ranks - (upto[prefix] - self.coarse[prefix])
+        size = self.coarse[prefix].astype(float)
+        for level in range(LEVELS):
+            left = prefix << 1
+            inside = np.clip(self._estimate(level, left), 0, size)
+            right = rest >= inside
+            prefix = left + right
+            rest = np.where(right, rest - inside, rest)
+            size = np.where(right, size - inside, inside)
+        return prefix
+
+    def quantiles(self, q) -> np.ndarray:
+        return decode(self.codes_at(np.maximum(np.ceil(np.asarray(q) * self.n) - 1, 0)))
+
+    def to_bytes(self) -> bytes:
+        return zlib.compress(self.coarse.astype("<i8").tobytes() + self.table.astype("<i8").tobytes(), 1)
+
+    @classmethod
+    def from_bytes(cls, data: bytes) -> DyadicSketch:
+        flat = np.frombuffer(zlib.decompress(data), "<i8").copy()
+        return cls(flat[: 1 << EXACT_BITS], flat[1 << EXACT_BITS :].reshape(LEVELS, DEPTH, WIDTH))
+
+
+def _runs(*columns: np.ndarray) -> np.ndarray:
+    change = np.zeros(len(columns[0]), bool)
+    if len(change):
+        change[0] = True
+        for c in columns:
+            change[1:] |= c[1:] != c[:-1]
+    return np.flatnonzero(change)
+
+
+def _compact(keys: list[pa.Array], group: np.ndarray, codes: np.ndarray, counts: np.ndarray, final: bool, sketches: dict[int, DyadicSketch], q: tuple[float, ...]) -> pa.Table:
+    """Rows of ROWS for groups of codes: partial (codes or a sketch), or final (percentiles)."""
+    order = np.lexsort((codes, group))
+    group, codes, counts = group[order], codes[order], counts[order]
+    first = _runs(group, codes)
+    group, codes, counts = group[first], codes[first], np.add.reduceat(counts, first) if len(first) else counts[:0]
+    alive = counts != 0
+    group, codes, counts = group[alive], codes[alive], counts[alive]
+    begins = _runs(group)
+    ids, sizes = group[begins], np.diff(np.append(begins, len(group)))
+    big = {int(g): slice(b, b + s) for g, b, s in zip(ids, begins, sizes) if s > SPARSE or int(g) in sketches}
+    for g, rows in big.items():
+        sketches.setdefault(g, DyadicSketch()).add(codes[rows], counts[rows])
+    small = np.isin(group, np.fromiter(sketches, "int64", len(sketches)), invert=True)
+    group, codes, counts = group[small], codes[small], counts[small]
+    dense = [(g, s) for g, s in sorted(sketches.items()) if s.n > 0 or not final]
+    if not final:
+        at = pa.array(np.append(group, [g for g, _ in dense]).astype("int64"))
+        blank = pa.nulls(len(dense), pa.int64())
+        return pa.table([*(k.take(at) for k in keys), pa.concat_arrays([pa.nulls(len(group), pa.binary()), pa.array([s.to_bytes() for _, s in dense], pa.binary())]), pa.concat_arrays([pa.array(codes, pa.int64()), blank]), pa.concat_arrays([pa.array(counts, pa.int64()), blank]), pa.nulls(len(at), pa.list_(pa.float64()))], schema=ROWS)
+    begins = _runs(group)
+    ids = group[begins]
+    upto = np.cumsum(counts)
+    before = upto[begins] - counts[begins] if len(begins) else upto[:0]
+    totals = np.diff(np.append(before, upto[-1] if len(upto) else 0))
+    found = np.zeros((len(ids), len(q)))
+    for k, x in enumerate(q):
+        rank = np.maximum(np.ceil(x * totals), 1) + before
+        found[:, k] = decode(codes[np.minimum(np.searchsorted(upto, rank, side="left"), max(0, len(codes) - 1))]) if len(ids) else 0
+    found = np.concatenate([found, *(s.quantiles(q)[None, :] for _, s in dense)]) if dense else found
+    at = np.append(ids, [g for g, _ in dense]).astype("int64")
+    n = np.append(totals, [s.n for _, s in dense]).astype("int64")
+    lists = pa.ListArray.from_arrays(pa.array(np.arange(len(at) + 1) * len(q), pa.int32()), pa.array(found.ravel()))
+    return pa.table([*(k.take(pa.array(at)) for k in keys), pa.nulls(len(at), pa.binary()), pa.nulls(len(at), pa.int64()), pa.array(n), lists], schema=ROWS)
+
+
+def _groups(table: pa.Table) -> tuple[np.ndarray, list[pa.Array]]:
+    """A number for each row's key, and the keys by number."""
+    coded = [codes_of(table.column(k).combine_chunks()) for k in KEYS]
+    joint = np.zeros(table.num_rows, "int64")
+    for codes, values in coded:
+        joint = joint * max(1, len(values)) + codes
+    _, first, group = np.unique(joint, return_index=True, return_inverse=True)
+    return group.reshape(-1), [table.column(k).combine_chunks().take(pa.array(first)) for k in KEYS]
+
+
+def _batches(table: pa.Table) -> Iterator[pa.RecordBatch]:
+    yield from table.combine_chunks().to_batches(max_chunksize=20_000)
+
+
+def _partial(q: tuple[float, ...]):
+    """mapInArrow from (scope, group_key, field_name, v, n) to partial rows; n is negative for deletions."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, size = [], 0
+
+        def flush() -> Iterator[pa.RecordBatch]:
+            table = pa.Table.from_batches(held).combine_chunks()
+            v = table.column("v").to_numpy(zero_copy_only=False)
+            keep = np.isfinite(v)
+            table = table.filter(pa.array(keep))
+            group, keys = _groups(table)
+            yield from _batches(_compact(keys, group, encode(v[keep]), table.column("n").to_numpy(), False, {}, q))
+
+        for batch in batches:
+            held.append(batch)
+            size += batch.num_rows
+            if size >= 500_000:
+                yield from flush()
+                held, size = [], 0
+        if size:
+            yield from flush()
+
+    return run
+
+
+def _merge(q: tuple[float, ...], final: bool, wider: dict[str, str]):
+    """mapInArrow over partial rows sorted by key: merges each group; with ``wider`` also partial rows of the wider scopes."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table in chunks(batches, KEYS, 100_000):
+            done = table.column("p").is_valid()
+            if (passing := table.filter(done)).num_rows:
+                yield from _batches(passing)
+            table = table.filter(pa.compute.invert(done)).combine_chunks()
+            if not table.num_rows:
+                continue
+            group, keys = _groups(table)
+            dense = np.asarray(table.column("sketch").is_valid().combine_chunks())
+            sketches: dict[int, DyadicSketch] = {}
+            blobs = table.column("sketch")
+            for r in np.flatnonzero(dense):
+                s = DyadicSketch.from_bytes(blobs[int(r)].as_py())
+                sketches[int(group[r])] = sketches[int(group[r])].merge(s) if int(group[r]) in sketches else s
+            codes = table.column("code").fill_null(0).to_numpy()[~dense]
+            counts = table.column("n").fill_null(0).to_numpy()[~dense]
+            own = group[~dense]
+            if wider:
+                scopes, series = keys[0].to_pylist(), keys[1].to_pylist()
+                names = [(wider[s], k.split(".", 1)[0], f) if s in wider else None for s, k, f in zip(scopes, series, keys[2].to_pylist())]
+                distinct = sorted({x for x in names if x})
+                number = {x: i for i, x in enumerate(distinct)}
+                to = np.array([number[x] if x else -1 for x in names])
+                merged: dict[int, DyadicSketch] = {}
+                for g, s in sketches.items():
+                    if to[g] >= 0:
+                        merged.setdefault(int(to[g]), DyadicSketch()).merge(s)
+                up = to[own] >= 0
+                wide_keys = [pa.array([x[k] for x in distinct], pa.string()) for k in range(3)]
+                yield from _batches(_compact(wide_keys, to[own][up], codes[up], counts[up], False, merged, q))
+            yield from _batches(_compact(keys, own, codes, counts, True, sketches, q))
+
+    return run
+
+
+def percentiles(values: DataFrame, q: tuple[float, ...] = PERCENTILES, wider: dict[str, str] | None = None) -> DataFrame:
+    """Percentiles of each group: scope, group_key, field_name, n_values, p (in the order of q).
+
+    values: scope, group_key, field_name, v, n (1, or -1 to delete a value counted elsewhere). wider: scopes whose
+    groups are also merged, by the first part of their key, into the groups of another scope.
+    """
+    by_key = lambda df: df.repartition(*KEYS).sortWithinPartitions(*KEYS)
+    merged = by_key(values.select(*KEYS, "v", "n").mapInArrow(_partial(q), ROWS_DDL)).mapInArrow(_merge(q, True, wider or {}), ROWS_DDL)
+    if wider:
+        merged = by_key(merged).mapInArrow(_merge(q, True, {}), ROWS_DDL)
+    return merged.select(*KEYS, F.col("n").alias("n_values"), "p")
+
+
+def reading_percentiles(posts: DataFrame, requests: DataFrame, queries: DataFrame, rollups: DataFrame, q: tuple[float, ...] = PERCENTILES) -> DataFrame:
+    """Percentiles of standing readings per series and field, per kind and field, per bucket of the requests, and of rollup sums.
+
+    Scopes and group keys: ``series`` (index_name), ``kind``, ``bucket`` (request and bucket start in us), ``rollup``
+    (index_name and level). Requests are those of ``requests`` in their range, and of ``queries`` every series and group
+    that has posts, over all time, each field.
+    """
+
+
+    rows = standing(posts)
+    value = F.explode("value").alias("field_name", "v")
+    series = rows.select(F.lit("series").alias("scope"), F.col("index_name").alias("group_key"), value)
+    us = F.unix_micros(F.col("ts").cast("timestamp"))
+    # Requests with a range, and queries' groups as requests over all time; both meet posts by series and day or series.
+    ranged = requests_plan(requests).withColumn("name", F.concat(F.lit("grid "), "grid_id"))
+    ranged, few = tiling.small(posts.sparkSession, ranged)
+    send = F.broadcast if few else (lambda df: df)
+    day = lambda x: F.floor(x / DAY_US).cast("int")
+    covered = ranged.withColumn("day", F.explode(F.sequence(day(F.col("begin_us")), day(F.col("end_us") - 1))))
+    met = rows.withColumns({"day": day(us), "us": us}).join(send(covered), ["index_name", "day"]).where((F.col("us") >= F.col("begin_us")) & (F.col("us") < F.col("end_us")))
+    number = bucket_number(F.col("ts"), F.col("step_us"), F.col("months"))
+    start = F.when(F.col("months").isNull(), number * F.col("step_us")).otherwise(F.unix_micros(F.add_months(F.lit("1970-01-01").cast("date"), (number * F.col("months")).cast("int")).cast("timestamp")))
+    bucket = lambda df, v: df.select(F.lit("bucket").alias("scope"), F.concat_ws(" ", "name", start.cast("string")).alias("group_key"), *v)
+    in_grid = bucket(met, ["field_name", F.try_element_at("value", F.col("field_name")).alias("v")])
+    asked = queries.select("index_name", F.lower(F.trim("group_text")).alias("group_spec")).distinct().withColumns({"grid_id": F.lit(0).cast("long"), "field_name": F.lit(""), "from_time": F.lit("1970-01-01").cast("timestamp"), "to_time": F.lit("1970-01-02").cast("timestamp")})
+    asked = requests_plan(asked).select("index_name", "step_us", "months", F.concat_ws(" ", F.lit("query"), "index_name", F.coalesce(F.col("step_us"), F.col("months") * -1).cast("string")).alias("name")).distinct()
+    in_query = bucket(rows.join(asked, "index_name"), [value])
+    last = rollups.where(F.col("bucket_start").isNotNull() & F.col("level_name").isNotNull())
+    last = standing(last, ("index_name", "level_name", "bucket_start", "field_name"), "rollup_id", ("sum_v",))
+    sums = last.select(F.lit("rollup").alias("scope"), F.concat_ws(" ", "index_name", "level_name").alias("group_key"), "field_name", F.col("sum_v").alias("v"))
+    every = series.unionByName(in_grid).unionByName(in_query).unionByName(sums)
+    return percentiles(every.withColumn("n", F.lit(1).cast("long")), q, {"series": "kind"})

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from chronoloom.operators import anomalies, drift, grid, impute, instants, trailing
+from chronoloom.operators import anomalies, drift, grid, impute, instants, quantiles, trailing
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -28,6 +28,12 @@ def p2_found(spark: SparkSession, d: str) -> DataFrame:
     return read.where(~F.col("canonical")).select("table_name", "rec_id", "time_field", "time_status", "ts_ns").distinct()
 
 
+def p3_percentiles(spark: SparkSession, d: str) -> DataFrame:
+    rows = quantiles.reading_percentiles(*(table(spark, d, t) for t in ("posts", "grid_requests", "raw_queries", "rollups")))
+    named = [F.col("p")[k].alias(f"p{round(100 * q):02d}") for k, q in enumerate(quantiles.PERCENTILES)]
+    return rows.select("scope", "group_key", "field_name", "n_values", *named)
+
+
 def _day_text() -> Column:
     return F.date_format(F.date_from_unix_date("day"), "yyyy-MM-dd").alias("day_text")
 
@@ -63,4 +69,4 @@ def p7_found(spark: SparkSession, d: str) -> DataFrame:
     return flagged.select("post_id", "field_name", "case_kind").distinct()
 
 
-QUERIES = {"p1_found": p1_found, "p1_consistent": p1_consistent, "p2_found": p2_found, "p4_found": p4_found, "p4_trailing": p4_trailing, "p5_found": p5_found, "p5_filled": p5_filled, "p6_found": p6_found, "p6_grid": p6_grid, "p7_found": p7_found}
+QUERIES = {"p1_found": p1_found, "p1_consistent": p1_consistent, "p2_found": p2_found, "p3_percentiles": p3_percentiles, "p4_found": p4_found, "p4_trailing": p4_trailing, "p5_found": p5_found, "p5_filled": p5_filled, "p6_found": p6_found, "p6_grid": p6_grid, "p7_found": p7_found}
