@@ -21,6 +21,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -223,7 +224,7 @@ def _merge(q: tuple[float, ...], final: bool, wider: dict[str, str]):
             done = table.column("p").is_valid()
             if (passing := table.filter(done)).num_rows:
                 yield from _batches(passing)
-            table = table.filter(pa.compute.invert(done)).combine_chunks()
+            table = table.filter(pc.invert(done)).combine_chunks()
             if not table.num_rows:
                 continue
             group, keys = _groups(table)

@@ -6,6 +6,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -76,7 +77,7 @@ def chunks(batches: Iterator[pa.RecordBatch], keys: tuple[str, ...], rows: int)
         cut = table.num_rows
         tail = np.ones(table.num_rows, bool)
         for k, v in zip(keys, last):
-            tail &= np.asarray(pa.compute.equal(table.column(k), v).combine_chunks()) if v.is_valid else np.asarray(table.column(k).is_null().combine_chunks())
+            tail &= np.asarray(pc.equal(table.column(k), v).combine_chunks()) if v.is_valid else np.asarray(table.column(k).is_null().combine_chunks())
         cut -= int(tail[::-1].argmin()) if not tail.all() else table.num_rows
         if cut:
             yield table.slice(0, cut)
