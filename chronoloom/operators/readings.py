@@ -73,12 +73,13 @@ def chunks(batches: Iterator[pa.RecordBatch], keys: tuple[str, ...], rows: int)
         if size < rows:
             continue
         table = pa.Table.from_batches(held).combine_chunks()
-        last = [table.column(k)[-1] for k in keys]
-        cut = table.num_rows
-        tail = np.ones(table.num_rows, bool)
-        for k, v in zip(keys, last):
-            tail &= np.asarray(pc.equal(table.column(k), v).combine_chunks()) if v.is_valid else np.asarray(table.column(k).is_null().combine_chunks())
-        cut -= int(tail[::-1].argmin()) if not tail.all() else table.num_rows
+        tail = np.ones(size, bool)
+        for k in keys:
+            column = table.column(k)
+            last = column[-1]
+            same = pc.fill_null(pc.equal(column, last), False) if last.is_valid else column.is_null()
+            tail &= same.to_numpy()
+        cut = size - int(tail[::-1].argmin()) if not tail.all() else 0
         if cut:
             yield table.slice(0, cut)
         rest = table.slice(cut)
