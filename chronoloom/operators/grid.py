@@ -186,7 +186,10 @@ def _fill(table: pa.Table, limits: dict) -> pa.Table | None:
 def regular_grid(posts: DataFrame, requests: DataFrame, kind_fields: DataFrame) -> DataFrame:
     """Columns of OUT: one row per bucket of each request."""
     spark = posts.sparkSession
-    plan, few = tiling.small(spark, requests_plan(requests))
+    # Requests and the days that they cover go to every task only where their counted rows are few.
+    day = lambda us: F.floor(us / DAY_US).cast("int")
+    plan = requests_plan(requests)
+    covered, few = tiling.small(spark, plan.withColumn("day", F.explode(F.sequence(day(F.col("begin_us")), day(F.col("end_us") - 1)))))
     send = F.broadcast if few else (lambda df: df)
     fields = plan.select("index_name", "field_name").where(F.col("index_name").isNotNull() & F.col("field_name").isNotNull()).distinct()
     asked = posts.join(send(fields.select("index_name").distinct()), "index_name", "left_semi")
@@ -194,8 +197,6 @@ def regular_grid(posts: DataFrame, requests: DataFrame, kind_fields: DataFrame)
     limits_table = kind_fields.where(F.col("kind").isNotNull() & F.col("field_name").isNotNull()).groupBy(F.lower(F.trim("kind")).alias("kind"), "field_name").agg(F.min("low_limit").alias("low_limit"), F.max("high_limit").alias("high_limit"))
     models = seasonal_models(rows, send(fields), limits_table)
 
-    day = lambda us: F.floor(us / DAY_US).cast("int")
-    covered = plan.withColumn("day", F.explode(F.sequence(day(F.col("begin_us")), day(F.col("end_us") - 1))))
     v = F.try_element_at("value", F.col("field_name"))
     met = rows.withColumn("day", day(_us(F.col("ts")))).join(send(covered), ["index_name", "day"]).where((_us(F.col("ts")) >= F.col("begin_us")) & (_us(F.col("ts")) < F.col("end_us")))
     met = met.select("grid_id", "ts", v.alias("v"), bucket_number(F.col("ts"), F.col("step_us"), F.col("months")).alias("bucket"), F.floor((bucket_number(F.col("ts"), F.col("step_us"), F.col("months")) - F.col("first")) / SPAN).alias("span"))

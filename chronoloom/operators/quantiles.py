@@ -283,10 +283,9 @@ def reading_percentiles(posts: DataFrame, requests: DataFrame, queries: DataFram
     us = F.unix_micros(F.col("ts").cast("timestamp"))
     # Requests with a range, and queries' groups as requests over all time; both meet posts by series and day or series.
     ranged = requests_plan(requests).withColumn("name", F.concat(F.lit("grid "), "grid_id"))
-    ranged, few = tiling.small(posts.sparkSession, ranged)
-    send = F.broadcast if few else (lambda df: df)
     day = lambda x: F.floor(x / DAY_US).cast("int")
-    covered = ranged.withColumn("day", F.explode(F.sequence(day(F.col("begin_us")), day(F.col("end_us") - 1))))
+    covered, few = tiling.small(posts.sparkSession, ranged.withColumn("day", F.explode(F.sequence(day(F.col("begin_us")), day(F.col("end_us") - 1)))))
+    send = F.broadcast if few else (lambda df: df)
     met = rows.withColumns({"day": day(us), "us": us}).join(send(covered), ["index_name", "day"]).where((F.col("us") >= F.col("begin_us")) & (F.col("us") < F.col("end_us")))
     number = bucket_number(F.col("ts"), F.col("step_us"), F.col("months"))
     start = F.when(F.col("months").isNull(), number * F.col("step_us")).otherwise(F.unix_micros(F.add_months(F.lit("1970-01-01").cast("date"), (number * F.col("months")).cast("int")).cast("timestamp")))
