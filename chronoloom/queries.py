@@ -70,3 +70,40 @@ def p7_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 QUERIES = {"p1_found": p1_found, "p1_consistent": p1_consistent, "p2_found": p2_found, "p3_percentiles": p3_percentiles, "p4_found": p4_found, "p4_trailing": p4_trailing, "p5_found": p5_found, "p5_filled": p5_filled, "p6_found": p6_found, "p6_grid": p6_grid, "p7_found": p7_found}
+
+_STANDING = "SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY index_name, ts ORDER BY post_id DESC) AS rn FROM posts WHERE index_name IS NOT NULL AND ts IS NOT NULL) WHERE rn = 1"
+_TRAILING = """
+WITH st AS (SELECT index_name, ts, max(post_id) AS post_id FROM posts WHERE index_name IS NOT NULL AND ts IS NOT NULL GROUP BY index_name, ts),
+sp AS (SELECT p.index_name, CAST(p.ts AS DATE) AS d, p.value FROM posts p JOIN st USING (index_name, ts, post_id)),
+days AS (SELECT index_name, CAST(unnest(generate_series(min(d), max(d), INTERVAL 1 DAY)) AS DATE) AS d FROM sp GROUP BY index_name),
+np AS (SELECT index_name, d, count(*) AS n FROM sp GROUP BY index_name, d),
+cells AS (SELECT index_name, d, unnest(map_keys(value)) AS f, unnest(map_values(value)) AS v FROM sp WHERE value IS NOT NULL),
+daily AS (SELECT index_name, f, d, count(v) FILTER (WHERE isfinite(v)) AS n, sum(v) FILTER (WHERE isfinite(v)) AS s FROM cells GROUP BY index_name, f, d),
+fields AS (SELECT DISTINCT index_name, f FROM daily),
+grid AS (SELECT days.index_name, f, days.d, coalesce(np.n, 0) AS np, coalesce(daily.n, 0) AS n, coalesce(daily.s, 0) AS s FROM days JOIN fields USING (index_name) LEFT JOIN np USING (index_name, d) LEFT JOIN daily USING (index_name, f, d)),
+r AS (SELECT index_name, f, d, w, CASE w WHEN 7 THEN sum(np) OVER w7 ELSE sum(np) OVER w30 END AS np, CASE w WHEN 7 THEN sum(n) OVER w7 ELSE sum(n) OVER w30 END AS n, CASE w WHEN 7 THEN sum(s) OVER w7 ELSE sum(s) OVER w30 END AS s
+ FROM grid CROSS JOIN (VALUES (7), (30)) AS ws(w)
+ WINDOW w7 AS (PARTITION BY index_name, f, w ORDER BY d ROWS BETWEEN 6 PRECEDING AND CURRENT ROW), w30 AS (PARTITION BY index_name, f, w ORDER BY d ROWS BETWEEN 29 PRECEDING AND CURRENT ROW))
+"""
+ORACLE_SQL = {
+    "p4_trailing": _TRAILING + "SELECT index_name, f AS field_name, strftime(d, '%Y-%m-%d') AS day_text, CAST(w AS BIGINT) AS window_days, CAST(np AS BIGINT) AS n_posts, CAST(n AS BIGINT) AS n_readings, round(s, 6) AS total, CASE WHEN n > 0 THEN round(s / n, 6) END AS average FROM r",
+    "p4_found": f"""
+WITH sp AS (SELECT DISTINCT index_name, CAST(ts AS DATE) AS d FROM ({_STANDING})),
+days AS (SELECT index_name, CAST(unnest(generate_series(min(d), max(d), INTERVAL 1 DAY)) AS DATE) AS d FROM sp GROUP BY index_name)
+SELECT index_name, strftime(d, '%Y-%m-%d') AS day_text, CAST(w AS BIGINT) AS window_days FROM days CROSS JOIN (VALUES (7), (30)) AS ws(w)
+WHERE NOT EXISTS (SELECT 1 FROM sp WHERE sp.index_name = days.index_name AND sp.d <= days.d AND sp.d > days.d - CAST(w AS INTEGER))
+""",
+    "p5_found": f"""
+WITH st AS (SELECT 'posts' AS table_name, post_id AS rec_id, index_name, value FROM ({_STANDING})
+ UNION ALL SELECT 'points', point_id, index_name, value FROM (SELECT *, row_number() OVER (PARTITION BY index_name, ts_ns ORDER BY point_id DESC) AS rn FROM points WHERE index_name IS NOT NULL AND ts_ns IS NOT NULL) WHERE rn = 1),
+x AS (SELECT table_name, rec_id, field_name, element_at(value, field_name)[1] AS v, low_limit, high_limit FROM st JOIN kind_fields ON split_part(index_name, '.', 1) = kind)
+SELECT table_name, rec_id, field_name FROM x WHERE v IS NULL OR isnan(v) OR (table_name = 'points' AND (v < low_limit OR v > high_limit))
+""",
+    "p6_found": f"""
+WITH g AS (SELECT *, CAST(coalesce(nullif(regexp_extract(group_spec, '^([0-9]+)', 1), ''), '1') AS BIGINT) * CASE regexp_extract(group_spec, '([a-z]+?)s?$', 1) WHEN 'second' THEN 1000000 WHEN 'minute' THEN 60000000 WHEN 'hour' THEN 3600000000 WHEN 'day' THEN 86400000000 END AS step FROM grid_requests WHERE from_time IS NOT NULL AND to_time IS NOT NULL),
+b AS (SELECT grid_id, index_name, field_name, step, unnest(generate_series(epoch_us(from_time) // step, (epoch_us(to_time) - 1) // step)) * step AS bucket_us FROM g),
+r AS (SELECT index_name, epoch_us(ts) AS us, unnest(map_keys(value)) AS field_name, unnest(map_values(value)) AS v FROM ({_STANDING}) WHERE value IS NOT NULL),
+full_b AS (SELECT DISTINCT g.grid_id, r.us // g.step * g.step AS bucket_us FROM g JOIN r ON r.index_name = g.index_name AND r.field_name = g.field_name AND r.v IS NOT NULL AND NOT isnan(r.v))
+SELECT b.grid_id, b.bucket_us FROM b LEFT JOIN full_b USING (grid_id, bucket_us) WHERE full_b.grid_id IS NULL
+""",
+}
