@@ -176,7 +176,8 @@ def schema_versions(profiles: DataFrame) -> DataFrame:
 
 def _distance(a: dict, b: dict) -> float | None:
     """How far two fields' contents lie apart; None if they don't hold the same quantity."""
-    words = lambda x: None if x["words"] is None or any(w is None for w in x["words"]) else list(x["words"])
+    # Nulls in an array of integers come as NaN.
+    words = lambda x: None if x["words"] is None or any(w is None or w != w for w in x["words"]) else list(x["words"])
     wa, wb = words(a), words(b)
     alike = sum(x == y for x, y in zip(wa, wb)) / HASHES if wa and wb else None
     if a["level"] is not None and b["level"] is not None:

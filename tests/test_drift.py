@@ -1,0 +1,83 @@
+"""Changes between files against a plain reading of their definition."""
+
+import json
+from collections import Counter, defaultdict
+
+import pytest
+
+from chronoloom.operators import drift as D
+from tests.conftest import DATA
+from tests.oracle import duck
+
+POSTS = "post_id long, feed string, file_no long, value_text string, file string"
+QUERIES = "query_id long, feed string, file_no long, fields_text string"
+
+
+def changes(spark, posts=(), queries=()):
+    p = spark.createDataFrame([(k, f, n, t, "clash") for k, (f, n, t) in enumerate(posts)], POSTS)
+    q = spark.createDataFrame([(k, f, n, t) for k, (f, n, t) in enumerate(queries)], QUERIES)
+    return sorted(tuple(r) for r in D.drift_report(p, q).select("feed", "file_no", "change_kind", "field_from", "field_to").collect())
+
+
+def file(feed, no, *records):
+    return [(feed, no, r if isinstance(r, str) or r is None else json.dumps(r)) for r in records]
+
+
+def test_added_removed_renamed_retyped(spark):
+    posts = [
+        *file("f", 0, {"a": 10.0, "b": 1}, {"a": 11.0, "b": 2}, {"a": 10.5}),
+        *file("f", 2, {"a2": 10.2, "b": "1"}, {"a2": 10.7, "b": "2"}, {"a2": None}),
+        *file("f", 3, {"a2": 10.1, "c": 5000.0}, {"a2": 10.1, "c": 5001.0}),
+    ]
+    assert changes(spark, posts) == [("f", 2, "renamed", "a", "a2"), ("f", 2, "retyped", "b", "b"), ("f", 3, "added", "", "c"), ("f", 3, "removed", "b", "")]
+
+
+def test_a_fifth_carries_and_broken_json_counts_as_a_record(spark):
+    sparse = [{"a": 1, "s": 7}] + [{"a": 1}] * 4
+    assert ("f", 1, "added", "", "s") in changes(spark, [*file("f", 0, {"a": 1}), *file("f", 1, *sparse)])
+    assert changes(spark, [*file("f", 0, {"a": 1}), *file("f", 1, *sparse, '{"a": 1,', None, "")]) == []
+    assert changes(spark, [*file("f", 0, {"a": 1}), *file("f", 1, "[1]", "nope", None)]) == [("f", 1, "removed", "a", "")]
+
+
+def test_queries_have_entries_and_a_container(spark):
+    words = [{"x": {"reducer": w}} for w in ("max", "min", "avg", "sum")]
+    renamed = [{"x": {"fn": w}, "y": {"fn": "sum"}} for w in ("max", "min", "avg", "sum")]
+    arrays = [[{"field": "x", "fn": w}] for w in ("max", "min", "avg", "sum")]
+    assert changes(spark, queries=[*file("q", 0, *words), *file("q", 1, *renamed), *file("q", 2, *arrays)]) == [("q", 1, "renamed", "reducer", "fn"), ("q", 2, "added", "", "field"), ("q", 2, "retyped", "fields", "fields")]
+
+
+def test_migration_gives_one_schema(spark):
+    posts = [*file("f", 0, {"a": 10.0}), *file("f", 1, {"b": "10.5"}, {"b": [10.4]}, "broken"), *file("f", 2, {"c": 10.1, "d": True}), *file(None, 0, {"z": 1})]
+    p = spark.createDataFrame([(k, f, n, t, "") for k, (f, n, t) in enumerate(posts)], POSTS)
+    rows = {r.rec_id: r for r in D.consistent_table(p, spark.createDataFrame([], QUERIES)).collect()}
+    assert len(rows) == 6
+    assert [rows[k].numbers.get("c") for k in (0, 1, 2, 4)] == [10.0, 10.5, 10.4, 10.1]
+    assert "rename:a>c" in rows[0].applied and "cast:c" in rows[1].applied and "default:d" in rows[0].applied
+    assert rows[3].read_status == "broken" and rows[5].numbers == {"z": 1.0}
+    assert [rows[k].schema_version for k in (0, 1, 4)] == [1, 2, 3]
+
+
+def test_empty(spark):
+    assert changes(spark) == []
+
+
+@pytest.mark.parametrize("table, key, column, kind", [("raw_posts", "post_id", "value_text", "post"), ("raw_queries", "query_id", "fields_text", "query")])
+def test_fields_of_files_on_the_tables(spark, table, key, column, kind):
+    """Added, removed and renamed together give the difference of the files' fields."""
+    d = f"{DATA}/sf0.001"
+    files = defaultdict(list)
+    for feed, no, text in duck(d).execute(f"SELECT feed, file_no, {column} FROM {table}").fetchall():
+        files[feed, no].append(text)
+    has = {}
+    for k, texts in files.items():
+        n = Counter(f for t in texts for f in D.fields_of(kind, t))
+        has[k] = {f for f, c in n.items() if 5 * c >= len(texts)}
+    want = set()
+    for feed in {f for f, _ in files}:
+        order = sorted(no for f, no in files if f == feed)
+        for a, b in zip(order, order[1:]):
+            want |= {(feed, b, "gone", f) for f in has[feed, a] - has[feed, b]} | {(feed, b, "come", f) for f in has[feed, b] - has[feed, a]}
+    posts, queries = (spark.read.parquet(f"{d}/{t}.parquet") for t in ("raw_posts", "raw_queries"))
+    rows = D.drift_report(posts if kind == "post" else posts.limit(0), queries if kind == "query" else queries.limit(0)).where("change_kind != 'retyped'").collect()
+    got = {(r.feed, r.file_no, "gone", r.field_from) for r in rows if r.field_from} | {(r.feed, r.file_no, "come", r.field_to) for r in rows if r.field_to}
+    assert got == want and len(want) > 3
