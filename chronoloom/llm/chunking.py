@@ -101,19 +101,33 @@ class _Text:
         k = int(np.searchsorted(self.ends, start, side="right"))
         return self.before(end) - (int(self.upto[k - 1]) if k else 0)
 
-    def token_cuts(self, start: int, end: int) -> np.ndarray:
-        """Positions inside a slice between two tokens of it, where these end with a character."""
-        cuts, at, held = [], start, b""
+    def token_cuts(self, start: int, end: int) -> tuple[np.ndarray, np.ndarray]:
+        """Positions inside a slice between two tokens of it, where these end with a character, and the tokens before each."""
+        cuts, counts, at, n, held = [], [], start, 0, b""
         for word in (w for block in self.encoder.words(self.text[start:end]) for w in block):
             for token in self.encoder.tokens_of(word):
                 held += token
+                n += 1
                 try:
                     at += len(held.decode("utf-8", "surrogatepass"))
                 except UnicodeDecodeError:
                     continue
-                cuts.append(at)
                 held = b""
-        return np.array([c for c in cuts if start < c < end], "int64")
+                if at < end:
+                    cuts.append(at)
+                    counts.append(n)
+        return np.array(cuts, "int64"), np.array(counts, "int64")
+
+    def place(self, at: int) -> tuple[int, int, int]:
+        """The word that a position lies in or ends: its number, its begin, and the tokens before the position."""
+        k = int(np.searchsorted(self.ends, at, side="left"))
+        begin = int(self.ends[k - 1]) if k else 0
+        before = int(self.upto[k - 1]) if k else 0
+        if at == self.ends[k]:
+            return k, begin, int(self.upto[k])
+        cuts, counts = self.token_cuts(begin, int(self.ends[k]))
+        i = int(np.searchsorted(cuts, at, side="right")) - 1
+        return k, begin, before + (int(counts[i]) if i >= 0 else 0)
 
 
 def _pack(t: _Text, at: np.ndarray, level: np.ndarray, start: int, end: int, limit: int) -> list[tuple[int, int]]:
@@ -133,9 +147,13 @@ def _pack(t: _Text, at: np.ndarray, level: np.ndarray, start: int, end: int, lim
         a, b = np.searchsorted(t.ends, start, side="right"), np.searchsorted(t.ends, end, side="left")
         cuts = t.ends[a:b]
         if not len(cuts):
-            cuts = t.token_cuts(start, end)
-            # Inside one word: as many tokens as fit; the pieces' own counts are checked in the end.
-            steps = [start, *cuts[limit - 1 :: limit].tolist(), end]
+            # Inside one word: as many tokens as fit.
+            cuts, counts = t.token_cuts(start, end)
+            steps, taken = [start], 0
+            while (i := int(np.searchsorted(counts, taken + limit, side="right")) - 1) >= 0 and counts[i] > taken and i < len(cuts) - 1:
+                steps.append(int(cuts[i]))
+                taken = int(counts[i])
+            steps.append(end)
             return list(zip(steps, steps[1:]))
     edges = np.array([start, *cuts.tolist(), end])
     # Tokens before each edge; of an edge inside a word, with the whole word to its left.
@@ -164,22 +182,22 @@ def _pack(t: _Text, at: np.ndarray, level: np.ndarray, start: int, end: int, lim
     return pieces
 
 
-def _overlap_start(t: _Text, start: int, overlap: int) -> int:
-    """Where the ``overlap`` tokens before a position begin; at the text's begin if there are fewer."""
-    k = int(np.searchsorted(t.ends, start, side="left"))
-    have = int(t.upto[k]) if k < len(t.upto) else t.total
+def _overlap_start(t: _Text, start: int, overlap: int) -> tuple[int, int]:
+    """Where the ``overlap`` tokens before a position begin, and how many they are: fewer only at the text's begin."""
+    _, _, have = t.place(start)
     want = have - overlap
     if want <= 0:
-        return 0
+        return 0, have
     w = int(np.searchsorted(t.upto, want, side="right"))
     begin = int(t.ends[w - 1]) if w else 0
     drop = want - (int(t.upto[w - 1]) if w else 0)
     if drop:
-        # The first of the tokens lies inside a word: begin there if it begins with a character, else with the word.
-        cuts = t.token_cuts(begin, int(t.ends[w]))
-        if len(cuts) >= drop and len(t.encoder.tokens_of(t.text[begin : cuts[drop - 1]])) == drop:
-            begin = int(cuts[drop - 1])
-    return min(begin, start)
+        # The first of the tokens lies inside a word: begin there if it begins with a character, else a little before.
+        cuts, counts = t.token_cuts(begin, int(t.ends[w]))
+        i = int(np.searchsorted(counts, drop, side="right")) - 1
+        if i >= 0:
+            return int(cuts[i]), overlap + drop - int(counts[i])
+    return begin, overlap + drop
 
 
 def pieces_of(text: str, encoder: bpe.Encoder, limit: int = LIMIT, overlap: int = OVERLAP) -> list[tuple[int, int, int, int, int]]:
@@ -194,12 +212,14 @@ def pieces_of(text: str, encoder: bpe.Encoder, limit: int = LIMIT, overlap: int
     cores = _pack(t, at, level, 0, len(text), limit - overlap - 8)
     out = []
     for k, (start, end) in enumerate(cores):
-        begin = _overlap_start(t, start, overlap) if k else start
+        begin, shared = _overlap_start(t, start, overlap) if k else (start, 0)
         n = len(encoder.encode(text[begin:end]))
         while n > limit and begin < start:
+            # Only where a slice splits otherwise than the whole text by more than the tokens kept free.
             begin += 1
             n = len(encoder.encode(text[begin:end]))
-        out.append((begin, start, end, n, len(encoder.encode(text[begin:start]))))
+            shared = len(encoder.encode(text[begin:start]))
+        out.append((begin, start, end, n, shared))
     return out
 
 
