@@ -1,0 +1,73 @@
+"""Sketches against exact ranks, merging and deleting."""
+
+import numpy as np
+import pytest
+
+from chronoloom.operators import quantiles as Q
+
+
+def rank_error(values, got, q):
+    s = np.sort(values)
+    low, high = (np.searchsorted(s, got, side) / len(s) for side in ("left", "right"))
+    return max(low - q, q - high, 0)
+
+
+def samples():
+    rng = np.random.default_rng(7)
+    return {
+        "normal": rng.normal(240, 3, 60_000), "tails": rng.standard_cauchy(60_000) * 1e3, "mixed": np.concatenate([rng.normal(-5, 1, 30_000), np.full(20_000, 7.25), rng.lognormal(3, 2, 30_000)]),
+        "few": rng.integers(0, 5, 50_000).astype(float), "tiny": rng.normal(0, 1e-12, 40_000), "grid": np.round(rng.normal(50_000, 4_000, 80_000), 2),
+    }
+
+
+@pytest.mark.parametrize("name", list(samples()))
+def test_rank_error_is_bounded(name):
+    v = samples()[name]
+    codes, counts = np.unique(Q.encode(v), return_counts=True)
+    sketch = Q.DyadicSketch().add(codes, counts)
+    assert sketch.n == len(v)
+    for q, got in zip(Q.PERCENTILES, sketch.quantiles(Q.PERCENTILES)):
+        assert rank_error(Q.decode(Q.encode(v)), got, q) <= Q.RANK_ERROR
+
+
+def test_codes_keep_order_and_precision():
+    v = np.array([-np.finfo(float).max, -1e300, -2.5, -1e-300, 0.0, 1e-300, 1.0, 1.0000021, 1e300, np.finfo(float).max])
+    codes = Q.encode(v)
+    assert (np.diff(codes) > 0).all()
+    assert np.allclose(Q.decode(codes), v, rtol=1e-6, atol=0)
+    assert Q.encode(np.array([-0.0]))[0] == Q.encode(np.array([0.0]))[0] and Q.decode(Q.encode(np.array([0.0])))[0] == 0
+
+
+def test_merge_is_addition_and_deletion_undoes():
+    v = samples()["grid"]
+    part = lambda x: Q.DyadicSketch().add(*np.unique(Q.encode(x), return_counts=True))
+    whole, merged = part(v), part(v[:30_000]).merge(part(v[30_000:]))
+    assert (whole.table == merged.table).all() and (whole.coarse == merged.coarse).all()
+    codes, counts = np.unique(Q.encode(v[30_000:]), return_counts=True)
+    assert (merged.add(codes, -counts).table == part(v[:30_000]).table).all()
+    again = Q.DyadicSketch.from_bytes(whole.to_bytes())
+    assert (again.table == whole.table).all() and (again.coarse == whole.coarse).all()
+
+
+def test_groups(spark):
+    rng = np.random.default_rng(3)
+    hot = rng.normal(100, 10, 30_000)
+    rows = [("series", "k.a.hot", "f", float(x), 1) for x in hot] + [("series", "k.b.cold", "f", float(x), 1) for x in (3, 1, 2, 2, 9)]
+    rows += [("series", "k.b.cold", "f", 9.0, -1), ("series", "k.b.cold", "f", None, 1), ("series", "k.b.cold", "f", float("nan"), 1), ("series", "k.b.cold", "f", float("inf"), 1), ("other", None, "f", 5.0, 1)]
+    df = spark.createDataFrame(rows, "scope string, group_key string, field_name string, v double, n long").repartition(6)
+    got = {(r.scope, r.group_key): r for r in Q.percentiles(df, (0.25, 0.5, 1.0), {"series": "kind"}).collect()}
+    assert set(got) == {("series", "k.a.hot"), ("series", "k.b.cold"), ("kind", "k"), ("other", None)}
+    cold = got["series", "k.b.cold"]
+    assert cold.n_values == 4 and np.allclose(cold.p, [1, 2, 3], rtol=1e-6)
+    assert got["series", "k.a.hot"].n_values == 30_000 and got["kind", "k"].n_values == 30_004
+    for key in (("series", "k.a.hot"), ("kind", "k")):
+        assert rank_error(hot, got[key].p[1], 0.5) <= Q.RANK_ERROR
+    assert Q.percentiles(df.limit(0)).count() == 0
+
+
+def test_tables_with_nulls_and_repeats(spark):
+    posts = spark.createDataFrame([(1, "k.a", None, {"f": 1.0}), (2, None, None, None)], "post_id long, index_name string, ts timestamp_ntz, value map<string,double>")
+    requests = spark.createDataFrame([], "grid_id long, index_name string, from_time timestamp_ntz, to_time timestamp_ntz, group_spec string, field_name string")
+    queries = spark.createDataFrame([("k.a", "nonsense"), (None, None)], "index_name string, group_text string")
+    rollups = spark.createDataFrame([], "rollup_id long, index_name string, level_name string, bucket_start timestamp_ntz, field_name string, sum_v double")
+    assert Q.reading_percentiles(posts, requests, queries, rollups).count() == 0
