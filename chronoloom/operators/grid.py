@@ -13,8 +13,7 @@ Long requests are cut into spans of ``SPAN`` buckets which know the nearest obse
 ``cell_state``: ``observed``, ``seasonal`` (regression and bridge), ``held`` (last value), ``missing`` (nothing to go by).
 
 Defined cases: a request with a null bound, a range that ends before it begins, or a group of an unknown unit or width 0
-has no buckets; of requests with one grid_id each is answered on its own only if the ids differ, so ids must be unique;
-null and NaN are no readings, infinities are (their bucket is not empty, but they enter neither fit nor bridge); several
+has no buckets; of several requests with one grid_id the smallest by its columns counts; null and NaN are no readings, infinities are (their bucket is not empty, but they enter neither fit nor bridge); several
 readings of a bucket are averaged, of coded fields the last counts; empty tables give no rows.
 """
 
@@ -53,6 +52,12 @@ def bucket_number(ts: Column, step_us: Column, months: Column) -> Column:
     return F.when(months.isNull(), (_us(ts) - F.pmod(_us(ts), step_us)) / step_us).otherwise(F.floor(_months(ts) / months)).cast("long")
 
 
+def one_per_id(requests: DataFrame) -> DataFrame:
+    """One request per grid_id: of several the smallest by its columns in their order."""
+    columns = ["index_name", "field_name", "from_time", "to_time", "group_spec"]
+    return requests.groupBy("grid_id").agg(F.min(F.struct(*columns)).alias("r")).select("grid_id", *(f"r.{c}" for c in columns))
+
+
 def requests_plan(requests: DataFrame) -> DataFrame:
     """grid_id, index_name, field_name, step_us, months, first and last bucket, and the days that these cover."""
     spec = F.lower(F.trim("group_spec"))
@@ -188,7 +193,7 @@ def regular_grid(posts: DataFrame, requests: DataFrame, kind_fields: DataFrame)
     spark = posts.sparkSession
     # Requests and the days that they cover go to every task only where their counted rows are few.
     day = lambda us: F.floor(us / DAY_US).cast("int")
-    plan = requests_plan(requests)
+    plan = requests_plan(one_per_id(requests))
     covered, few = tiling.small(spark, plan.withColumn("day", F.explode(F.sequence(day(F.col("begin_us")), day(F.col("end_us") - 1)))))
     send = F.broadcast if few else (lambda df: df)
     fields = plan.select("index_name", "field_name").where(F.col("index_name").isNotNull() & F.col("field_name").isNotNull()).distinct()

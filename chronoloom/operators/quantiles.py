@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from chronoloom.operators import tiling
-from chronoloom.operators.grid import DAY_US, bucket_number, requests_plan
+from chronoloom.operators.grid import DAY_US, bucket_number, one_per_id, requests_plan
 from chronoloom.operators.readings import chunks, codes_of, standing
 
 BITS = 32
@@ -282,7 +282,7 @@ def reading_percentiles(posts: DataFrame, requests: DataFrame, queries: DataFram
     series = rows.select(F.lit("series").alias("scope"), F.col("index_name").alias("group_key"), value)
     us = F.unix_micros(F.col("ts").cast("timestamp"))
     # Requests with a range, and queries' groups as requests over all time; both meet posts by series and day or series.
-    ranged = requests_plan(requests).withColumn("name", F.concat(F.lit("grid "), "grid_id"))
+    ranged = requests_plan(one_per_id(requests)).withColumn("name", F.concat(F.lit("grid "), "grid_id"))
     day = lambda x: F.floor(x / DAY_US).cast("int")
     covered, few = tiling.small(posts.sparkSession, ranged.withColumn("day", F.explode(F.sequence(day(F.col("begin_us")), day(F.col("end_us") - 1)))))
     send = F.broadcast if few else (lambda df: df)

@@ -25,7 +25,7 @@ def test_buckets_and_states(spark):
     posts = [(1, "k.a", AT + dt.timedelta(minutes=1), {"v": 10.0, "c": 1.0}, 0), (2, "k.a", AT + dt.timedelta(minutes=3), {"v": 20.0}, 0), (3, "k.a", AT + dt.timedelta(minutes=11), {"v": None, "c": float("nan")}, 0), (4, "k.a", AT + dt.timedelta(minutes=16), {"v": 40.0, "c": 2.0}, 0)]
     posts += [(5, "k.a", AT + dt.timedelta(minutes=21), {"v": 1.0}, 0), (6, "k.a", AT + dt.timedelta(minutes=21), None, 0), (7, None, AT, {"v": 1.0}, 0), (8, "k.a", None, {"v": 1.0}, 0)]
     requests = [(1, "k.a", AT + dt.timedelta(minutes=2), AT + dt.timedelta(minutes=21), "5minutes", "v", 0.0), (2, "k.a", AT, AT + dt.timedelta(minutes=20), "5minutes", "c", 0.0), (3, "none", AT, AT + dt.timedelta(minutes=2), "minute", "v", 0.0), (4, "k.a", None, AT, "minute", "v", 0.0), (5, "k.a", AT, AT, "minute", "v", 0.0), (6, "k.a", AT, AT + dt.timedelta(1), "fortnight", "v", 0.0)]
-    got = run(spark, posts + posts[:1], requests)
+    got = run(spark, posts + posts[:1], requests + requests[:2])
     b = lambda k: US + k * 5 * MINUTE
     assert {k for k in got if k[0] == 1} == {(1, b(k)) for k in range(5)}
     assert [got[1, b(k)].cell_state == "observed" for k in range(5)] == [True, False, False, True, False]
