@@ -21,12 +21,14 @@ import json
 import math
 import zlib
 from collections.abc import Iterator
+from statistics import median
 
-import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from chronoloom.operators.readings import spread
+
 #: A file has a field if at least one of so many of its records carries it.
 CARRIED_BY = 5
 #: Two fields hold the same quantity if their medians differ by less than this factor.
@@ -105,21 +107,24 @@ def _leaves(value) -> Iterator[str]:
         yield value if isinstance(value, str) else json.dumps(value)
 
 
-def _minhash(words: list[str]) -> list[int]:
-    base = np.array([zlib.crc32(w.encode("utf-8", "surrogatepass")) for w in words], "uint64")
-    return [int(((base * np.uint64(2 * s + 1) + np.uint64(s)) & np.uint64(0xFFFFFFFF)).min()) for s in _SEEDS]
+def _word_hashes(word: str) -> tuple[int, ...]:
+    base = zlib.crc32(word.encode("utf-8", "surrogatepass"))
+    return tuple((base * (2 * s + 1) + s) & 0xFFFFFFFF for s in _SEEDS)
 
 
 def _profile(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    signatures: dict[str, list[int]] = {}
+    hashes: dict[str, tuple[int, ...]] = {}
 
     def signature(values: list) -> list[int]:
-        key = json.dumps(values, sort_keys=True) if len(values) > 1 or not isinstance(values[0], str) else values[0]
-        if key not in signatures:
-            if len(signatures) > 50_000:
-                signatures.clear()
-            signatures[key] = _minhash([w for v in values for w in _leaves(v)] or [""])
-        return signatures[key]
+        """MinHash of the words in the values: of each hash function the least over the words."""
+        found = []
+        for word in {w for v in values for w in _leaves(v)} or {""}:
+            if word not in hashes:
+                if len(hashes) > 50_000:
+                    hashes.clear()
+                hashes[word] = _word_hashes(word)
+            found.append(hashes[word])
+        return list(found[0]) if len(found) == 1 else [min(column) for column in zip(*found)]
 
     for pdf in batches:
         rows = []
@@ -131,14 +136,14 @@ def _profile(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
                 for k, (type_, own) in enumerate(kinds.items()):
                     worded = kind != "post" and field != CONTAINER or type_ in ("string", "boolean")
                     numbers = [] if field == CONTAINER and kind != "post" else [x for x in map(number_in, own) if x is not None]
-                    rows.append((table, feed, file_no, field, type_, int(k == 0), len(own), float(np.median(numbers)) if numbers else None, signature(own) if worded else None))
+                    rows.append((table, feed, file_no, field, type_, int(k == 0), len(own), median(numbers) if numbers else None, signature(own) if worded else None))
         yield pd.DataFrame(rows, columns=["table_name", "feed", "file_no", "field", "json_type", "carries", "n_values", "number", "words"]).astype({"file_no": "Int64"})
 
 
 def records(raw_posts: DataFrame, raw_queries: DataFrame) -> DataFrame:
     """Both raw tables as one of RECORDS' columns; kind is post or query."""
     one = lambda df, table, key, kind, body: df.select(F.lit(table).alias("table_name"), "feed", "file_no", F.col(key).alias("rec_id"), F.lit(kind).alias("kind"), F.col(body).alias("body"))
-    return one(raw_posts, "raw_posts", "post_id", "post", "value_text").unionByName(one(raw_queries, "raw_queries", "query_id", "query", "fields_text"))
+    return spread(one(raw_posts, "raw_posts", "post_id", "post", "value_text").unionByName(one(raw_queries, "raw_queries", "query_id", "query", "fields_text")))
 
 
 def files(recs: DataFrame) -> DataFrame:

@@ -29,6 +29,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
 from pyspark.sql.types import BooleanType, LongType, StringType, StructField, StructType
 
+from chronoloom.operators.readings import spread
+
 STATUSES = ("ok", "ambiguous", "nonexistent", "unreadable")
 OK, AMBIGUOUS, NONEXISTENT, UNREADABLE = range(4)
 PARTS = ("y", "mo", "d", "h", "mi", "s", "f", "z", "ap")
@@ -242,5 +244,5 @@ def normalise_times(raw_posts: DataFrame, raw_queries: DataFrame, series_info: D
         F.struct(F.lit("query_to").alias("time_field"), F.col("to_text").alias("time_text")),
     )
     queries = raw_queries.select("index_name", F.lit("raw_queries").alias("table_name"), F.col("query_id").alias("rec_id"), asked.alias("texts"))
-    rows = posts.unionByName(queries).join(info, "index_name", "left").select("table_name", "rec_id", "zone", "date_order", F.inline("texts"))
+    rows = spread(posts.unionByName(queries)).join(info, "index_name", "left").select("table_name", "rec_id", "zone", "date_order", F.inline("texts"))
     return rows.withColumn("t", instant(F.col("time_text"), F.col("zone"), F.col("date_order"))).select("table_name", "rec_id", "time_field", "time_text", "t.time_status", "t.ts_ns", "t.canonical")

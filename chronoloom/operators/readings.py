@@ -23,6 +23,15 @@ def standing(posts: DataFrame, keys: tuple[str, ...] = ("index_name", "ts"), ver
     return last.select(*keys, f"row.{version}", *(f"row.{c}" for c in keep))
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """The rows over all cores where the input has fewer splits than there are cores (one small file, say), else as read.
+
+    For frames that come straight from a scan: counting the splits of a shuffled plan would run it.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(2 * cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def kind_of(name=None):
     """Kind of a series: its name before the first dot."""
     return F.substring_index(name if name is not None else F.col("index_name"), ".", 1)
