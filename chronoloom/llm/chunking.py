@@ -20,6 +20,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 
 from chronoloom.llm import bpe
+from chronoloom.operators.readings import spread
 
 LIMIT = 2048
 OVERLAP = 128
@@ -224,7 +225,7 @@ def pieces_of(text: str, encoder: bpe.Encoder, limit: int = LIMIT, overlap: int
 
 
 def cut_documents(documents: DataFrame, limit: int = LIMIT, overlap: int = OVERLAP, vocabulary_path: str = bpe.DEFAULT_PATH) -> DataFrame:
-    """doc_id, piece_no, char_from, char_core, char_to, n_tokens, overlap_tokens, piece of every text over the limit. Nothing is shuffled."""
+    """doc_id, piece_no, char_from, char_core, char_to, n_tokens, overlap_tokens, piece of every text over the limit. Nothing is shuffled, unless the input has fewer splits than cores."""
     columns = ["doc_id", "piece_no", "char_from", "char_core", "char_to", "n_tokens", "overlap_tokens", "piece"]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -235,4 +236,4 @@ def cut_documents(documents: DataFrame, limit: int = LIMIT, overlap: int = OVERL
                 rows = [(d, k, a, s, b, n, o, t[a:b]) for d, t in zip(part.doc_id, part.text) if isinstance(t, str) for k, (a, s, b, n, o) in enumerate(pieces_of(t, encoder, limit, overlap))]
                 yield pd.DataFrame(rows, columns=columns).astype({"doc_id": "Int64"})
 
-    return documents.select("doc_id", "text").mapInPandas(run, "doc_id long, piece_no int, char_from long, char_core long, char_to long, n_tokens int, overlap_tokens int, piece string")
+    return spread(documents.select("doc_id", "text")).mapInPandas(run, "doc_id long, piece_no int, char_from long, char_core long, char_to long, n_tokens int, overlap_tokens int, piece string")

@@ -9,10 +9,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from chronoloom.llm import bpe
+from chronoloom.operators.readings import spread
 
 
 def encode_corpus(documents: DataFrame, vocabulary_path: str = bpe.DEFAULT_PATH) -> DataFrame:
-    """doc_id and ids of every row, repeated rows included; null and empty texts have an empty list. Nothing is shuffled.
+    """doc_id and ids of every row, repeated rows included; null and empty texts have an empty list. Nothing is shuffled, unless the input has fewer splits than cores.
 
     The vocabulary file must lie at the path on every executor.
     """
@@ -27,4 +28,4 @@ def encode_corpus(documents: DataFrame, vocabulary_path: str = bpe.DEFAULT_PATH)
                 flat = pa.array(np.concatenate(ids), pa.int32())
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), flat)], ["doc_id", "ids"])
 
-    return documents.select("doc_id", "text").mapInArrow(run, "doc_id long, ids array<int>")
+    return spread(documents.select("doc_id", "text")).mapInArrow(run, "doc_id long, ids array<int>")
