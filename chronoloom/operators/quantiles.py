@@ -217,10 +217,11 @@ def _partial(q: tuple[float, ...]):
 
 
 def _merge(q: tuple[float, ...], final: bool, wider: dict[str, str]):
-    """mapInArrow over partial rows sorted by key: merges each group; with ``wider`` also partial rows of the wider scopes."""
+    """mapInArrow over partial rows sorted by their key's hash ``h``: merges each group; with ``wider`` also partial rows of the wider scopes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for table in chunks(batches, KEYS, 100_000):
+        for table in chunks(batches, ("h",), 100_000):
+            table = table.select(ROWS.names)
             done = table.column("p").is_valid()
             if (passing := table.filter(done)).num_rows:
                 yield from _batches(passing)
@@ -261,7 +262,8 @@ def percentiles(values: DataFrame, q: tuple[float, ...] = PERCENTILES, wider: di
     values: scope, group_key, field_name, v, n (1, or -1 to delete a value counted elsewhere). wider: scopes whose
     groups are also merged, by the first part of their key, into the groups of another scope.
     """
-    by_key = lambda df: df.repartition(*KEYS).sortWithinPartitions(*KEYS)
+    # One number to sort by; keys that happen to share it stay in one chunk, where they are told apart.
+    by_key = lambda df: df.withColumn("h", F.xxhash64(*KEYS)).repartition("h").sortWithinPartitions("h")
     merged = by_key(values.select(*KEYS, "v", "n").mapInArrow(_partial(q), ROWS_DDL)).mapInArrow(_merge(q, True, wider or {}), ROWS_DDL)
     if wider:
         merged = by_key(merged).mapInArrow(_merge(q, True, {}), ROWS_DDL)
