@@ -6,7 +6,7 @@
 3. ``schema_changes`` compares each file with its feed's previous one. A field that goes while one of the same quantity
    comes is a renaming; pairs are made closest first.
 4. ``migrate`` routes every record through its file's chain of rules (rename to the latest name, cast, default) into
-   one table of one schema.
+   one table of one schema: a row per post, and per entry of a query with its position and name.
 
 Work per file is bounded by the number of fields of a file, never by its records, so one feed may hold most rows.
 
@@ -37,6 +37,8 @@ SAME_LEVEL = 2.0
 SAME_WORDS = 0.5
 HASHES = 16
 CONTAINER = "fields"
+#: Members that name an entry of an array.
+NAMES = ("field", "name")
 _SEEDS = [zlib.crc32(f"words {k}".encode()) for k in range(HASHES)]
 FILE = ["table_name", "feed", "file_no"]
 RECORDS = "table_name string, feed string, file_no long, rec_id long, kind string, body string"
@@ -261,38 +263,87 @@ def migration_rules(profiles: DataFrame, changes: DataFrame) -> DataFrame:
     return chained.groupBy(*FILE).agg(F.array_sort(F.collect_list(F.struct("field", "latest", "n_renames"))).alias("rules")).join(whole, ["table_name", "feed"])
 
 
+def entries_of(kind: str, value) -> list[tuple]:
+    """Position, name and non-null members of each entry of a decoded record; a post, and a query without entries, is one without position.
+
+    An entry's name is its key in the object, or else the first of NAMES that it has; an entry that is no object is a member of the container's name.
+    """
+    if kind == "post" or not value or not isinstance(value, (dict, list)):
+        members = value if kind == "post" and isinstance(value, dict) else {}
+        return [(None, None, {k: v for k, v in members.items() if v is not None})]
+    out = []
+    for pos, (name, entry) in enumerate(value.items() if isinstance(value, dict) else ((None, e) for e in value)):
+        members = {k: v for k, v in (entry if isinstance(entry, dict) else {CONTAINER: entry}).items() if v is not None}
+        if name is None and isinstance(entry, dict):
+            name = next((members[k] for k in NAMES if isinstance(members.get(k), str)), None)
+        out.append((pos, name, members))
+    return out
+
+
+def _latest_names(fields, rules: dict) -> dict:
+    """Latest name of each field of one record; a field whose latest name another one has keeps its own."""
+    kept = {f for f in fields if rules.get(f, f) == f}
+    while True:
+        out = {f: f if f in kept else rules[f] for f in fields}
+        taken: set[str] = set()
+        for f in sorted(fields, key=lambda f: f not in kept):
+            if out[f] in taken:
+                kept.add(f)
+                break
+            taken.add(out[f])
+        else:
+            return out
+
+
+def _left_by_cast(value):
+    """What the number in a value leaves of it: further elements or members, the whole object if its key tells what was measured."""
+    if isinstance(value, list):
+        return value[1:]
+    if isinstance(value, dict):
+        measured = next((k for k in ("v", "value") if k in value and not isinstance(value[k], (list, dict))), None)
+        return value if measured is None else {k: x for k, x in value.items() if k != measured}
+    return None
+
+
 def _apply(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     get = lambda x, k: x[k] if isinstance(x, dict) else getattr(x, k)
     for pdf in batches:
         rows = []
         for r in pdf.itertuples():
-            rules = {get(x, "field"): get(x, "latest") for x in (r.rules if r.rules is not None else ())}
-            found = fields_of(r.kind, r.body)
-            numbers, texts, applied = {}, {}, []
-            for field, values in found.items():
-                if field == CONTAINER and r.kind != "post":
-                    continue
-                name = rules.get(field, field)
-                if name != field:
-                    applied.append(f"rename:{field}>{name}")
-                kinds = {json_type(v) for v in values}
-                own = [x for x in map(number_in, values) if x is not None]
-                if len(own) == len(values) == 1:
-                    numbers[name] = own[0]
-                    if kinds != {"number"}:
+            rules = {get(x, "field"): get(x, "latest") for x in (r.rules if r.rules is not None else ()) if r.kind == "post" or get(x, "field") != CONTAINER}
+            defaults = [str(x) for x in (r.defaults if r.defaults is not None else ()) if not (x == CONTAINER and r.kind != "post")]
+            decoded = _decode(r.body)
+            for pos, entry, members in entries_of(r.kind, decoded):
+                numbers, texts, applied = {}, {}, []
+                names = _latest_names(members, rules)
+                for field, value in members.items():
+                    name = names[field]
+                    if name != field:
+                        applied.append(f"rename:{field}>{name}")
+                    elif rules.get(field, field) != field:
+                        applied.append(f"clash:{field}>{rules[field]}")
+                    x = number_in(value)
+                    if x is None:
+                        texts[name] = value if isinstance(value, str) else json.dumps(value, sort_keys=True)
+                        continue
+                    numbers[name] = x
+                    if json_type(value) != "number":
                         applied.append(f"cast:{name}")
-                else:
-                    texts[name] = values[0] if len(values) == 1 and isinstance(values[0], str) else json.dumps(values if len(values) > 1 else values[0], sort_keys=True)
-            missing = [str(x) for x in (r.defaults if r.defaults is not None else ()) if x not in numbers and x not in texts and not (x == CONTAINER and r.kind != "post")]
-            applied += [f"default:{x}" for x in missing]
-            rows.append((r.table_name, r.feed, r.file_no, r.rec_id, "read" if _decode(r.body) is not None else "broken", r.schema_version, numbers, texts, applied))
-        yield pd.DataFrame(rows, columns=["table_name", "feed", "file_no", "rec_id", "read_status", "schema_version", "numbers", "texts", "applied"]).astype({"file_no": "Int64", "rec_id": "Int64", "schema_version": "Int64"})
+                        if left := _left_by_cast(value):
+                            texts[name] = json.dumps(left, sort_keys=True)
+                known = numbers.keys() | texts.keys() | (set(NAMES) if entry is not None else set())
+                applied += [f"default:{x}" for x in defaults if x not in known]
+                rows.append((r.table_name, r.feed, r.file_no, r.rec_id, pos, entry, "read" if decoded is not None else "broken", r.schema_version, numbers, texts, applied))
+        yield pd.DataFrame(rows, columns=["table_name", "feed", "file_no", "rec_id", "entry_pos", "entry_name", "read_status", "schema_version", "numbers", "texts", "applied"]).astype({"file_no": "Int64", "rec_id": "Int64", "entry_pos": "Int64", "schema_version": "Int64"})
 
 
 def migrate(recs: DataFrame, rules: DataFrame, versions: DataFrame) -> DataFrame:
-    """Every record in one schema: numbers and texts by the latest field names, and the rules that were applied to it."""
+    """Every record, a query by its entries, in one schema: numbers and texts by the latest field names, and the rules that were applied.
+
+    What a cast to a number leaves of an array or object is in texts, as JSON, beside the number.
+    """
     known = recs.join(rules, FILE, "left").join(versions.select(*FILE, "schema_version"), FILE, "left")
-    out = "table_name string, feed string, file_no long, rec_id long, read_status string, schema_version long, numbers map<string,double>, texts map<string,string>, applied array<string>"
+    out = "table_name string, feed string, file_no long, rec_id long, entry_pos long, entry_name string, read_status string, schema_version long, numbers map<string,double>, texts map<string,string>, applied array<string>"
     return known.mapInPandas(_apply, out)
 
 

@@ -57,6 +57,23 @@ def test_migration_gives_one_schema(spark):
     assert [rows[k].schema_version for k in (0, 1, 4)] == [1, 2, 3]
 
 
+def test_migration_keeps_entries_and_what_casts_leave(spark):
+    queries = [*file("q", 0, {"w": {"fn": "max"}, "h": {"fn": "min", "digits": 2}}), *file("q", 1, [{"field": "h", "fn": "sum", "alias": None}, {"field": "w", "fn": "max", "digits": "3"}]), *file("q", 2, {}, None, {"w": None}, {"w": "max"})]
+    posts = [*file("f", 0, {"a": 10.0}), *file("f", 1, {"b": {"v": 10.5, "q": 2}}, {"b": [10.4, "C"]}, {"a": 9.0, "b": 10.2}), *file("f", 2, {"c": {"x": 10.5}})]
+    p = spark.createDataFrame([(k, f, n, t, "") for k, (f, n, t) in enumerate(posts)], POSTS)
+    q = spark.createDataFrame([(k, f, n, t) for k, (f, n, t) in enumerate(queries)], QUERIES)
+    rows = {(r.table_name, r.rec_id, r.entry_pos): r for r in D.consistent_table(p, q).collect()}
+    assert len(rows) == 5 + 8
+    of = lambda k, pos: (lambda r: (r.entry_name, r.numbers, r.texts))(rows["raw_queries", k, pos])
+    assert of(0, 0) == ("w", {}, {"fn": "max"}) and of(0, 1) == ("h", {"digits": 2.0}, {"fn": "min"})
+    assert of(1, 0) == ("h", {}, {"field": "h", "fn": "sum"}) and of(1, 1) == ("w", {"digits": 3.0}, {"field": "w", "fn": "max"})
+    assert of(2, None) == (None, {}, {}) == of(3, None) and of(4, 0) == ("w", {}, {}) and of(5, 0) == ("w", {}, {"fields": "max"})
+    assert [rows["raw_queries", k, None].read_status for k in (2, 3)] == ["read", "broken"]
+    post = lambda k: (lambda r: (r.numbers, r.texts))(rows["raw_posts", k, None])
+    assert post(1) == ({"c": 10.5}, {"c": '{"q": 2}'}) and post(2) == ({"c": 10.4}, {"c": '["C"]'}) and post(4) == ({"c": 10.5}, {"c": '{"x": 10.5}'})
+    assert sorted(post(3)[0].values()) == [9.0, 10.2]
+
+
 def test_empty(spark):
     assert changes(spark) == []
 
