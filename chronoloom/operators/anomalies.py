@@ -1,10 +1,11 @@
 """Readings that spike, stick or cannot be, relative to what their series normally does.
 
 Every series' field has a robust control chart: exponentially weighted mean and scale that are updated with clipped
-deviations only, so that a fault moves neither. Readings far outside the chart are suspects. Run-length counters find
-stuck runs and tell short excursions from changes of level (longer runs of suspects, which are ordinary). Physical limits
-find the impossible. What needs the whole series - the range of its ordinary readings, the share of repeats - is merged
-from the tiles' partial results, and suspects are then checked against it exactly.
+deviations only, so that a fault moves neither. Readings far outside the chart are suspects, however many follow each other.
+Run-length counters find stuck runs, physical limits the impossible. What needs the whole series - the range of its
+ordinary readings, the share of repeats - is merged from the tiles' partial results. Suspects are then checked against it
+exactly: those within its reach join it, then the nearest stretch of more than ``spike_run`` that all lie outside (a change
+of level), until neither is left.
 
 * ``impossible``: outside the field's limits, infinities included.
 * ``stuck``: in a run of ``stuck_run`` or more equal successive readings, if fewer than a third of all the field's
@@ -23,6 +24,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+from numpy.lib.stride_tricks import sliding_window_view
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -32,8 +34,8 @@ from chronoloom.session import ensure_checkpoint_dir
 
 #: Units of counts, codes and rain: long runs of equal values and rare large ones are normal there.
 UNCHARTED_UNITS = ("code", "n", "mm")
-OUT = pa.schema([("index_name", pa.string()), ("field_name", pa.string()), ("row_kind", pa.string()), ("post_id", pa.int64()), ("v", pa.float64()), ("n", pa.int64()), ("n_same", pa.int64()), ("low", pa.float64()), ("high", pa.float64()), ("low_moving", pa.float64()), ("high_moving", pa.float64())])
-OUT_DDL = "index_name string, field_name string, row_kind string, post_id long, v double, n long, n_same long, low double, high double, low_moving double, high_moving double"
+OUT = pa.schema([("index_name", pa.string()), ("field_name", pa.string()), ("row_kind", pa.string()), ("post_id", pa.int64()), ("v", pa.float64()), ("n", pa.int64()), ("n_same", pa.int64()), ("low", pa.float64()), ("high", pa.float64()), ("low_moving", pa.float64()), ("high_moving", pa.float64()), ("stretch", pa.list_(pa.float64()))])
+OUT_DDL = "index_name string, field_name string, row_kind string, post_id long, v double, n long, n_same long, low double, high double, low_moving double, high_moving double, stretch array<double>"
 
 
 def run_lengths(change: np.ndarray) -> np.ndarray:
@@ -45,7 +47,8 @@ def run_lengths(change: np.ndarray) -> np.ndarray:
 def chart(x: np.ndarray, starts: np.ndarray, weight: float, limit: float, clip: float, spike_run: int, warm: int = 32) -> np.ndarray:
     """Which elements of the sequences that begin at ``starts`` lie more than ``limit`` scales off their control chart.
 
-    More than ``spike_run`` suspects in a row are a new level: the chart moves there and doubles its scale.
+    More than ``spike_run`` suspects in a row, of one side and each within twice the size of the one before, are a new level: the
+    chart moves there and doubles its scale.
     """
     flags = np.zeros(len(x), bool)
     if not len(x):
@@ -57,7 +60,7 @@ def chart(x: np.ndarray, starts: np.ndarray, weight: float, limit: float, clip:
     head = np.where(first < lengths[:, None], x[np.minimum(starts[:, None] + first, len(x) - 1)], np.nan)
     mean = np.nanmedian(head, axis=1)
     scale = np.nanmedian(np.abs(head - mean[:, None]), axis=1) * 1.2
-    in_a_row = np.zeros(len(starts), "int64")
+    in_a_row, last = np.zeros(len(starts), "int64"), np.zeros(len(starts))
     active = np.searchsorted(-lengths, -np.arange(lengths[0]), side="left")  # at step t, the sequences longer than t
     for t in range(lengths[0]):
         m = active[t]
@@ -66,7 +69,9 @@ def chart(x: np.ndarray, starts: np.ndarray, weight: float, limit: float, clip:
         size = np.abs(d)
         floor = np.maximum(scale[:m], 1e-9 * np.abs(mean[:m]) + 1e-12)
         flags[at] = far = size > limit * floor
-        in_a_row[:m] = (in_a_row[:m] + 1) * far
+        alike = (d * last[:m] > 0) & (size < 2 * np.abs(last[:m])) & (np.abs(last[:m]) < 2 * size)
+        in_a_row[:m] = (in_a_row[:m] * alike + 1) * far
+        last[:m] = d
         bounded = np.minimum(size, clip * floor)
         mean[:m] += weight * np.copysign(bounded, d)
         scale[:m] = floor + weight * (bounded - floor)
@@ -104,12 +109,15 @@ def _tile(table: pa.Table, limits: dict, p: dict) -> pa.Table | None:
     repeats = np.append(False, v[1:] == v[:-1]) & ~begins
     stuck = charted & (run_lengths(~repeats) >= p["stuck_run"])
     live = np.flatnonzero(charted & ~impossible & ~stuck)
-    suspect = np.zeros(len(v), bool)
+    suspect, stretch = np.zeros(len(v), bool), {}
     if len(live):
         new = np.append(True, sequence[live][1:] != sequence[live][:-1])
         far = chart(v[live], np.flatnonzero(new), p["weight"], p["limit"], p["clip"], p["spike_run"])
-        short = run_lengths(new | np.append(True, far[1:] != far[:-1])) <= p["spike_run"]
-        suspect[live] = far & short
+        suspect[live] = far
+        # Stretches of more than spike_run suspects, by their first.
+        last = p["spike_run"]
+        stretches = sliding_window_view(far, last + 1).all(axis=1) & (sequence[live][last:] == sequence[live][:-last]) if len(live) > last else np.zeros(0, bool)
+        stretch = {int(live[k]): v[live[k : k + last + 1]].tolist() for k in np.flatnonzero(stretches)}
     own = ~halo[rows]
     ordinary = charted & ~impossible & ~suspect & own
     n_seq = len(starts)
@@ -124,17 +132,18 @@ def _tile(table: pa.Table, limits: dict, p: dict) -> pa.Table | None:
     name_at = lambda at: pa.array([names[series[r]] for r in rows[at]], pa.string())
     field_at = lambda at: pa.array([fields[f] for f in field[at]], pa.string())
     used = counts["n"] > 0
-    summary = pa.table([name_at(starts[used]), field_at(starts[used]), pa.array(["summary"] * int(used.sum())), pa.nulls(int(used.sum()), pa.int64()), pa.nulls(int(used.sum()), pa.float64()), *(pa.array(counts[k][used].astype("int64")) for k in counts), *(pa.array(ranges[k][used]) for k in ranges)], schema=OUT)
+    summary = pa.table([name_at(starts[used]), field_at(starts[used]), pa.array(["summary"] * int(used.sum())), pa.nulls(int(used.sum()), pa.int64()), pa.nulls(int(used.sum()), pa.float64()), *(pa.array(counts[k][used].astype("int64")) for k in counts), *(pa.array(ranges[k][used]) for k in ranges), pa.nulls(int(used.sum()), OUT.types[-1])], schema=OUT)
     parts = [summary]
     for kind, mask in (("impossible", impossible & own), ("stuck", stuck & own), ("spike", suspect & own)):
         at = np.flatnonzero(mask)
-        none = [pa.nulls(len(at), t) for t in OUT.types[5:]]
-        parts.append(pa.table([name_at(at), field_at(at), pa.array([kind] * len(at), pa.string()), pa.array(post[rows[at]]), pa.array(v[at]), *none], schema=OUT))
+        none = [pa.nulls(len(at), t) for t in OUT.types[5:-1]]
+        stretches = pa.array([stretch.get(int(k)) for k in at] if kind == "spike" else [None] * len(at), OUT.types[-1])
+        parts.append(pa.table([name_at(at), field_at(at), pa.array([kind] * len(at), pa.string()), pa.array(post[rows[at]]), pa.array(v[at]), *none, stretches], schema=OUT))
     return pa.concat_tables(parts)
 
 
-def _grow(bins: list, low: float, high: float, reach: float) -> tuple[float, float]:
-    """The ordinary range after all suspects that are within its reach have joined, nearest first."""
+def _grow(bins: list, stretches: list, low: float, high: float, reach: float) -> tuple[float, float]:
+    """The ordinary range after all suspects that are within its reach have joined, nearest first, and stretches that stay outside it."""
     above = sorted((b for b in bins if b["low"] > high), key=lambda b: b["low"])
     below = sorted((b for b in bins if b["high"] < low), key=lambda b: -b["high"])
     while True:
@@ -143,6 +152,10 @@ def _grow(bins: list, low: float, high: float, reach: float) -> tuple[float, flo
             high = max(high, above.pop(0)["high"])
         elif below and low - below[0]["high"] <= reach * width:
             low = min(low, below.pop(0)["low"])
+        elif stretches := [s for s in stretches if (s["above_near"] is None or s["above_near"] > high) and (s["below_near"] is None or s["below_near"] < low)]:
+            near = min(stretches, key=lambda s: max(0 if s["above_far"] is None else s["above_far"] - high, 0 if s["below_far"] is None else low - s["below_far"]))
+            high = high if near["above_far"] is None else max(high, near["above_far"])
+            low = low if near["below_far"] is None else min(low, near["below_far"])
         else:
             return low, high
 
@@ -164,17 +177,25 @@ def flag_readings(posts: DataFrame, kind_fields: DataFrame, *, weight: float = 0
     repeats = F.col("n_same") * 3 >= F.col("n")
     totals = seen.where("row_kind = 'summary'").groupBy(*key).agg(F.sum("n").alias("n"), F.sum("n_same").alias("n_same"), F.min("low").alias("low"), F.max("high").alias("high"), F.min("low_moving").alias("low_moving"), F.max("high_moving").alias("high_moving"))
     totals = totals.select(*key, repeats.alias("repeats"), F.when(repeats, F.col("low")).otherwise(F.col("low_moving")).alias("low"), F.when(repeats, F.col("high")).otherwise(F.col("high_moving")).alias("high"))
-    candidates = seen.where("row_kind != 'summary'").select(*key, "row_kind", "post_id", "v").join(totals, key)
+    candidates = seen.where("row_kind != 'summary'").select(*key, "row_kind", "post_id", "v", "stretch").join(totals, key)
     spikes = candidates.where((F.col("row_kind") == "spike") & ((F.col("v") < F.col("low")) | (F.col("v") > F.col("high"))))
     # Suspects by side and binary order of their distance from the middle: a gap that ends the range is wider than a bin.
     middle = (F.col("low") + F.col("high")) / 2
-    order = F.floor(F.log2(F.abs(F.col("v") - middle))).cast("int")
-    bins = spikes.groupBy(*key, "low", "high", (F.col("v") > F.col("high")).alias("above"), order.alias("bin")).agg(F.min("v").alias("bin_low"), F.max("v").alias("bin_high"))
+    order = lambda x: F.floor(F.log2(F.abs(x - middle))).cast("int")
+    bins = spikes.groupBy(*key, "low", "high", (F.col("v") > F.col("high")).alias("above"), order(F.col("v")).alias("bin")).agg(F.min("v").alias("bin_low"), F.max("v").alias("bin_high"))
     bins = bins.groupBy(*key, "low", "high").agg(F.collect_list(F.struct(F.col("bin_low").alias("low"), F.col("bin_high").alias("high"))).alias("bins"))
+    # Stretches by the bins of their nearest and farthest readings on either side; those with a reading in the range are none.
+    outside = spikes.where(F.col("stretch").isNotNull() & ~F.exists("stretch", lambda x: (x >= F.col("low")) & (x <= F.col("high"))))
+    over, under = F.filter("stretch", lambda x: x > F.col("high")), F.filter("stretch", lambda x: x < F.col("low"))
+    edges = {"above_near": F.array_min(over), "above_far": F.array_max(over), "below_near": F.array_max(under), "below_far": F.array_min(under)}
+    outside = outside.select(*key, "low", "high", *(c.alias(k) for k, c in edges.items()))
+    outside = outside.groupBy(*key, *(order(F.col(k)).alias(f"{k}_bin") for k in edges)).agg(F.min("above_near").alias("above_near"), F.max("above_far").alias("above_far"), F.max("below_near").alias("below_near"), F.min("below_far").alias("below_far"))
+    bins = bins.join(outside.groupBy(*key).agg(F.collect_list(F.struct(*edges)).alias("stretches")), key, "left")
 
     def widen(batches):
         for pdf in batches:
-            found = [_grow([b if isinstance(b, dict) else b.asDict() for b in bs], lo, hi, reach) for bs, lo, hi in zip(pdf.bins, pdf.low, pdf.high)]
+            dicts = lambda xs: [x if isinstance(x, dict) else x.asDict() for x in (xs if xs is not None else ())]
+            found = [_grow(dicts(bs), dicts(ss), lo, hi, reach) for bs, ss, lo, hi in zip(pdf.bins, pdf.stretches, pdf.low, pdf.high)]
             yield pdf[key].assign(wide_low=[f[0] for f in found], wide_high=[f[1] for f in found])
 
     ranges = bins.mapInPandas(widen, "index_name string, field_name string, wide_low double, wide_high double")

@@ -49,6 +49,27 @@ def test_spikes_of_three_posts(spark):
     assert flags(spark, series(v)) == {(k, "v", "spike") for k in (50, 51, 52, 0, len(v) - 1)}
 
 
+@pytest.mark.parametrize("before", [88.0, 12.0])
+def test_a_tail_reading_beside_spikes_is_no_level(spark, before):
+    rng = np.random.default_rng(3)
+    v = rng.normal(10, 1, 800)
+    v[[100, 200, 300, 600]] = 20.0, 38.0, 80.0, 88.0  # ordinary: each in reach of the range with those before
+    v[399], v[400:403] = before, (5600, 5900, 5700)
+    v[700] = 2000.0
+    ok = catalogue(spark).selectExpr("kind", "field_name", "unit", "low_limit", "high_limit * 10 AS high_limit")
+    found = A.flag_readings(spark.createDataFrame(series(v), SCHEMA), ok).collect()
+    assert {r.post_id for r in found} == {400, 401, 402, 700} and {r.case_kind for r in found} == {"spike"}
+
+
+def test_a_level_as_long_as_four_posts_is_ordinary(spark):
+    v = np.tile([10.0, 11.0, 12.0, 11.5], 60)
+    v[50:54] = [40, 41, 39, 40]
+    v[100:104] = [-300, 900, -300, 900]
+    v[150:153] = 5000.0
+    ok = catalogue(spark).selectExpr("kind", "field_name", "unit", "-1e6 AS low_limit", "1e6 AS high_limit")
+    assert {r.post_id for r in A.flag_readings(spark.createDataFrame(series(v), SCHEMA), ok).collect()} == {150, 151, 152}
+
+
 def test_often_equal_fields_and_codes_do_not_stick(spark):
     assert flags(spark, series([5.0] * 40)) == set()
     assert flags(spark, series([2.0] * 20 + [1.0, 3.0] * 40, field="c")) == set()
