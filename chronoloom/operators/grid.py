@@ -4,7 +4,8 @@
    arise but those that count), and are reduced to one row per request and bucket.
 2. For each requested field of a series a harmonic seasonal regression with trend is fitted over all its posts: the
    entries of the normal equations are plain sums, added up where the posts lie and merged; readings outside the field's
-   limits or the quartile fences stay out of the fit.
+   limits stay out of the fit, and those outside the quartile fences, except in fields of counts and rain and where the
+   quartiles are equal.
 3. Empty buckets take the prediction plus the residual of the observed buckets before and after, bridged linearly; before
    the first and after the last the nearest residual holds. Coded fields repeat the last code instead.
 
@@ -36,6 +37,8 @@ PERIODS = ((1.0, 2), (7.0, 1))
 #: Trend runs in years from this day, so that the normal equations stay well conditioned.
 TREND_DAY = 20_000
 RIDGE = 1e-6
+#: Units of counts and rain: rare large readings are normal there and belong in the fit.
+UNFENCED_UNITS = ("n", "mm")
 OUT = "grid_id long, bucket_us long, value double, n_readings long, cell_state string"
 
 
@@ -97,17 +100,17 @@ def _features_of(us: np.ndarray) -> np.ndarray:
 def seasonal_models(posts: DataFrame, fields: DataFrame, limits: DataFrame) -> DataFrame:
     """index_name, field_name, sums: the normal equations (upper triangle, then right-hand side) of the seasonal regression.
 
-    posts: standing; fields: distinct index_name, field_name; limits: kind, field_name, low_limit, high_limit.
+    posts: standing; fields: distinct index_name, field_name; limits: kind, field_name, low_limit, high_limit, unfenced.
     """
     key = ["index_name", "field_name"]
     v = F.try_element_at("value", F.col("field_name"))
     readings = posts.join(fields, "index_name").select(*key, _us(F.col("ts")).alias("us"), v.alias("v")).where(F.col("v").isNotNull() & ~F.isnan("v") & (F.abs("v") < float("inf")))
     kind = F.lower(F.substring_index("index_name", ".", 1))
-    readings = readings.join(F.broadcast(limits.withColumnRenamed("field_name", "f")), (kind == F.col("kind")) & (F.col("field_name") == F.col("f")), "left").where(F.coalesce(F.col("v") >= F.col("low_limit"), F.lit(True)) & F.coalesce(F.col("v") <= F.col("high_limit"), F.lit(True)))
+    readings = readings.join(F.broadcast(limits.withColumnRenamed("field_name", "f")), (kind == F.col("kind")) & (F.col("field_name") == F.col("f")), "left").where(F.coalesce(F.col("v") >= F.col("low_limit"), F.lit(True)) & F.coalesce(F.col("v") <= F.col("high_limit"), F.lit(True))).withColumn("unfenced", F.coalesce("unfenced", F.lit(False)))
     quartiles = readings.groupBy(*key).agg(F.percentile_approx("v", [0.25, 0.75], 200).alias("q")).select(*key, F.col("q")[0].alias("q1"), F.col("q")[1].alias("q3"))
     quartiles, few = tiling.small(posts.sparkSession, quartiles)
     reach = 3 * (F.col("q3") - F.col("q1"))
-    fenced = readings.join(F.broadcast(quartiles) if few else quartiles, key).where(F.col("v").between(F.col("q1") - reach, F.col("q3") + reach))
+    fenced = readings.join(F.broadcast(quartiles) if few else quartiles, key).where(F.col("unfenced") | (reach == 0) | F.col("v").between(F.col("q1") - reach, F.col("q3") + reach))
     x = _features(F.col("us"))
     names = [f"x{k}" for k in range(len(x))]
     fenced = fenced.select(*key, "v", *(c.alias(n) for c, n in zip(x, names)))
@@ -199,7 +202,7 @@ def regular_grid(posts: DataFrame, requests: DataFrame, kind_fields: DataFrame)
     fields = plan.select("index_name", "field_name").where(F.col("index_name").isNotNull() & F.col("field_name").isNotNull()).distinct()
     asked = posts.join(send(fields.select("index_name").distinct()), "index_name", "left_semi")
     rows = standing(asked)
-    limits_table = kind_fields.where(F.col("kind").isNotNull() & F.col("field_name").isNotNull()).groupBy(F.lower(F.trim("kind")).alias("kind"), "field_name").agg(F.min("low_limit").alias("low_limit"), F.max("high_limit").alias("high_limit"))
+    limits_table = kind_fields.where(F.col("kind").isNotNull() & F.col("field_name").isNotNull()).groupBy(F.lower(F.trim("kind")).alias("kind"), "field_name").agg(F.min("low_limit").alias("low_limit"), F.max("high_limit").alias("high_limit"), F.max(F.coalesce(F.col("unit").isin(*UNFENCED_UNITS), F.lit(False))).alias("unfenced"))
     models = seasonal_models(rows, send(fields), limits_table)
 
     v = F.try_element_at("value", F.col("field_name"))

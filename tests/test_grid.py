@@ -57,3 +57,17 @@ def test_long_requests_cross_spans_and_months(spark, monkeypatch):
     assert values[0] == 10 and values[19] == 29 and (np.diff(values) > 0).all()
     month = lambda m: int((dt.datetime(2024, m, 1) - dt.datetime(1970, 1, 1)).total_seconds()) * 1_000_000
     assert {k[1]: got[k].cell_state == "observed" for k in got if k[0] == 3} == {month(1): False, month(3): True, month(5): False}
+
+
+@pytest.mark.parametrize("field", ["r", "v"])
+def test_a_field_mostly_zero_keeps_its_season(spark, field):
+    """Rain falls from 3 to 6 o'clock only: the fit takes in the wet readings, though both quartiles are 0."""
+    true = lambda h: 4.0 if 3 <= h % 24 < 6 else 0.0
+    posts = [(h, "k.a", AT + dt.timedelta(hours=h), {field: true(h)}, 0) for h in range(24 * 20) if not 240 <= h < 264]
+    kinds = spark.createDataFrame([("k", "r", "mm", 0.0, 200.0), ("k", "v", "V", 0.0, 200.0)], KINDS)
+    request = [(1, "k.a", AT, AT + dt.timedelta(days=20), "1hour", field, 0.0)]
+    rows = G.regular_grid(spark.createDataFrame(posts, POSTS), spark.createDataFrame(request, REQUESTS), kinds).collect()
+    got = {r.bucket_us: r for r in rows}
+    gap = [got[US + h * 60 * MINUTE] for h in range(240, 264)]
+    assert {g.cell_state for g in gap} == {"seasonal"}
+    assert 1.5 < gap[4].value == max(g.value for g in gap) and gap[16].value < 0.5
