@@ -41,9 +41,9 @@ def run_query(points: DataFrame, spec: QuerySpec, *, index: str = "index_name",
     if test is not None:
         rows = rows.where(test)
     order = F.col("ts_ns") if order is None else order
-    names = list(spec.fields)
+    names = list(dict.fromkeys(field for _, field, _ in spec.outputs))
     rows = rows.select(F.col(index).alias("index_name"), bucket_start(F.col(ts), spec.group).alias("bucket_start"), order.alias("__order"), *(value(n).alias(f"__v{k}") for k, n in enumerate(names)))
-    aggregates = [F.coalesce(REDUCERS[spec.fields[n]](F.col(f"__v{k}"), F.col("__order")).cast("double"), F.lit(MISSING)).alias(n) for k, n in enumerate(names)]
+    aggregates = [F.coalesce(REDUCERS[r](F.col(f"__v{names.index(f)}"), F.col("__order")).cast("double"), F.lit(MISSING)).alias(n) for n, f, r in spec.outputs]
     keys = rows.groupBy("index_name", "bucket_start")
     out = keys.agg(*aggregates) if aggregates else keys.agg(F.count("*").alias("__n")).drop("__n")
     return out.orderBy("index_name", "bucket_start") if sort else out

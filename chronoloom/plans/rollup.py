@@ -1,28 +1,37 @@
 """Pre-aggregated buckets: built from points, merged to coarser levels, and used to answer queries that they nest in.
 
 A rollup row is keyed by (index_name, level, bucket_start, field_name). ``first_ns`` and ``last_ns`` make first and last
-mergeable in any order; counts are 64 bits wide.
+mergeable in any order; counts are 64 bits wide. Points without a value keep their bucket by a row whose field is null.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from chronoloom.functions.buckets import bucket_start
 from chronoloom.plans.query import MISSING, in_range, run_query
 from chronoloom.plans.spec import Group, QuerySpec
 
 KEYS = ("index_name", "bucket_start", "field_name")
+ROLLUP_COLUMNS = (*KEYS, "sum", "min", "max", "first", "first_ns", "last", "last_ns", "count")
+ROLLUP_SCHEMA = T.StructType(
+    [T.StructField("index_name", T.StringType()), T.StructField("bucket_start", T.TimestampNTZType()), T.StructField("field_name", T.StringType())]
+    + [T.StructField(c, T.LongType() if c.endswith("_ns") or c == "count" else T.DoubleType()) for c in ROLLUP_COLUMNS[3:]]
+    + [T.StructField("part", T.IntegerType())]
+)
 STORED_LEVELS = ("minute", "hour", "day", "month", "year")
 
 
 def build_rollup(points: DataFrame, level: str) -> DataFrame:
     """Rollup rows of one level of standing points (index_name, ts, ts_ns, value map); null values count nowhere."""
-    cells = points.select("index_name", bucket_start(F.col("ts"), Group(1, level)).alias("bucket_start"), "ts_ns", F.explode("value").alias("field_name", "v")).where(F.col("v").isNotNull())
+    cells = points.select("index_name", bucket_start(F.col("ts"), Group(1, level)).alias("bucket_start"), "ts_ns", F.explode_outer("value").alias("field_name", "v"))
+    # Without a value neither a time of it.
+    cells = cells.withColumns({"field_name": F.when(F.col("v").isNotNull(), F.col("field_name")), "ts_ns": F.when(F.col("v").isNotNull(), F.col("ts_ns"))})
     out = cells.groupBy(*KEYS).agg(
         F.sum("v").alias("sum"), F.min("v").alias("min"), F.max("v").alias("max"),
-        F.min_by("v", "ts_ns").alias("first"), F.min("ts_ns").alias("first_ns"), F.max_by("v", "ts_ns").alias("last"), F.max("ts_ns").alias("last_ns"), F.count("*").alias("count"),
+        F.min_by("v", "ts_ns").alias("first"), F.min("ts_ns").alias("first_ns"), F.max_by("v", "ts_ns").alias("last"), F.max("ts_ns").alias("last_ns"), F.count("v").alias("count"),
     )
     return out.withColumn("level", F.lit(level))
 
@@ -37,29 +46,38 @@ def merge_rollup(rollup: DataFrame, group: Group, level: str | None = None) -> D
     return out.withColumn("level", F.lit(level or group.unit))
 
 
-def choose_level(spec: QuerySpec, stored: tuple[str, ...] = STORED_LEVELS) -> str | None:
-    """The coarsest stored level whose buckets make up the query's and whose edges its range ends on; None: use points."""
+def choose_level(spec: QuerySpec, stored: tuple[str, ...] = STORED_LEVELS, whole: bool = True) -> str | None:
+    """The coarsest stored level whose buckets make up the query's; whole: and on whose edges its range ends. None: use points."""
     order = [level for level in reversed(STORED_LEVELS) if level in stored]
     for level in order:
         own = Group(1, level)
-        if own.nests_in(spec.group) and (spec.end_us is None or own.floor_us(spec.end_us) == spec.end_us):
+        if own.nests_in(spec.group) and (not whole or spec.end_us is None or own.floor_us(spec.end_us) == spec.end_us):
             return level
     return None
 
 
-def query_rollup(rollup: DataFrame, spec: QuerySpec, level: str) -> DataFrame:
-    """The query's answer from rollup rows of a level that ``choose_level`` named; the same rows as ``run_query`` gives."""
-    rows = rollup.where(F.col("level") == level)
+def _reduced(field: str, reducer: str) -> Column:
+    """A reducer over rollup rows, from those of one field."""
+    of = lambda c: F.when(F.col("field_name") == field, F.col(c))
+    if reducer in ("first", "last"):
+        return (F.min_by if reducer == "first" else F.max_by)(of(reducer), of(f"{reducer}_ns"))
+    if reducer in ("avg", "ma"):
+        return F.try_divide(F.sum(of("sum")), F.sum(of("count")))
+    return {"min": F.min, "max": F.max}.get(reducer, F.sum)(of(reducer))
+
+
+def query_rollup(rollup: DataFrame, spec: QuerySpec, level: str | None = None, sort: bool = True) -> DataFrame:
+    """The query's answer from rollup rows (of one level, if it names one) that nest in its group; the same rows as ``run_query`` gives."""
+    rows = rollup if level is None else rollup.where(F.col("level") == level)
     if spec.index_names is not None:
         rows = rows.where(F.col("index_name").isin(*spec.index_names))
     test = in_range(F.col("bucket_start"), spec.start_us, spec.end_us)
     if test is not None:
         rows = rows.where(test)
-    merged = merge_rollup(rows, spec.group)
-    value = {"sum": F.col("sum"), "min": F.col("min"), "max": F.col("max"), "first": F.col("first"), "last": F.col("last"), "count": F.col("count"), "avg": F.col("sum") / F.col("count"), "ma": F.col("sum") / F.col("count")}
-    columns = [F.coalesce(F.max(F.when(F.col("field_name") == n, value[r].cast("double"))), F.lit(MISSING)).alias(n) for n, r in spec.fields.items()]
-    keyed = merged.groupBy("index_name", "bucket_start")
-    return (keyed.agg(*columns) if columns else keyed.agg(F.count("*").alias("__n")).drop("__n")).orderBy("index_name", "bucket_start")
+    keyed = rows.withColumn("bucket_start", bucket_start(F.col("bucket_start"), spec.group)).groupBy("index_name", "bucket_start")
+    columns = [F.coalesce(_reduced(f, r).cast("double"), F.lit(MISSING)).alias(n) for n, f, r in spec.outputs]
+    out = keyed.agg(*columns) if columns else keyed.agg(F.count("*").alias("__n")).drop("__n")
+    return out.orderBy("index_name", "bucket_start") if sort else out
 
 
 def answer(points: DataFrame, rollup: DataFrame | None, spec: QuerySpec, stored: tuple[str, ...] = STORED_LEVELS) -> DataFrame:

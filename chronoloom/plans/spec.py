@@ -79,10 +79,11 @@ def parse_ns(text: str, zone: str = "UTC", order: str = "ymd") -> int:
 class QuerySpec:
     """One aggregation: series, half-open range (its start floored to the bucket), bucket width, a reducer for each field.
 
-    Several series, and open bounds, go beyond the single-series form; ``index_names`` None means all series.
+    Several series, and open bounds, go beyond the single-series form; ``index_names`` None means all series. In place of
+    a reducer (field, reducer) may stand, so that a field can have several: the key is then the name of the result.
     """
 
-    fields: Mapping[str, str]
+    fields: Mapping[str, str | tuple[str, str]]
     group: Group = Group(1, "year")
     index_names: tuple[str, ...] | None = None
     from_ns: int | None = None
@@ -90,10 +91,15 @@ class QuerySpec:
     extra: Mapping[str, str] = field(default_factory=dict)
 
     def __post_init__(self):
-        for name, reducer in self.fields.items():
+        for name, _, reducer in self.outputs:
             if reducer not in REDUCERS:
                 raise BadReducerError(f"field {name!r}: unknown reducer {reducer!r}; there are {', '.join(REDUCERS)}")
 
+    @property
+    def outputs(self) -> list[tuple[str, str, str]]:
+        """Name of the result, field and reducer of each."""
+        return [(name, *((name, r) if isinstance(r, str) or r is None else r)) for name, r in self.fields.items()]
+
     @property
     def start_us(self) -> int | None:
         """First instant asked for: the start of the bucket that holds ``from``."""
@@ -106,7 +112,10 @@ class QuerySpec:
 
     @classmethod
     def from_json(cls, body: str | bytes | Mapping) -> QuerySpec:
-        """From ``{"index", "from", "to", "group", "fields": {name: {"reducer": name}}}``; from and to are required."""
+        """From ``{"index", "from", "to", "group", "fields": {name: {"reducer": name}}}``; from and to are required.
+
+        An entry of fields may name its field (``{"field": name, "reducer": name}``) where it isn't the key.
+        """
         if not isinstance(body, Mapping):
             try:
                 body = json.loads(body)
@@ -115,7 +124,8 @@ class QuerySpec:
         if not isinstance(body, Mapping) or not isinstance(body.get("fields", {}), Mapping):
             raise MalformedBodyError("a query is an object with an object of fields")
         index = body.get("index")
-        fields = {str(k): v.get("reducer", "") if isinstance(v, Mapping) else v for k, v in body.get("fields", {}).items()}
+        reducer_of = lambda v: v.get("reducer", "") if isinstance(v, Mapping) else str(v)
+        fields = {str(k): (str(v["field"]), reducer_of(v)) if isinstance(v, Mapping) and "field" in v else reducer_of(v) for k, v in body.get("fields", {}).items()}
         names = None if index is None else tuple(index) if isinstance(index, (list, tuple)) else (str(index),)
         for bound in ("from", "to"):
             if not isinstance(body.get(bound), str):

@@ -2,11 +2,16 @@
 
 from __future__ import annotations
 
+import atexit
 import os
+import shutil
 import tempfile
+import uuid
 
 from pyspark.sql import SparkSession
 
+_LOCAL: list[str] = []
+
 
 def local_session(cores: int | str = "*", shuffle_partitions: int = 8, memory: str = "8g") -> SparkSession:
     return (
@@ -19,13 +24,40 @@ def local_session(cores: int | str = "*", shuffle_partitions: int = 8, memory: s
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
         .config("spark.driver.host", "127.0.0.1")
+        .config("spark.cleaner.referenceTracking.cleanCheckpoints", "true")
         .config("spark.sql.warehouse.dir", os.path.join(tempfile.gettempdir(), "chronoloom-warehouse"))
         .getOrCreate()
     )
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that driver and executors share: ``spark.checkpoint.dir``.
+
+    Where it is unset a local session, whose driver and executors are one process, gets a temporary folder that is removed
+    at its end; on a cluster an error is raised, as nothing that one machine writes could be read by the others.
+    """
+    named = spark.conf.get("spark.checkpoint.dir", None)
+    if named:
+        return named.rstrip("/")
+    if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+        raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
+    if not _LOCAL:
+        _LOCAL.append(tempfile.mkdtemp(prefix="chronoloom-"))
+        atexit.register(shutil.rmtree, _LOCAL[0], ignore_errors=True)
+    return _LOCAL[0]
+
+
 def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    """Checkpoints go to the shared folder that the session names; only where none is named, to a local one."""
+    """Checkpoints go to the shared folder, unless the caller has set another."""
     if spark.sparkContext.getCheckpointDir() is None:
-        named = spark.conf.get("spark.checkpoint.dir", None)
-        spark.sparkContext.setCheckpointDir(named or tempfile.mkdtemp(prefix="chronoloom-checkpoint-"))
+        spark.sparkContext.setCheckpointDir(shared_folder(spark))
+
+
+def scratch_folder(spark: SparkSession) -> str:
+    """A new folder in the shared one, deleted when the driver ends."""
+    at = f"{shared_folder(spark)}/scratch-{uuid.uuid4().hex}"
+    path = spark._jvm.org.apache.hadoop.fs.Path(at)
+    fs = path.getFileSystem(spark._jsc.hadoopConfiguration())
+    fs.mkdirs(path)
+    fs.deleteOnExit(path)
+    return at

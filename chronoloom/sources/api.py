@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import json
 import logging
+import math
 import re
 import time
 from collections.abc import Callable
@@ -14,10 +15,10 @@ from urllib.parse import unquote
 
 from chronoloom.errors import ChronoloomError, DatabaseExistsError, DatabaseNotFoundError
 from chronoloom.plans.spec import EPOCH
-from chronoloom.sources.store import Store
+from chronoloom.sources.store import DB_NAME, Store
 
 log = logging.getLogger(__name__)
-DB = r"(?P<db>[-%+()$_a-zA-Z0-9]+)"
+DB = rf"(?P<db>{DB_NAME})"
 INDEX = r"(?P<index>[^/]+)"
 Answer = tuple[int, Any]
 
@@ -27,7 +28,7 @@ class Api:
 
     def __init__(self, store: Store, version: str = "0.1.0"):
         self.store, self.version = store, version
-        #: First match wins, so fixed names come before patterns that would take them.
+        #: Methods and paths are the outer interface. First match wins, so fixed names come before patterns that would take them.
         self.routes: list[tuple[str, re.Pattern, Callable[..., Answer]]] = [
             (method, re.compile(path), handler)
             for method, path, handler in (
@@ -105,10 +106,21 @@ class Api:
                 bounds = json.loads(body)
             except ValueError as e:
                 return 400, {"error": "MalformedBodyError", "reason": str(e)}
+            if not isinstance(bounds, dict) or not all(isinstance(bounds.get(k), (str, type(None))) for k in ("from", "to")):
+                return 400, {"error": "MalformedBodyError", "reason": "a range is an object with the texts 'from' and 'to'"}
             self.store.delete(db, index, bounds.get("from"), bounds.get("to"))
         return 201, None
 
 
+def finite(value: Any) -> Any:
+    """The value with null for each number that JSON can't write (sums of accepted points may overflow)."""
+    if isinstance(value, dict):
+        return {k: finite(v) for k, v in value.items()}
+    if isinstance(value, list):
+        return [finite(v) for v in value]
+    return None if isinstance(value, float) and not math.isfinite(value) else value
+
+
 def serve(api: Api, port: int = 9527, host: str = "127.0.0.1") -> ThreadingHTTPServer:
     """A server for the routes; the caller runs ``serve_forever``."""
 
@@ -118,7 +130,7 @@ def serve(api: Api, port: int = 9527, host: str = "127.0.0.1") -> ThreadingHTTPS
         def _any(self) -> None:
             size = int(self.headers.get("Content-Length") or 0)
             status, value = api.handle(self.command, self.path, self.rfile.read(size) if size else b"")
-            data = b"" if value is None else json.dumps(value).encode()
+            data = b"" if value is None else json.dumps(finite(value), allow_nan=False).encode()
             self.send_response(status)
             self.send_header("Access-Control-Allow-Origin", "*")
             self.send_header("Content-Type", "application/json")

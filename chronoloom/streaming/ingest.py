@@ -1,17 +1,19 @@
 """Continuous ingest into a store, and rollups maintained as points arrive.
 
-Both write through ``foreachBatch`` under a name that the batch id fixes, so a batch that is replayed after a failure
-replaces what it wrote and nothing counts twice. Points of any age are accepted: late ones change only the buckets that
-they fall in. Without a watermark no state is held in the stream at all - the rollup is on disk.
+A batch that is replayed after a failure counts once: in the store its stream and batch id are part of the commit itself,
+so either both are seen or neither, and a rollup's part is written under a name that the batch id fixes. Points of any
+age are accepted: late ones change only the buckets that they fall in. Without a watermark no state is held in the stream
+at all - the rollup is on disk.
 """
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import DataStreamWriter
 
-from chronoloom.functions.buckets import bucket_start
 from chronoloom.plans.rollup import build_rollup, merge_rollup
 from chronoloom.plans.spec import Group
 from chronoloom.sources.store import BODY, Store
@@ -22,28 +24,38 @@ def read_rows(spark: SparkSession, path: str, files_per_batch: int = 100) -> Dat
     return spark.readStream.schema(BODY).option("maxFilesPerTrigger", files_per_batch).json(path)
 
 
-def into_store(rows: DataFrame, store: Store, db: str, checkpoint: str, on_rejected=None) -> DataStreamWriter:
+def into_store(rows: DataFrame, store: Store, db: str, checkpoint: str, on_rejected=None, stream: str | None = None) -> DataStreamWriter:
     """Writer that appends each micro-batch as one commit; rejected rows go to ``on_rejected(frame, batch_id)``.
 
-    The batch id is kept with the commit, so a replayed batch is recognised.
+    stream: what names the stream among those that write into the database, by default the id in its checkpoint. Batches
+    are numbered anew where a checkpoint is, so a name may be kept only together with its checkpoint.
     """
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        done = store._path(db, "batches", f"{batch_id}")
-        if store._fs.exists(done):
+        source = f"{stream or _stream_id(batch.sparkSession, checkpoint)}/{batch_id}"
+        if store.done(db, source):
             return
         batch = batch.persist()
         try:
-            result = store.ingest(db, batch.withColumn("pos", F.monotonically_increasing_id()))
+            result = store.ingest(db, batch.withColumn("pos", F.monotonically_increasing_id()), source)
             if on_rejected is not None:
                 on_rejected(result.rejected, batch_id)
-            store._fs.mkdirs(done)
         finally:
             batch.unpersist()
 
     return rows.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
 
 
+def _stream_id(spark: SparkSession, checkpoint: str) -> str:
+    """The id that the engine gave the stream when it made the checkpoint."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(checkpoint, "metadata")
+    stream = path.getFileSystem(spark._jsc.hadoopConfiguration()).open(path)
+    try:
+        return json.loads(spark._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8"))["id"]
+    finally:
+        stream.close()
+
+
 def into_rollup(points: DataFrame, path: str, level: str, checkpoint: str) -> DataStreamWriter:
     """Writer that keeps a rollup of one level; each micro-batch adds one part per bucket that it touches.
 
@@ -70,16 +82,3 @@ def windowed(points: DataFrame, group: Group, late: str) -> DataFrame:
         raise ValueError("months and years vary in length; use into_rollup")
     rows = points.withWatermark("ts", late).groupBy("index_name", "field_name", F.window("ts", f"{group.step_us} microseconds"))
     return rows.agg(F.sum("v").alias("sum"), F.min("v").alias("min"), F.max("v").alias("max"), F.min_by("v", "ts_ns").alias("first"), F.max_by("v", "ts_ns").alias("last"), F.count("v").alias("count")).select("index_name", "field_name", F.col("window.start").alias("bucket_start"), "sum", "min", "max", "first", "last", "count")
-
-
-def touched_days(points: DataFrame) -> DataFrame:
-    """Series and days that a batch changes: what a batch recompute of its rollups has to read again."""
-    return points.select("index_name", bucket_start(F.col("ts"), Group(1, "day")).alias("day")).distinct()
-
-
-def refresh_days(rollup: DataFrame, standing: DataFrame, days: DataFrame, level: str) -> DataFrame:
-    """A rollup of a level up to a day with the touched days computed anew from standing points, after upserts or deletes."""
-    start = bucket_start(F.col("bucket_start"), Group(1, "day"))
-    kept = rollup.withColumn("day", start).join(days, ["index_name", "day"], "left_anti").drop("day")
-    again = standing.withColumn("day", bucket_start(F.col("ts"), Group(1, "day"))).join(days, ["index_name", "day"], "left_semi").drop("day")
-    return kept.unionByName(build_rollup(again, level))
