@@ -1,12 +1,18 @@
 """Planted passages in every dress are found, and phrases that anyone uses are not."""
 
+import os
 import random
 
+import numpy as np
+import pandas as pd
 import pytest
 
+from chronoloom.llm import bpe
 from chronoloom.llm import leaks as L
 from tests.conftest import DATA
 
+pytestmark = pytest.mark.skipif(not os.path.exists(bpe.DEFAULT_PATH), reason="no vocabulary")
+
 
 def words_like_item(rng, n):
     stems = [a + b for a in ("orb", "sens", "vort", "plas", "kern", "mark", "latt", "enz", "can", "lig") for b in ("it", "or", "ex", "ma", "el", "et", "ice", "yme")]
@@ -24,13 +30,39 @@ def items():
     return [(i, "State whether the claim holds. " + " ".join(words_like_item(rng, 70)) + ".") for i in range(30)]
 
 
+class Index:
+    """Brute force in place of the joins: every class is checked at each of its windows that a text has."""
+
+    def __init__(self, rows):
+        of = L.coder()
+        self.ids, words = {}, {}
+        for i, t in rows:
+            c = of.codes(t)
+            if len(c) >= 3:
+                self.ids.setdefault(c.tobytes(), set()).add(i)
+                words[c.tobytes()] = c
+        hashes = {k: L.windows(c, min(L.WINDOW, len(c)))[0] for k, c in words.items()}
+        held = [x for h in hashes.values() for x in set(h.tolist())]
+        shared = {x for x in set(held) if held.count(x) >= L.PHRASE_ITEMS} if len(held) < 20_000 else {x for x, n in zip(*np.unique(held, return_counts=True)) if n >= L.PHRASE_ITEMS}
+        pdf = pd.DataFrame([(k, k, [x for x in set(hashes[k].tolist()) if x in shared]) for k in words], columns=["class_id", "words", "shared"])
+        self.classes = next(L._finish_items(iter([pdf])))
+
+    def find(self, text):
+        codes = L.coder().codes(text)
+        out = set()
+        for r in self.classes.itertuples():
+            item, own = np.frombuffer(r.words, "int64"), np.frombuffer(r.own, bool)
+            size = min(L.WINDOW, len(item))
+            h, at = L.windows(codes, size)
+            hits = sorted((int(a), size) for a in at[np.isin(h, r.keys)])
+            if L.leaked(item, own, codes, hits):
+                out |= self.ids[r.words]
+        return out
+
+
 @pytest.fixture(scope="module")
 def index(items):
-    seen: dict[str, int] = {}
-    for _, t in items:
-        for w in set(L.plain_words(t)):
-            seen[w] = seen.get(w, 0) + 1
-    return L.ItemIndex.build(items, {w for w, c in seen.items() if c >= 2})
+    return Index(items)
 
 
 def passage(items, k, a=0.0, b=1.0):
@@ -39,7 +71,7 @@ def passage(items, k, a=0.0, b=1.0):
 
 
 def found(index, text):
-    return {i for i, *_ in L.leaks_of(text, index)}
+    return index.find(text)
 
 
 FILLER = "\\section{Results}\nWe note in passing that nothing of the sort was seen before.\n\n"
@@ -82,12 +114,51 @@ def test_parts(index, items):
         assert found(index, FILLER + " ".join(passage(items, k, 0.4, 0.6)) + FILLER) == set()
 
 
-def test_reparameterised_numbers_and_names(index, items):
-    text = " ".join(passage(items, 4))
-    names = sorted({w for w in L.plain_words(text) if w not in index.lexicon})
-    for n, w in enumerate(names):
-        text = text.replace(w, f"zor{'abcdefgh'[n % 8]}mik")
-    assert found(index, text) == {items[4][0]}
+def renamed(text, lexicon):
+    """The text with every name and number replaced, each by one of its own."""
+    names = sorted({w for w in L.plain_words(text) if w not in lexicon and w not in L.UNITS})
+    to = {w: str(7_001 + n) if w[0] <= "9" else f"zor{chr(97 + n % 26)}{chr(97 + n // 26)}mik" for n, w in enumerate(names)}
+    return " ".join(to.get(w, w) for w in L.plain_words(text))
+
+
+QUESTION = "A train leaves Quoxton at 240 km and reaches Zyrmond after 37 hours. How far is it from Quoxton to the bridge at Velgarth?"
+
+
+@pytest.mark.parametrize("words", [14, 20, 26])
+def test_reparameterised(index, items, words):
+    """A question whose names and numbers are all replaced, one for one, is found at any length; filled at random it isn't."""
+    lexicon = L.coder().lexicon
+    question = " ".join(L.plain_words(QUESTION)[:words])
+    one = Index([*items, (77, question)])
+    assert found(one, FILLER + renamed(question, lexicon) + FILLER) == {77}
+    rng = random.Random(1)
+    mixed = " ".join(w if w in lexicon or w in L.UNITS else f"zor{chr(97 + rng.randrange(26))}mik" for w in renamed(question, lexicon).split())
+    # Below 20 words the question has no name twice.
+    assert found(one, FILLER + mixed + FILLER) == set() or words < 20
+    # The names that no other item has, in an item of many invented words.
+    others = {w for i, t in items if i != items[4][0] for w in L.plain_words(t)}
+    assert items[4][0] in found(index, renamed(" ".join(passage(items, 4)), lexicon | others))
+
+
+@pytest.mark.parametrize("n", [1, 4, 50])
+@pytest.mark.parametrize("size", [26, 80])
+def test_variants_of_one_text(n, size):
+    """However many near-identical items there are, a document with what they share leaks each of them."""
+    rng = random.Random(n)
+    base = words_like_item(rng, size)
+    variants = [(k, " ".join([*base[:-2], f"last{chr(97 + k % 26)}{chr(97 + k // 26)}", "word"])) for k in range(n)]
+    others = [(1_000 + k, "State whether the claim holds. " + " ".join(words_like_item(rng, 70))) for k in range(30)]
+    index = Index(variants + others)
+    assert found(index, FILLER + " ".join(base[:-2]) + "\n\n" + FILLER) == {k for k, _ in variants}
+    assert found(index, FILLER + "State whether the claim holds. " + FILLER) == set()
+
+
+@pytest.mark.parametrize("text", ["Qoxr vlumt zabni prengol duvax hirst omkel wurb jentop kasrid yulme brofa xand tirgel poqsu", "seven grey owls sleep here", "zebra quilts hum", "why do four owls sleep by day"])
+def test_rare_words_and_short_items(items, text):
+    """Items of names only, and of five, three and seven words, word for word."""
+    index = Index([*items, (500, text), (501, "two words"), (502, "one")])
+    assert found(index, FILLER + f"\\emph{{{text}}}." + FILLER) == {500}
+    assert found(index, FILLER + " ".join(text.split()[::-1]) + " two words, one." + FILLER) == set()
 
 
 def test_no_leak(index, items):
@@ -98,13 +169,36 @@ def test_no_leak(index, items):
         assert found(index, " ".join(words_like_item(rng, 600))) == set()
 
 
-def test_tables(spark, items):
-    docs = spark.createDataFrame([(1, items[0][1], 9), (1, items[0][1], 9), (2, None, 9), (3, "", 9), (4, items[1][1] + FILLER * 2_000, 9), (None, items[2][1], 9)], "doc_id long, text string, item_id long")
-    ev = spark.createDataFrame([*items, (90, None), (91, ""), (None, "x"), items[0]], "item_id long, text string")
-    for block in (20_000, 7):
-        got = sorted((r.doc_id, r.item_id) for r in L.find_leaks(docs, ev, block_items=block).select("doc_id", "item_id").distinct().collect())
-        assert got == ([(1, 0), (4, 1)] if block == 20_000 else got) and (1, 0) in got
-    assert L.find_leaks(docs.limit(0), ev).count() == 0 and L.find_leaks(docs, ev.limit(0)).count() == 0
+def test_tables(spark, items, index):
+    docs = spark.createDataFrame([(1, items[0][1], 9), (1, items[0][1], 9), (2, None, 9), (3, "", 9), (4, items[1][1] + FILLER * 2_000, 9), (None, items[2][1], 9), (5, "seven grey owls sleep here", 9)], "doc_id long, text string, item_id long")
+    ev = spark.createDataFrame([*items, (90, None), (91, ""), (None, "x"), items[0], (92, items[0][1].upper()), (93, "seven grey owls sleep here")], "item_id long, text string")
+    pairs = lambda *a: sorted((r.doc_id, r.item_id) for r in L.find_leaks(*a).collect())
+    assert pairs(docs, ev) == [(1, 0), (1, 92), (4, 1), (5, 93)]
+    assert pairs(docs.limit(0), ev) == pairs(docs, ev.limit(0)) == pairs(docs, ev.where("item_id = 90")) == []
+
+
+def test_filter_never_loses_a_key():
+    rng = np.random.default_rng(2)
+    h, c = rng.integers(-(2**62), 2**62, 60_000), rng.integers(0, 2**62, 60_000)
+    h[30_000:40_000] = h[:10_000]
+    h[40_000:45_000] = h[0]  # one window of very many classes
+    whole, parts = L.Filter.of(h, c, 16), L.Filter.of(h[:31_234], c[:31_234], 16).merge(L.Filter.of(h[31_234:], c[31_234:], 16))
+    for f in (whole, parts):
+        s = f.signatures(h)
+        assert ((s == c % (L.MANY - 1) + 1).any(axis=0) | (s[0] == L.MANY)).all()
+    assert (np.sort(whole.table, axis=0) == np.sort(parts.table, axis=0)).all()
+
+
+def test_join_and_filter_lose_nothing(spark, items, index):
+    """The distributed search gives what brute force over all classes gives."""
+    rng = random.Random(3)
+    texts = [FILLER + " ".join(passage(items, k % 30, (k % 5) / 10, 0.4 + (k % 7) / 10)) + FILLER * (k % 4) for k in range(60)]
+    texts += [FILLER + " ".join(w if k % 6 else "other" for k, w in enumerate(passage(items, j, 0.1, 0.8), 1)) for j in range(30)]
+    texts += [renamed(items[k][1], L.coder().lexicon) for k in range(10)] + [" ".join(words_like_item(rng, 400)) for _ in range(20)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {(r.doc_id, r.item_id) for r in L.find_leaks(docs, spark.createDataFrame(items, "item_id long, text string")).where("literal").collect()}
+    brute = {(k, i) for k, t in enumerate(texts) for i in index.find(t)}
+    assert got <= brute and {(k, i) for k, i in brute if k < 90} == {x for x in got if x[0] < 90} and len(got) > 60
 
 
 def test_against_plain_overlap_on_the_tables(spark):
