@@ -121,7 +121,7 @@ def renamed(text, lexicon):
     return " ".join(to.get(w, w) for w in L.plain_words(text))
 
 
-QUESTION = "A train leaves Quoxton at 240 km and reaches Zyrmond after 37 hours. How far is it from Quoxton to the bridge at Velgarth?"
+QUESTION = "Quoxton lies north of Velgarth, and a train leaves Quoxton for Velgarth at 240 km. How far is it from there to Zyrmond after 37 hours?"
 
 
 @pytest.mark.parametrize("words", [14, 20, 26])
@@ -132,9 +132,8 @@ def test_reparameterised(index, items, words):
     one = Index([*items, (77, question)])
     assert found(one, FILLER + renamed(question, lexicon) + FILLER) == {77}
     rng = random.Random(1)
-    mixed = " ".join(w if w in lexicon or w in L.UNITS else f"zor{chr(97 + rng.randrange(26))}mik" for w in renamed(question, lexicon).split())
-    # Below 20 words the question has no name twice.
-    assert found(one, FILLER + mixed + FILLER) == set() or words < 20
+    mixed = " ".join(w if w in lexicon or w in L.UNITS or w[0] <= "9" else f"zor{chr(97 + rng.randrange(26))}mik" for w in renamed(question, lexicon).split())
+    assert found(one, FILLER + mixed + FILLER) == set()
     # The names that no other item has, in an item of many invented words.
     others = {w for i, t in items if i != items[4][0] for w in L.plain_words(t)}
     assert items[4][0] in found(index, renamed(" ".join(passage(items, 4)), lexicon | others))
