@@ -121,10 +121,10 @@ def renamed(text, lexicon):
     return " ".join(to.get(w, w) for w in L.plain_words(text))
 
 
-QUESTION = "Quoxton lies north of Velgarth, and a train leaves Quoxton for Velgarth at 240 km. How far is it from there to Zyrmond after 37 hours?"
+QUESTION = "A train from Quoxton to Velgarth leaves Quoxton at 240 km, reaches Velgarth by 37 hours, and passes Zyrmond near 12 towns before Quoxton."
 
 
-@pytest.mark.parametrize("words", [14, 20, 26])
+@pytest.mark.parametrize("words", [14, 20, 24])
 def test_reparameterised(index, items, words):
     """A question whose names and numbers are all replaced, one for one, is found at any length; filled at random it isn't."""
     lexicon = L.coder().lexicon
