@@ -105,7 +105,7 @@ class _Text:
     def token_cuts(self, start: int, end: int) -> tuple[np.ndarray, np.ndarray]:
         """Positions inside a slice between two tokens of it, where these end with a character, and the tokens before each."""
         cuts, counts, at, n, held = [], [], start, 0, b""
-        for word in (w for block in self.encoder.words(self.text[start:end]) for w in block):
+        for word in self.encoder.words(self.text[start:end]):
             for token in self.encoder.tokens_of(word):
                 held += token
                 n += 1

@@ -44,29 +44,86 @@ def test_long_words(ours, theirs, alphabet, n):
     assert ours.encode(text).tolist() == theirs.encode_ordinary(text)
 
 
-def test_blocks_do_not_show(ours, theirs, monkeypatch):
-    text = "don't  stop -- we'll   see\n\n  what 'll' it's 12345 \r\n" * 40
-    want = theirs.encode_ordinary(text)
-    for block in (7, 16, 100):
-        monkeypatch.setattr(bpe, "BLOCK", block)
-        assert ours.encode(text).tolist() == want
-
-
-def test_tokens_leave_as_soon_as_they_are_stable(ours):
-    vocabulary = ours.vocabulary
-    seen = 0
-
-    def feed():
-        nonlocal seen
-        for k in range(200_000):
-            seen = k
-            yield b"internationalization"[k % 20]
-
-    longest, done = 0, 0
-    for token in vocabulary.stream(feed()):
-        longest = max(longest, seen - done)
-        done += len(token)
-    assert done == 200_000 and longest < 4 * vocabulary.lookahead
+PIECES = ["don't  stop -- we'll   see\n\n  what 'll' it's 12345 \r\n" * 40, "a" * 300 + " " * 200 + "b" * 100 + "1" * 90 + "!" * 80 + " \n" * 50, " " * 100, "x " + "日" * 200 + "\u00a0" * 60 + "'s", "'" * 70 + "re" * 60, "\t" * 90 + "end"]
+
+
+@pytest.mark.parametrize("text", PIECES)
+@pytest.mark.parametrize("size", [1, 2, 7, 16, 100])
+@pytest.mark.parametrize("limit", [4, 20, 1_000])
+def test_pieces_do_not_show(ours, theirs, monkeypatch, text, size, limit):
+    """However a text comes, and wherever its words are opened, its ids are the same."""
+    monkeypatch.setattr(bpe, "OPEN", limit)
+    pieces = [text[k : k + size] for k in range(0, len(text), size)]
+    got = np.frombuffer(b"".join(ours.stream(pieces)), "<i4")
+    assert got.tolist() == theirs.encode_ordinary(text)
+
+
+@settings(max_examples=200, deadline=None)
+@given(text=st.text("ab' \n\t1é日\x1c\x85.", max_size=200), size=st.integers(1, 9), limit=st.integers(3, 30))
+def test_any_pieces(ours, theirs, text, size, limit):
+    kept, bpe.OPEN = bpe.OPEN, limit
+    try:
+        got = np.frombuffer(b"".join(ours.stream(text[k : k + size] for k in range(0, len(text), size))), "<i4")
+    finally:
+        bpe.OPEN = kept
+    assert got.tolist() == theirs.encode_ordinary(text)
+
+
+@pytest.mark.parametrize("alphabet", ["ab", "aeiourst", "=-", " ", "日本", "0123456789"])
+def test_lookahead_suffices(ours, theirs, alphabet):
+    """What left the transducer is a prefix of the ids of every continuation, and nothing later reaches back further."""
+    v = ours.vocabulary
+    rng = random.Random(7)
+    for n in (50, 400, 1_500):
+        word = "".join(rng.choice(alphabet) for _ in range(n)).encode()
+        t = bpe.Transducer(v)
+        out = []
+        for k in range(0, len(word), 10):
+            out += t.feed(word[k : k + 10])
+            assert len(t.kept) <= 3 * v.lookahead
+            done = len(b"".join(out))
+            for more in (b"", alphabet.encode() * 60, b"".join(rng.choice(alphabet).encode() for _ in range(100))):
+                whole = bpe.Transducer(v)
+                tokens = whole.feed(word[: k + 10] + more) + whole.finish()
+                assert tokens[: len(out)] == out
+        assert done <= len(word)
+        text = word.decode()
+        if alphabet != " ":
+            assert [v.ranks[x] for x in out + t.finish()] == theirs.encode_ordinary(text)
+
+
+def test_the_longest_token_bounds_the_lookahead(ours):
+    v = ours.vocabulary
+    assert v.lookahead == max(len(t) for t in v.ranks if v.merge(t) == [t]) and set(v.made) == {t for t in v.ranks if len(t) < 4 and v.merge(t) == [t]} | {t for t in v.made if len(t) >= 4}
+
+
+def test_constant_memory(ours):
+    """Ids leave as the text comes, in words of usual and of any length, and what is held doesn't grow."""
+    import tracemalloc
+
+    for unit in ("the quick brown fox, 12 times. ", "internationalization"):
+        held = []
+        for n in (20, 200):
+            for _ in ours.stream(unit for _ in range(100)):  # fills the tables
+                pass
+            tracemalloc.start()
+            count = sum(len(x) for x in ours.stream(unit * 100 for _ in range(n)))
+            held.append(tracemalloc.get_traced_memory()[1])
+            tracemalloc.stop()
+            assert count // 4 == len(ours.encode(unit * (100 * n)))
+        assert held[1] < 1.5 * held[0] + 200_000
+
+
+def test_every_token_comes_from_the_transducer(theirs, monkeypatch):
+    """The table holds nothing that didn't go through it: without the transducer there is no id."""
+    made = []
+    finish, feed = bpe.Transducer.finish, bpe.Transducer.feed
+    monkeypatch.setattr(bpe.Transducer, "finish", lambda self: made.append(finish(self)) or made[-1])
+    monkeypatch.setattr(bpe.Transducer, "feed", lambda self, data: made.append(feed(self, data)) or made[-1])
+    fresh = bpe.Encoder(bpe.encoder().vocabulary)
+    docs = ["one two three", "x" * 5_000, "naïve 日本語"]
+    ids = {i for d in docs for i in fresh.encode(d).tolist()}
+    assert ids == {fresh.vocabulary.ranks[t] for tokens in made for t in tokens}
 
 
 def test_incremental_decoding(ours):
