@@ -73,7 +73,7 @@ MANY = 65_535
 #: Units of measurement.
 UNITS = frozenset("percent pct ms s sec seconds min minutes h hours kg g mg km m cm mm nm hz khz mhz ghz ev kev mev gev k c f v w kw mw j pa kpa mpa mol db".split())
 WORD, NUMBER, UNIT, NAME = range(4)
-KNOWN_WORDS = 1 << 20
+KNOWN_WORDS = 1 << 17
 
 _MACRO = re.compile(r"\\(?:re)?(?:newcommand|providecommand)\*?\s*\{?\\([A-Za-z]+)\}?\s*\{([^{}\\$]{1,200})\}|\\def\s*\\([A-Za-z]+)\s*\{([^{}\\$]{1,200})\}")
 _SILENT = re.compile(r"\\(?:cite[a-z]*|label|ref|eqref|pageref|input|include|includegraphics|bibliography|bibitem|footnotemark|index|vspace|hspace|begin|end)\*?\s*(?:\[[^\]\n]{0,200}\])?\s*\{[^{}]{0,300}\}")

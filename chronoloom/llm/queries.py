@@ -3,14 +3,21 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from chronoloom.llm import chunking, corpus_ids, leaks
+from chronoloom.llm import chunking, corpus_ids, leaks, quantiles
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def p3_percentiles(spark: SparkSession, d: str) -> DataFrame:
+    rows = quantiles.reading_percentiles(*(_table(spark, d, t) for t in ("posts", "grid_requests", "raw_queries", "rollups")))
+    named = [F.col("p")[k].alias(f"p{round(100 * q):02d}") for k, q in enumerate(quantiles.PERCENTILES)]
+    return rows.select("scope", "group_key", "field_name", "n_values", *named)
+
+
 def p8_ids(spark: SparkSession, d: str) -> DataFrame:
     return corpus_ids.encode_corpus(_table(spark, d, "documents"))
 
@@ -27,5 +34,5 @@ def p10_found(spark: SparkSession, d: str) -> DataFrame:
     return p10_pieces(spark, d).where("piece_no = 0").select("doc_id").distinct()
 
 
-QUERIES = {"p8_ids": p8_ids, "p9_found": p9_found, "p10_found": p10_found, "p10_pieces": p10_pieces}
+QUERIES = {"p3_percentiles": p3_percentiles, "p8_ids": p8_ids, "p9_found": p9_found, "p10_found": p10_found, "p10_pieces": p10_pieces}
 ORACLE_SQL: dict[str, str] = {}
