@@ -7,20 +7,28 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
+HOUR_US = 3_600_000_000
+
+
 def standing(posts: DataFrame, keys: tuple[str, ...] = ("index_name", "ts"), version: str = "post_id", keep: tuple[str, ...] = ("value",)) -> DataFrame:
     """The rows that stand: of those with non-null keys, the highest version of each key, whole.
 
-    The shuffle is on all keys, time included, so that a series with a large share of the rows is spread evenly.
+    One shuffle and one sort. With a time among the keys the shuffle is on series and hour, so that a series with a large
+    share of the rows is spread evenly and what falls into one bucket lies together; else on all keys.
     """
     rows = posts.select(*keys, version, *keep)
     for k in keys:
         rows = rows.where(F.col(k).isNotNull())
-    last = rows.groupBy(*keys).agg(F.max_by(F.struct(version, *keep), version).alias("row"))
-    return last.select(*keys, f"row.{version}", *(f"row.{c}" for c in keep))
+    together = keys
+    if "ts" in keys:
+        rows = rows.withColumn("__hour", F.floor(F.unix_micros(F.col("ts").cast("timestamp")) / HOUR_US))
+        rows, together = rows.repartition("index_name", "__hour"), ("index_name", "__hour", *(k for k in keys if k != "index_name"))
+    later = F.lead(F.lit(True)).over(Window.partitionBy(*together).orderBy(version))
+    return rows.withColumn("__later", later).where(F.col("__later").isNull()).select(*keys, version, *keep)
 
 
 def spread(df: DataFrame) -> DataFrame:
