@@ -1,19 +1,18 @@
 """Missing values of standing rows, filled from like records, each marked with where it came from.
 
-One shuffle by (kind, site, hour) brings together every version of a row and all rows like it; there, in numpy blocks of
-rows by fields, versions are resolved, missing values listed, and functional dependencies both proposed and verified on
-the complete records:
-
-* row rules: a field that equals the product (or the ratio) of two others of its row;
-* dictionaries: (kind, site, hour) determines the field, exactly for coded fields, within ``tolerance`` for measured ones.
-
-A dependency is used where at least ``confidence`` of ``support`` or more complete records agree with it, over all data.
-What no verified dependency fills takes the group's value: of the hour, the day, the series, then the kind. Partial
-counts and sums of these groups are merged after the pass, so no group is ever gathered in one task; the hour keeps the
-rows of a hot site apart.
-
-``source`` of a filled value: ``rule:<relation>``, ``dependency:kind+site+hour``, ``group:hour``, ``group:day``,
-``group:series``, ``group:kind``, or ``none`` (nothing like it was ever recorded; ``filled`` is null).
+1. *One pass* over the standing rows lists the missing values and sums up the complete records: for each series, hour and
+   field how many values fall into each bin (a code, or a range of ``2 * tolerance``), and for each relation how many
+   records agree with it. The sums are a written table of some bytes an hour, series and field.
+2. *Mining.* Every set of ``DETERMINANTS`` (attributes of a record: kind, site, series, hour, day, hour of the day,
+   weekday) is tried for every kind and field, and every relation ``a = b * c`` (so also both ratios) of a kind's measured
+   fields. A set determines a field if, over all its keys with two or more complete records, at least ``confidence`` of
+   the records fall into their key's most frequent bin, each key's first one not counted; ``support`` records are needed.
+3. *Filling.* Relations of the row itself come first. The dictionaries of the sets (key to value) are left-joined to what
+   is missing; of those verified the one with the highest agreement gives the value. What none fills takes the value of
+   the group that is like it, verified or not, in the order of ``FALLBACK``.
+
+``source`` of a filled value: ``rule:<relation>``, ``dependency:<set>``, ``group:<set>``, or ``none`` (nothing like it was
+ever recorded; ``filled`` is null).
 
 A value is missing if it is absent, null or NaN, or its row's map is null; in points also if it is outside the field's
 limits, which stands for no measurement. Values outside the limits fill nothing. Rows without series or time do not
@@ -27,16 +26,23 @@ from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from chronoloom.operators.readings import codes_of, limits_by_kind, map_parts, over_chunks
-from chronoloom.session import ensure_checkpoint_dir
+from chronoloom.operators import tiling
+from chronoloom.operators.readings import codes_of, limits_by_kind, map_parts, over_chunks, standing
+from chronoloom.session import scratch_folder
 
 HOUR_NS = 3_600_000_000_000
 CODED_UNITS = ("code",)
-OUT = pa.schema([("row_kind", pa.string()), ("table_name", pa.string()), ("rec_id", pa.int64()), ("kind", pa.string()), ("site", pa.string()), ("index_name", pa.string()), ("day", pa.int64()), ("field_name", pa.string()), ("rule", pa.string()), ("v", pa.float64()), ("hour_v", pa.float64()), ("n", pa.int64())])
-OUT_DDL = "row_kind string, table_name string, rec_id long, kind string, site string, index_name string, day long, field_name string, rule string, v double, hour_v double, n long"
+#: Sets of attributes that may determine a field.
+DETERMINANTS = {"kind+site+hour": ("kind", "site", "hour"), "kind+site+day": ("kind", "site", "day"), "series+day": ("index_name", "day"), "series+hour_of_day": ("index_name", "hour_of_day"), "series+weekday": ("index_name", "weekday"), "series": ("index_name",), "kind": ("kind",)}
+#: Groups in the order in which they stand in for a dependency: from near in time to the whole kind.
+FALLBACK = ("kind+site+hour", "series+day", "kind+site+day", "series+hour_of_day", "series", "kind")
+OUT = pa.schema([("row_kind", pa.string()), ("table_name", pa.string()), ("rec_id", pa.int64()), ("index_name", pa.string()), ("hour", pa.int64()), ("field_name", pa.string()), ("rule", pa.string()), ("bin", pa.int64()), ("v", pa.float64()), ("n", pa.int64())])
+OUT_DDL = "row_kind string, table_name string, rec_id long, index_name string, hour long, field_name string, rule string, bin long, v double, n long"
+
+DICTIONARY_DDL = "determinants string, kind string, site string, index_name string, hour long, day long, hour_of_day long, weekday long, field_name string, value double, agreed long, n long"
 
 
 class Catalogue:
@@ -52,27 +58,23 @@ class Catalogue:
         self.relations = {kind: [(a, *bc) for a in m for bc in combinations([x for x in m if x != a], 2)] for kind, names in self.fields.items() for m in [[k for k, f in enumerate(names) if limits[kind, f][0] not in CODED_UNITS]]}
 
 
-def _medians(group: np.ndarray, v: np.ndarray, n_groups: int) -> tuple[np.ndarray, np.ndarray]:
-    """Lower median (NaN where there is none) and count of each group's values."""
-    order = np.lexsort((v, group))
-    counts = np.bincount(group, minlength=n_groups)
-    starts = np.cumsum(counts) - counts
-    out = np.full(n_groups, np.nan)
-    some = counts > 0
-    out[some] = v[order][starts[some] + (counts[some] - 1) // 2]
-    return out, counts
+def bins_of(v: np.ndarray, coded: np.ndarray, tolerance: float) -> np.ndarray:
+    """Codes as they are; measured values in ranges whose ends differ by twice the tolerance, zero apart."""
+    with np.errstate(divide="ignore"):
+        size = np.floor(np.log(np.abs(v)) / np.log1p(2 * tolerance))
+    # Logarithms of doubles lie within 2,000 / tolerance; positive and negative ranges don't meet.
+    far = 1 << 20
+    ranges = np.where(v == 0, 0, np.sign(v) * (np.clip(size, -far + 1, far - 1) + far)).astype("int64")
+    return np.where(coded, np.where(coded, v, 0).astype("int64"), ranges)
 
 
 def _pass(table: pa.Table, cat: Catalogue, tolerance: float) -> pa.Table | None:
     tables, table_names = codes_of(table.column("table_name").combine_chunks())
-    kinds, kind_names = codes_of(table.column("kind").combine_chunks())
-    sites, site_names = codes_of(table.column("site").combine_chunks())
     series, names = codes_of(table.column("index_name").combine_chunks())
-    ns, rec = table.column("ns").to_numpy(), table.column("rec_id").to_numpy()
-    hour = ns // HOUR_NS
-    # Sorted by kind, site, hour, table, series, time and id: the last of equal rows stands.
-    same = (tables[1:] == tables[:-1]) & (series[1:] == series[:-1]) & (ns[1:] == ns[:-1])
-    stands = np.append(~same, True)
+    split = [n.split(".", 1)[0].strip().lower() for n in names]
+    kind_names = sorted(set(split))
+    kinds = np.array([kind_names.index(k) for k in split], "int64")[series]
+    rec, hour = table.column("rec_id").to_numpy(), table.column("hour").to_numpy()
     value = table.column("value").combine_chunks()
     rows, keys, v = map_parts(value if isinstance(value, pa.Array) else value.chunk(0))
     field_names = keys.dictionary.to_pylist()
@@ -80,10 +82,11 @@ def _pass(table: pa.Table, cat: Catalogue, tolerance: float) -> pa.Table | None:
     position = np.full((len(kind_names), max(1, len(field_names))), -1)
     low, high = np.full((len(kind_names), width), -np.inf), np.full((len(kind_names), width), np.inf)
     coded, expected = np.zeros((len(kind_names), width), bool), np.zeros((len(kind_names), width), bool)
+    field_label = np.full((len(kind_names), width), None, object)
     for k, kind in enumerate(kind_names):
         for p, field in enumerate(cat.fields.get(kind, ())):
             unit, low[k, p], high[k, p] = cat.limits[kind, field]
-            coded[k, p], expected[k, p] = unit in CODED_UNITS, True
+            coded[k, p], expected[k, p], field_label[k, p] = unit in CODED_UNITS, True, field
             if field in field_names:
                 position[k, field_names.index(field)] = p
     cells = np.full((n, width), np.nan)
@@ -91,59 +94,36 @@ def _pass(table: pa.Table, cat: Catalogue, tolerance: float) -> pa.Table | None:
     cells[rows[at >= 0], at[at >= 0]] = v[at >= 0]
     is_points = np.array([t == "points" for t in table_names])[tables]
     outside = (cells < low[kinds]) | (cells > high[kinds]) | np.isinf(cells)
-    missing = expected[kinds] & stands[:, None] & (np.isnan(cells) | (outside & is_points[:, None]))
-    good = np.where(outside | ~stands[:, None], np.nan, cells)
-    begin = np.append(True, (kinds[1:] != kinds[:-1]) | (sites[1:] != sites[:-1]) | (hour[1:] != hour[:-1]))
-    group = np.cumsum(begin) - 1
-    n_groups = int(group[-1]) + 1
-    first_of = np.flatnonzero(begin)
-    series_group = np.cumsum(begin | np.append(True, (series[1:] != series[:-1]) | (tables[1:] != tables[:-1]))) - 1
-    first_of_series = np.flatnonzero(np.append(True, series_group[1:] != series_group[:-1]))
-    parts: dict[str, list] = {c: [] for c in OUT.names}
+    missing = expected[kinds] & (np.isnan(cells) | (outside & is_points[:, None]))
+    good = np.where(outside, np.nan, cells)
+    parts: list[pa.Table] = []
 
     def emit(count: int, **columns) -> None:
-        for c, t in zip(OUT.names, OUT.types):
-            x = columns.get(c)
-            if x is None or isinstance(x, str):
-                parts[c].append(pa.nulls(count, t) if x is None else pa.array([x] * count, t))
-            else:
-                parts[c].append(x if isinstance(x, pa.Array) else pa.array(x, t, from_pandas=t == pa.float64()))
+        full = {c: pa.nulls(count, t) for c, t in zip(OUT.names, OUT.types)}
+        for c, x in columns.items():
+            full[c] = x if isinstance(x, pa.Array) else pa.array([x] * count, OUT.field(c).type) if isinstance(x, str) else pa.array(x, OUT.field(c).type)
+        if count:
+            parts.append(pa.table(full, schema=OUT))
 
     label = lambda values, codes: pa.array(values, pa.string()).take(pa.array(codes))
-    field_label = np.full((len(kind_names), width), None, object)
-    for k, kind in enumerate(kind_names):
-        for p, field in enumerate(cat.fields.get(kind, ())):
-            field_label[k, p] = field
-
-    hour_median = np.full((n_groups, width), np.nan)
-    for p in range(width):
-        have = ~np.isnan(good[:, p])
-        med, counts = _medians(group[have], good[have, p], n_groups)
-        hour_median[:, p] = med
-        # How well the hour's records determine the field: complete records against their group's median.
-        tested = have & (counts[group] >= 2)
-        agree = np.where(coded[kinds, p], good[:, p] == med[group], np.abs(good[:, p] - med[group]) <= tolerance * np.abs(med[group]))
-        for k in np.unique(kinds[tested]):
-            of = tested & (kinds == k)
-            emit(1, row_kind="verify", kind=kind_names[k], field_name=field_label[k, p], rule="hour", v=[float(agree[of].sum())], n=[int(of.sum())])
-        # Parts of the coarser groups: measured fields by the hour's median and count, codes by value.
-        for level, ids, firsts in (("day", group, first_of), ("series", series_group, first_of_series)):
-            measured = have & ~coded[kinds, p]
-            med, counts = _medians(ids[measured], good[measured, p], len(firsts)) if measured.any() else (None, np.zeros(len(firsts), int))
-            g = np.flatnonzero(counts > 0)
-            r = firsts[g]
-            if len(g):
-                emit(len(g), row_kind=level, kind=label(kind_names, kinds[r]), site=label(site_names, sites[r]), index_name=label(names, series[r]) if level == "series" else None, day=hour[r] // 24, field_name=pa.array(field_label[kinds[r], p], pa.string()), v=med[g] * counts[g], n=counts[g].astype("int64"))
-            codes = np.flatnonzero(have & coded[kinds, p])
-            if len(codes):
-                pair = np.stack([ids[codes], good[codes, p].astype("int64")], axis=1)
-                pairs, count = np.unique(pair, axis=0, return_counts=True)
-                r = firsts[pairs[:, 0]]
-                emit(len(r), row_kind=level, kind=label(kind_names, kinds[r]), site=label(site_names, sites[r]), index_name=label(names, series[r]) if level == "series" else None, day=hour[r] // 24, field_name=pa.array(field_label[kinds[r], p], pa.string()), rule=pa.array([str(x) for x in pairs[:, 1]], pa.string()), v=pairs[:, 1].astype(float), n=count.astype("int64"))
+    # Complete records: values by series, hour, field and bin.
+    r, p = np.nonzero(~np.isnan(good))
+    if len(r):
+        x = good[r, p]
+        bin_ = bins_of(x, coded[kinds[r], p], tolerance)
+        order = np.lexsort((bin_, p, hour[r], series[r]))
+        r, p, x, bin_ = r[order], p[order], x[order], bin_[order]
+        first = np.flatnonzero(np.append(True, (series[r][1:] != series[r][:-1]) | (hour[r][1:] != hour[r][:-1]) | (p[1:] != p[:-1]) | (bin_[1:] != bin_[:-1])))
+        a = r[first]
+        emit(len(first), row_kind="bin", index_name=label(names, series[a]), hour=hour[a], field_name=pa.array(field_label[kinds[a], p[first]], pa.string()), bin=bin_[first], v=np.add.reduceat(x, first), n=np.diff(np.append(first, len(r))))
     where, what = np.nonzero(missing)
-    # A missing value's own candidates: one row for each relation that its row allows, and one without.
-    column = lambda mask, **kw: emit(int(mask.sum()), row_kind="missing", table_name=label(table_names, tables[where[mask]]), rec_id=rec[where[mask]], kind=label(kind_names, kinds[where[mask]]), site=label(site_names, sites[where[mask]]), index_name=label(names, series[where[mask]]), day=hour[where[mask]] // 24, field_name=pa.array(field_label[kinds[where[mask]], what[mask]], pa.string()), **kw)
-    column(np.ones(len(where), bool), hour_v=hour_median[group[where], what])
+
+    def column(mask: np.ndarray, **more) -> None:
+        w = where[mask]
+        emit(len(w), row_kind="missing", table_name=label(table_names, tables[w]), rec_id=rec[w], index_name=label(names, series[w]), hour=hour[w], field_name=pa.array(field_label[kinds[w], what[mask]], pa.string()), **more)
+
+    # A missing value: one row without a rule, and one for each relation that its row allows.
+    column(np.ones(len(where), bool))
     for k, kind in enumerate(kind_names):
         of_kind = kinds == k
         for a, b, c in cat.relations.get(kind, ()):
@@ -151,49 +131,79 @@ def _pass(table: pa.Table, cat: Catalogue, tolerance: float) -> pa.Table | None:
             x, y, z = good[:, a], good[:, b], good[:, c]
             with np.errstate(invalid="ignore", over="ignore"):
                 whole = of_kind & ~np.isnan(x + y + z) & (x != 0)
-                emit(1, row_kind="verify", kind=kind, rule=rule, v=[float((np.abs(x - y * z)[whole] <= 1e-3 * np.abs(x[whole])).sum())], n=[int(whole.sum())])
+                emit(1, row_kind="verify", index_name=kind, rule=rule, v=[float((np.abs(x - y * z)[whole] <= 1e-3 * np.abs(x[whole])).sum())], n=[int(whole.sum())])
                 for target, guess in ((a, y * z), (b, np.divide(x, z, out=np.full(n, np.nan), where=z != 0)), (c, np.divide(x, y, out=np.full(n, np.nan), where=y != 0))):
                     mask = of_kind[where] & (what == target)
                     mask[mask] = np.isfinite(guess[where[mask]])
-                    if mask.any():
-                        column(mask, rule=rule, v=guess[where[mask]])
-    return pa.table({c: pa.chunked_array(parts[c], t) for c, t in zip(OUT.names, OUT.types)}, schema=OUT)
+                    column(mask, rule=rule, v=guess[where[mask]])
+    return pa.concat_tables(parts) if parts else None
+
+
+def _attributes(df: DataFrame) -> DataFrame:
+    """Adds what determinants are made of."""
+    parts = F.split("index_name", r"\.")
+    return df.withColumns({"kind": F.lower(F.trim(parts[0])), "site": F.coalesce(F.try_element_at(parts, F.lit(2)), F.lit("")), "day": F.floor(F.col("hour") / 24).cast("long"), "hour_of_day": F.pmod("hour", F.lit(24)).cast("long"), "weekday": F.pmod(F.floor(F.col("hour") / 24) + 4, F.lit(7)).cast("long")})
+
+
+def dictionaries(bins: DataFrame) -> DataFrame:
+    """Of each set of determinants and each of its keys: field_name, value (mean of the most frequent bin), agreed and n records."""
+    rows = _attributes(bins)
+    out = None
+    for name, by in DETERMINANTS.items():
+        each = rows.groupBy(*by, "field_name", "bin").agg(F.sum("n").alias("n"), F.sum("v").alias("s"))
+        rank = F.struct("n", -F.col("bin"))
+        # Numbers one by one: a struct of them could not be aggregated in place.
+        best = each.groupBy(*by, "field_name").agg(F.max_by("n", rank).alias("agreed"), F.max_by("s", rank).alias("s"), F.sum("n").alias("n"))
+        one = best.select(F.lit(name).alias("determinants"), *by, "field_name", (F.col("s") / F.col("agreed")).alias("value"), "agreed", "n")
+        out = one if out is None else out.unionByName(one, allowMissingColumns=True)
+    return out
+
+
+def verified(dictionary: DataFrame, confidence: float, support: int) -> DataFrame:
+    """determinants, kind, field_name and trust where a set determines the field; each key's first record isn't counted, as it always agrees."""
+    kind = F.coalesce("kind", F.lower(F.trim(F.substring_index("index_name", ".", 1))))
+    told = dictionary.where("n >= 2").groupBy("determinants", kind.alias("kind"), "field_name").agg(F.sum(F.col("agreed") - 1).alias("agreed"), F.sum(F.col("n") - 1).alias("n"))
+    return told.where((F.col("n") >= support) & (F.col("agreed") >= confidence * F.col("n"))).select("determinants", "kind", "field_name", (F.col("agreed") / F.col("n")).alias("trust"))
 
 
 def fill_missing(posts: DataFrame, points: DataFrame, kind_fields: DataFrame, *, confidence: float = 0.95, support: int = 30, tolerance: float = 0.02) -> DataFrame:
     """One row per missing value: table_name, rec_id, index_name, field_name, filled, source."""
     cat = Catalogue(limits_by_kind(kind_fields))
-    empty = "table_name string, rec_id long, index_name string, field_name string, filled double, source string"
     spark = posts.sparkSession
     if not cat.width:
-        return spark.createDataFrame([], empty)
-    one = lambda df, name, key, ns: df.where(F.col("index_name").isNotNull() & ns.isNotNull()).select(F.lit(name).alias("table_name"), F.col(key).alias("rec_id"), "index_name", ns.alias("ns"), "value")
-    rows = one(posts, "posts", "post_id", F.unix_micros(F.col("ts").cast("timestamp")) * 1000).unionByName(one(points, "points", "point_id", F.col("ts_ns")))
-    parts = F.split("index_name", r"\.")
-    rows = rows.withColumns({"kind": F.lower(F.trim(parts[0])), "site": F.coalesce(F.try_element_at(parts, F.lit(2)), F.lit("")), "hour": F.floor((F.col("ns") - F.pmod(F.col("ns"), F.lit(HOUR_NS))) / HOUR_NS)})
-    keys = ("kind", "site", "hour")
-    rows = rows.repartition(*keys).sortWithinPartitions(*keys, "table_name", "index_name", "ns", "rec_id")
-    ensure_checkpoint_dir(spark)
-    # Missing values and the groups' partial sums; several steps below read them.
-    seen = rows.mapInArrow(over_chunks(lambda t: _pass(t, cat, tolerance), keys, 100_000), OUT_DDL).checkpoint()
-    verified = F.col("agreed") >= confidence * F.col("n")
-    # As many rows as the catalogue has relations and fields.
-    rules = F.broadcast(seen.where("row_kind = 'verify'").groupBy("kind", "rule", "field_name").agg(F.sum("v").alias("agreed"), F.sum("n").alias("n")).where(verified & (F.col("n") >= support)).select("kind", "rule", "field_name", (F.col("agreed") / F.col("n")).alias("trust")))
-
-    def group_values(level: str, *by: str) -> DataFrame:
-        parts = seen.where(F.col("row_kind") == level).groupBy(*by, "field_name", "rule").agg(F.sum("n").alias("n"), F.sum("v").alias("s"), F.max("v").alias("code"))
-        value = F.when(F.max("rule").isNull(), F.sum("s") / F.sum("n")).otherwise(F.max_by("code", F.struct("n", -F.col("code"))))
-        return parts.groupBy(*by, "field_name").agg(value.alias(f"{'_'.join(by)}_v"))
-
-    missing = seen.where("row_kind = 'missing'")
-    by_rule = missing.where(F.col("rule").isNotNull()).join(rules.where(F.col("field_name").isNull()).drop("field_name"), ["kind", "rule"])
-    best = by_rule.groupBy("table_name", "rec_id", "field_name").agg(F.max_by(F.struct("rule", "v"), F.struct("trust", "rule")).alias("best"))
-    cells = missing.where(F.col("rule").isNull()).select("table_name", "rec_id", "kind", "site", "index_name", "day", "field_name", "hour_v")
-    cells = cells.join(best, ["table_name", "rec_id", "field_name"], "left")
-    hourly = rules.where("rule = 'hour'").select("kind", "field_name", F.lit(True).alias("by_hour"))
-    cells = cells.join(F.broadcast(hourly), ["kind", "field_name"], "left")
-    for level, by in (("day", ("kind", "site", "day")), ("series", ("index_name",)), ("series", ("kind",))):
-        cells = cells.join(group_values(level, *by), [*by, "field_name"], "left")
-    day_v, series_v, kind_v = F.col("kind_site_day_v"), F.col("index_name_v"), F.col("kind_v")
-    source = F.when(F.col("best").isNotNull(), F.concat(F.lit("rule:"), "best.rule")).when(F.col("hour_v").isNotNull() & F.col("by_hour"), "dependency:kind+site+hour").when(F.col("hour_v").isNotNull(), "group:hour").when(day_v.isNotNull(), "group:day").when(series_v.isNotNull(), "group:series").when(kind_v.isNotNull(), "group:kind").otherwise("none")
-    return cells.select("table_name", "rec_id", "index_name", "field_name", F.coalesce("best.v", "hour_v", day_v, series_v, kind_v).alias("filled"), source.alias("source"))
+        return spark.createDataFrame([], "table_name string, rec_id long, index_name string, field_name string, filled double, source string")
+    div = lambda x, y: F.floor(x / y).cast("long")
+    own = standing(posts).select(F.lit("posts").alias("table_name"), F.col("post_id").alias("rec_id"), "index_name", div(F.unix_micros(F.col("ts").cast("timestamp")), HOUR_NS / 1000).alias("hour"), "value")
+    others = standing(points, ("index_name", "ts_ns"), "point_id").select(F.lit("points").alias("table_name"), F.col("point_id").alias("rec_id"), "index_name", F.call_function("div", F.col("ts_ns") - F.pmod("ts_ns", F.lit(HOUR_NS)), F.lit(HOUR_NS)).alias("hour"), "value")
+    # Missing values and sums of the complete records; several steps below read them.
+    at = scratch_folder(spark)
+    own.unionByName(others).mapInArrow(over_chunks(lambda t: _pass(t, cat, tolerance), (), 100_000), OUT_DDL).write.partitionBy("row_kind").parquet(f"{at}/seen")
+    seen = spark.read.schema(OUT_DDL).parquet(f"{at}/seen")
+    of = lambda kind: seen.where(F.col("row_kind") == kind)
+    rules = of("verify").groupBy(F.col("index_name").alias("kind"), "rule").agg(F.sum("v").alias("agreed"), F.sum("n").alias("n")).where((F.col("agreed") >= confidence * F.col("n")) & (F.col("n") >= support)).select("kind", "rule", (F.col("agreed") / F.col("n")).alias("trust"))
+    missing = _attributes(of("missing"))
+    best = missing.where(F.col("rule").isNotNull()).join(_sent(rules), ["kind", "rule"]).groupBy("table_name", "rec_id", "field_name").agg(F.max_by(F.struct("rule", "v"), F.struct("trust", "rule")).alias("best"))
+    cells = missing.where(F.col("rule").isNull()).drop("row_kind", "rule", "bin", "v", "n").join(best, ["table_name", "rec_id", "field_name"], "left")
+    names = list(DETERMINANTS)
+    dictionaries(of("bin")).write.partitionBy("determinants").parquet(f"{at}/dictionaries")
+    every = spark.read.schema(DICTIONARY_DDL).parquet(f"{at}/dictionaries")
+    told = verified(every, confidence, support).groupBy("kind", "field_name").agg(*(F.max(F.when(F.col("determinants") == name, F.col("trust"))).alias(f"trust{k}") for k, name in enumerate(names)))
+    cells = cells.join(_sent(told), ["kind", "field_name"], "left")
+    for k, name in enumerate(names):
+        by = DETERMINANTS[name]
+        cells = cells.join(every.where(F.col("determinants") == name).select(*by, "field_name", F.col("value").alias(f"value{k}")), [*by, "field_name"], "left")
+    # Of the verified sets that know the key, the most trusted; of equal ones the first of DETERMINANTS.
+    trusted = F.array_max(F.array_compact(F.array(*(F.when(F.col(f"value{k}").isNotNull() & F.col(f"trust{k}").isNotNull(), F.struct(F.col(f"trust{k}").alias("trust"), F.lit(-k).alias("rank"), F.lit(f"dependency:{name}").alias("source"), F.col(f"value{k}").alias("v"))) for k, name in enumerate(names)))))
+    near: Column = F.struct(F.lit("none").alias("source"), F.lit(None).cast("double").alias("v"))
+    for name in reversed(FALLBACK):
+        v = F.col(f"value{names.index(name)}")
+        near = F.when(v.isNotNull(), F.struct(F.lit(f"group:{name}").alias("source"), v.alias("v"))).otherwise(near)
+    cells = cells.withColumns({"t": trusted, "g": near})
+    source = F.when(F.col("best").isNotNull(), F.concat(F.lit("rule:"), "best.rule")).when(F.col("t").isNotNull(), F.col("t.source")).otherwise(F.col("g.source"))
+    return cells.select("table_name", "rec_id", "index_name", "field_name", F.coalesce("best.v", "t.v", "g.v").alias("filled"), source.alias("source"))
+
+
+def _sent(df: DataFrame) -> DataFrame:
+    """To every task if the rows, counted, are few; they grow with the catalogue's kinds and fields, relations with the cube of a kind's."""
+    local, few = tiling.small(df.sparkSession, df)
+    return F.broadcast(local) if few else local

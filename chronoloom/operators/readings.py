@@ -79,7 +79,7 @@ def codes_of(column: pa.Array) -> tuple[np.ndarray, list]:
 
 
 def chunks(batches: Iterator[pa.RecordBatch], keys: tuple[str, ...], rows: int) -> Iterator[pa.Table]:
-    """Tables of about ``rows`` rows that never cut a group of equal keys; the batches must come sorted by the keys."""
+    """Tables of about ``rows`` rows that never cut a group of equal keys; the batches must come sorted by the keys. Without keys any cut is good."""
     held: list[pa.RecordBatch] = []
     size = 0
     for batch in batches:
@@ -90,6 +90,10 @@ def chunks(batches: Iterator[pa.RecordBatch], keys: tuple[str, ...], rows: int)
         if size < rows:
             continue
         table = pa.Table.from_batches(held).combine_chunks()
+        if not keys:
+            yield table
+            held, size = [], 0
+            continue
         tail = np.ones(size, bool)
         for k in keys:
             column = table.column(k)

@@ -47,7 +47,8 @@ def p5_filled(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p5_found(spark: SparkSession, d: str) -> DataFrame:
-    return p5_filled(spark, d).select("table_name", "rec_id", "field_name")
+    # Each row is one that was filled, or for which nothing like it was ever recorded.
+    return p5_filled(spark, d).where("filled IS NOT NULL OR source = 'none'").select("table_name", "rec_id", "field_name")
 
 
 def p6_grid(spark: SparkSession, d: str) -> DataFrame:
