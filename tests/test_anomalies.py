@@ -91,3 +91,29 @@ def test_tiles_hold_every_row_once(spark):
     sizes = [r["count"] for r in own if r.index_name == "hot"]
     assert len(sizes) > 5 and max(sizes) <= 600
     assert tiled.where("halo").count() >= 50 * (len(sizes) - 1)
+
+
+@pytest.mark.parametrize("send", [100_000, 3])
+def test_a_burst_is_cut_like_the_rest(spark, monkeypatch, send):
+    """22,000 rows, 20,000 of them in the last hour of ten years, some thousand in one instant."""
+    monkeypatch.setattr(tiling, "SEND_ROWS", send)
+    small = tiling.small
+    monkeypatch.setattr(tiling, "small", lambda s, df, bound=send: small(s, df, bound))
+    years = dt.timedelta(days=3650)
+    at = [START + years * (k / 2000) for k in range(2000)] + [START + years - dt.timedelta(milliseconds=k * 170) for k in range(20_000)] + [START + years + dt.timedelta(days=1)] * 1500
+    rows = [(k, "hot", t, None, "") for k, t in enumerate(at)] + [(90_000, "cold", START, None, ""), (90_001, None, START, None, ""), (90_002, "hot", None, None, "")]
+    tiled = tiling.assign(spark.createDataFrame(rows, SCHEMA), 1000, 50).select("post_id", "index_name", "ts", "tile", "halo").collect()
+    own = [r for r in tiled if not r.halo]
+    assert sorted(r.post_id for r in own) == sorted(r[0] for r in rows)
+    hot = sorted((r.ts, r.tile) for r in own if r.index_name == "hot" and r.ts)
+    assert [t for _, t in hot] == sorted(t for _, t in hot)
+    sizes = [sum(t == k for _, t in hot) for k in {t for _, t in hot}]
+    assert len(sizes) >= 15 and max(sizes) < 2 * 1500 and sorted(sizes)[-2] < 2 * 1000
+    # The 50 rows before a tile's first row, and after its last, are its halo.
+    tiles = sorted({t for _, t in hot})
+    for k in tiles[1:-1]:
+        mine = [x for x, t in hot if t == k]
+        halo = {r.ts for r in tiled if r.halo and r.tile == k}
+        order = [x for x, _ in hot]
+        first, last = order.index(mine[0]), len(order) - 1 - order[::-1].index(mine[-1])
+        assert set(order[max(0, first - 50) : first]) <= halo | {mine[0]} and set(order[last + 1 : last + 51]) <= halo | {mine[-1]}
