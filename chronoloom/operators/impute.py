@@ -1,15 +1,18 @@
 """Missing values of standing rows, filled from like records, each marked with where it came from.
 
 1. *One pass* over the standing rows lists the missing values and sums up the complete records: for each series, hour and
-   field how many values fall into each bin (a code, or a range of ``2 * tolerance``), and for each relation how many
-   records agree with it. The sums are a written table of some bytes an hour, series and field.
+   field count, sum, least and greatest value, of coded fields one row a code; and for each relation how many records
+   agree with it. The sums are a written table of numbers only.
 2. *Mining.* Every set of ``DETERMINANTS`` (attributes of a record: kind, site, series, hour, day, hour of the day,
    weekday) is tried for every kind and field, and every relation ``a = b * c`` (so also both ratios) of a kind's measured
-   fields. A set determines a field if, over all its keys with two or more complete records, at least ``confidence`` of
-   the records fall into their key's most frequent bin, each key's first one not counted; ``support`` records are needed.
-3. *Filling.* Relations of the row itself come first. The dictionaries of the sets (key to value) are left-joined to what
-   is missing; of those verified the one with the highest agreement gives the value. What none fills takes the value of
-   the group that is like it, verified or not, in the order of ``FALLBACK``.
+   fields. The dictionary of a set (key to value) is a written table too: a code's value is the most frequent one, a
+   measured field's the mean without the least and greatest. A record agrees with its key if it has that code, or if all
+   the key's measured values lie within ``tolerance`` of their mean. A set determines a field if, over all its keys with
+   two or more complete records, at least ``confidence`` of ``support`` or more records agree, each key's first one not
+   counted.
+3. *Filling.* Relations of the row itself come first. The dictionaries are left-joined to what is missing; of those
+   verified the one with the highest agreement gives the value. What none fills takes the value of the group that is like
+   it, verified or not, in the order of ``FALLBACK``.
 
 ``source`` of a filled value: ``rule:<relation>``, ``dependency:<set>``, ``group:<set>``, or ``none`` (nothing like it was
 ever recorded; ``filled`` is null).
@@ -35,14 +38,16 @@ from chronoloom.session import scratch_folder
 
 HOUR_NS = 3_600_000_000_000
 CODED_UNITS = ("code",)
-#: Sets of attributes that may determine a field.
-DETERMINANTS = {"kind+site+hour": ("kind", "site", "hour"), "kind+site+day": ("kind", "site", "day"), "series+day": ("index_name", "day"), "series+hour_of_day": ("index_name", "hour_of_day"), "series+weekday": ("index_name", "weekday"), "series": ("index_name",), "kind": ("kind",)}
+#: Sets of attributes that may determine a field, by the columns of their keys; ``place`` stands for kind and site.
+DETERMINANTS = {"kind+site+hour": ("place", "hour"), "kind+site+day": ("place", "day"), "series+day": ("series", "day"), "series+hour_of_day": ("series", "hour_of_day"), "series+weekday": ("series", "weekday"), "series": ("series",), "kind": ()}
 #: Groups in the order in which they stand in for a dependency: from near in time to the whole kind.
 FALLBACK = ("kind+site+hour", "series+day", "kind+site+day", "series+hour_of_day", "series", "kind")
-OUT = pa.schema([("row_kind", pa.string()), ("table_name", pa.string()), ("rec_id", pa.int64()), ("index_name", pa.string()), ("hour", pa.int64()), ("field_name", pa.string()), ("rule", pa.string()), ("bin", pa.int64()), ("v", pa.float64()), ("n", pa.int64())])
-OUT_DDL = "row_kind string, table_name string, rec_id long, index_name string, hour long, field_name string, rule string, bin long, v double, n long"
-
-DICTIONARY_DDL = "determinants string, kind string, site string, index_name string, hour long, day long, hour_of_day long, weekday long, field_name string, value double, agreed long, n long"
+#: Missing values whose keys may be sent to every task (some 40 MB); more are joined.
+SEND_KEYS = 1_000_000
+OUT = pa.schema([("row_kind", pa.string()), ("table_name", pa.string()), ("rec_id", pa.int64()), ("index_name", pa.string()), ("hour", pa.int64()), ("field", pa.int32()), ("rule", pa.string()), ("code", pa.int64()), ("v", pa.float64()), ("low", pa.float64()), ("high", pa.float64()), ("n", pa.int64())])
+OUT_DDL = "row_kind string, table_name string, rec_id long, index_name string, hour long, field int, rule string, code long, v double, low double, high double, n long"
+SUMS_DDL = "series long, place long, hour long, field int, code long, v double, low double, high double, n long"
+DICTIONARY_DDL = "determinants string, series long, place long, hour long, day long, hour_of_day long, weekday long, field int, value double, agreed long, n long"
 
 
 class Catalogue:
@@ -52,23 +57,16 @@ class Catalogue:
         self.fields: dict[str, list[str]] = {}
         for kind, field in sorted(limits):
             self.fields.setdefault(kind, []).append(field)
+        #: Kinds and fields by number, and which of them are coded.
+        self.pairs = [(kind, f) for kind, names in self.fields.items() for f in names]
+        self.coded = [k for k, pair in enumerate(self.pairs) if limits[pair][0] in CODED_UNITS]
         self.width = max((len(f) for f in self.fields.values()), default=0)
         self.limits = limits
         #: per kind: relations (product, factor, factor) among measured fields, by position
         self.relations = {kind: [(a, *bc) for a in m for bc in combinations([x for x in m if x != a], 2)] for kind, names in self.fields.items() for m in [[k for k, f in enumerate(names) if limits[kind, f][0] not in CODED_UNITS]]}
 
 
-def bins_of(v: np.ndarray, coded: np.ndarray, tolerance: float) -> np.ndarray:
-    """Codes as they are; measured values in ranges whose ends differ by twice the tolerance, zero apart."""
-    with np.errstate(divide="ignore"):
-        size = np.floor(np.log(np.abs(v)) / np.log1p(2 * tolerance))
-    # Logarithms of doubles lie within 2,000 / tolerance; positive and negative ranges don't meet.
-    far = 1 << 20
-    ranges = np.where(v == 0, 0, np.sign(v) * (np.clip(size, -far + 1, far - 1) + far)).astype("int64")
-    return np.where(coded, np.where(coded, v, 0).astype("int64"), ranges)
-
-
-def _pass(table: pa.Table, cat: Catalogue, tolerance: float) -> pa.Table | None:
+def _pass(table: pa.Table, cat: Catalogue) -> pa.Table | None:
     tables, table_names = codes_of(table.column("table_name").combine_chunks())
     series, names = codes_of(table.column("index_name").combine_chunks())
     split = [n.split(".", 1)[0].strip().lower() for n in names]
@@ -82,11 +80,11 @@ def _pass(table: pa.Table, cat: Catalogue, tolerance: float) -> pa.Table | None:
     position = np.full((len(kind_names), max(1, len(field_names))), -1)
     low, high = np.full((len(kind_names), width), -np.inf), np.full((len(kind_names), width), np.inf)
     coded, expected = np.zeros((len(kind_names), width), bool), np.zeros((len(kind_names), width), bool)
-    field_label = np.full((len(kind_names), width), None, object)
+    number = np.full((len(kind_names), width), -1, "int32")
     for k, kind in enumerate(kind_names):
         for p, field in enumerate(cat.fields.get(kind, ())):
             unit, low[k, p], high[k, p] = cat.limits[kind, field]
-            coded[k, p], expected[k, p], field_label[k, p] = unit in CODED_UNITS, True, field
+            coded[k, p], expected[k, p], number[k, p] = unit in CODED_UNITS, True, cat.pairs.index((kind, field))
             if field in field_names:
                 position[k, field_names.index(field)] = p
     cells = np.full((n, width), np.nan)
@@ -106,21 +104,21 @@ def _pass(table: pa.Table, cat: Catalogue, tolerance: float) -> pa.Table | None:
             parts.append(pa.table(full, schema=OUT))
 
     label = lambda values, codes: pa.array(values, pa.string()).take(pa.array(codes))
-    # Complete records: values by series, hour, field and bin.
+    # Complete records by series, hour, field and code.
     r, p = np.nonzero(~np.isnan(good))
     if len(r):
         x = good[r, p]
-        bin_ = bins_of(x, coded[kinds[r], p], tolerance)
-        order = np.lexsort((bin_, p, hour[r], series[r]))
-        r, p, x, bin_ = r[order], p[order], x[order], bin_[order]
-        first = np.flatnonzero(np.append(True, (series[r][1:] != series[r][:-1]) | (hour[r][1:] != hour[r][:-1]) | (p[1:] != p[:-1]) | (bin_[1:] != bin_[:-1])))
+        code = np.where(coded[kinds[r], p], x, 0).astype("int64")
+        order = np.lexsort((code, p, hour[r], series[r]))
+        r, p, x, code = r[order], p[order], x[order], code[order]
+        first = np.flatnonzero(np.append(True, (series[r][1:] != series[r][:-1]) | (hour[r][1:] != hour[r][:-1]) | (p[1:] != p[:-1]) | (code[1:] != code[:-1])))
         a = r[first]
-        emit(len(first), row_kind="bin", index_name=label(names, series[a]), hour=hour[a], field_name=pa.array(field_label[kinds[a], p[first]], pa.string()), bin=bin_[first], v=np.add.reduceat(x, first), n=np.diff(np.append(first, len(r))))
+        emit(len(first), row_kind="sum", index_name=label(names, series[a]), hour=hour[a], field=number[kinds[a], p[first]], code=code[first], v=np.add.reduceat(x, first), low=np.minimum.reduceat(x, first), high=np.maximum.reduceat(x, first), n=np.diff(np.append(first, len(r))))
     where, what = np.nonzero(missing)
 
     def column(mask: np.ndarray, **more) -> None:
         w = where[mask]
-        emit(len(w), row_kind="missing", table_name=label(table_names, tables[w]), rec_id=rec[w], index_name=label(names, series[w]), hour=hour[w], field_name=pa.array(field_label[kinds[w], what[mask]], pa.string()), **more)
+        emit(len(w), row_kind="missing", table_name=label(table_names, tables[w]), rec_id=rec[w], index_name=label(names, series[w]), hour=hour[w], field=number[kinds[w], what[mask]], **more)
 
     # A missing value: one row without a rule, and one for each relation that its row allows.
     column(np.ones(len(where), bool))
@@ -131,7 +129,7 @@ def _pass(table: pa.Table, cat: Catalogue, tolerance: float) -> pa.Table | None:
             x, y, z = good[:, a], good[:, b], good[:, c]
             with np.errstate(invalid="ignore", over="ignore"):
                 whole = of_kind & ~np.isnan(x + y + z) & (x != 0)
-                emit(1, row_kind="verify", index_name=kind, rule=rule, v=[float((np.abs(x - y * z)[whole] <= 1e-3 * np.abs(x[whole])).sum())], n=[int(whole.sum())])
+                emit(1, row_kind="verify", field=[int(number[k, a])], rule=rule, v=[float((np.abs(x - y * z)[whole] <= 1e-3 * np.abs(x[whole])).sum())], n=[int(whole.sum())])
                 for target, guess in ((a, y * z), (b, np.divide(x, z, out=np.full(n, np.nan), where=z != 0)), (c, np.divide(x, y, out=np.full(n, np.nan), where=y != 0))):
                     mask = of_kind[where] & (what == target)
                     mask[mask] = np.isfinite(guess[where[mask]])
@@ -139,31 +137,46 @@ def _pass(table: pa.Table, cat: Catalogue, tolerance: float) -> pa.Table | None:
     return pa.concat_tables(parts) if parts else None
 
 
-def _attributes(df: DataFrame) -> DataFrame:
-    """Adds what determinants are made of."""
+def _places(df: DataFrame) -> DataFrame:
+    """Adds numbers for a row's series and for its kind and site."""
     parts = F.split("index_name", r"\.")
-    return df.withColumns({"kind": F.lower(F.trim(parts[0])), "site": F.coalesce(F.try_element_at(parts, F.lit(2)), F.lit("")), "day": F.floor(F.col("hour") / 24).cast("long"), "hour_of_day": F.pmod("hour", F.lit(24)).cast("long"), "weekday": F.pmod(F.floor(F.col("hour") / 24) + 4, F.lit(7)).cast("long")})
+    return df.withColumns({"series": F.xxhash64("index_name"), "place": F.xxhash64(F.lower(F.trim(parts[0])), F.coalesce(F.try_element_at(parts, F.lit(2)), F.lit("")))})
+
+
+def _times(df: DataFrame) -> DataFrame:
+    day = F.floor(F.col("hour") / 24).cast("long")
+    return df.withColumns({"day": day, "hour_of_day": F.pmod("hour", F.lit(24)).cast("long"), "weekday": F.pmod(day + 4, F.lit(7)).cast("long")})
+
+
+def _added(rows: DataFrame, *by: str) -> DataFrame:
+    return rows.groupBy(*by, "field", "code").agg(F.sum("v").alias("v"), F.min("low").alias("low"), F.max("high").alias("high"), F.sum("n").alias("n"))
 
 
-def dictionaries(bins: DataFrame) -> DataFrame:
-    """Of each set of determinants and each of its keys: field_name, value (mean of the most frequent bin), agreed and n records."""
-    rows = _attributes(bins)
+def dictionary(sums: DataFrame, by: tuple[str, ...], coded: list[int], tolerance: float) -> DataFrame:
+    """Of sums by key, field and code: the key, field, value, how many records agree with it, and n records."""
+    is_coded = F.col("field").isin(*coded) if coded else F.lit(False)
+    mean = F.col("v") / F.col("n")
+    inner = F.when(F.col("n") > 2, (F.col("v") - F.col("low") - F.col("high")) / (F.col("n") - 2)).otherwise(mean)
+    close = F.col("high") - F.col("low") <= 2 * tolerance * F.abs(mean)
+    measured = sums.where(~is_coded).select(*by, "field", inner.alias("value"), F.when(close, F.col("n")).otherwise(F.lit(1)).cast("long").alias("agreed"), "n")
+    best = sums.where(is_coded).groupBy(*by, "field").agg(F.max_by("code", F.struct("n", -F.col("code"))).cast("double").alias("value"), F.max("n").alias("agreed"), F.sum("n").alias("n"))
+    return measured.unionByName(best)
+
+
+def dictionaries(sums: DataFrame, daily: DataFrame, coded: list[int], tolerance: float) -> DataFrame:
+    """DICTIONARY_DDL of all sets; daily: the sums by series and day, from which the coarser ones follow."""
     out = None
     for name, by in DETERMINANTS.items():
-        each = rows.groupBy(*by, "field_name", "bin").agg(F.sum("n").alias("n"), F.sum("v").alias("s"))
-        rank = F.struct("n", -F.col("bin"))
-        # Numbers one by one: a struct of them could not be aggregated in place.
-        best = each.groupBy(*by, "field_name").agg(F.max_by("n", rank).alias("agreed"), F.max_by("s", rank).alias("s"), F.sum("n").alias("n"))
-        one = best.select(F.lit(name).alias("determinants"), *by, "field_name", (F.col("s") / F.col("agreed")).alias("value"), "agreed", "n")
+        added = _times(daily.withColumn("hour", F.col("day") * 24)) if {"hour", "hour_of_day"}.isdisjoint(by) else _times(sums)
+        one = dictionary(_added(added, *by), by, coded, tolerance).withColumn("determinants", F.lit(name))
         out = one if out is None else out.unionByName(one, allowMissingColumns=True)
     return out
 
 
-def verified(dictionary: DataFrame, confidence: float, support: int) -> DataFrame:
-    """determinants, kind, field_name and trust where a set determines the field; each key's first record isn't counted, as it always agrees."""
-    kind = F.coalesce("kind", F.lower(F.trim(F.substring_index("index_name", ".", 1))))
-    told = dictionary.where("n >= 2").groupBy("determinants", kind.alias("kind"), "field_name").agg(F.sum(F.col("agreed") - 1).alias("agreed"), F.sum(F.col("n") - 1).alias("n"))
-    return told.where((F.col("n") >= support) & (F.col("agreed") >= confidence * F.col("n"))).select("determinants", "kind", "field_name", (F.col("agreed") / F.col("n")).alias("trust"))
+def verified(every: DataFrame, confidence: float, support: int) -> DataFrame:
+    """determinants, field and trust where a set determines the field; each key's first record isn't counted, as it always agrees."""
+    told = every.where("n >= 2").groupBy("determinants", "field").agg(F.sum(F.col("agreed") - 1).alias("agreed"), F.sum(F.col("n") - 1).alias("n"))
+    return told.where((F.col("n") >= support) & (F.col("agreed") >= confidence * F.col("n"))).select("determinants", "field", (F.col("agreed") / F.col("n")).alias("trust"))
 
 
 def fill_missing(posts: DataFrame, points: DataFrame, kind_fields: DataFrame, *, confidence: float = 0.95, support: int = 30, tolerance: float = 0.02) -> DataFrame:
@@ -177,21 +190,32 @@ def fill_missing(posts: DataFrame, points: DataFrame, kind_fields: DataFrame, *,
     others = standing(points, ("index_name", "ts_ns"), "point_id").select(F.lit("points").alias("table_name"), F.col("point_id").alias("rec_id"), "index_name", F.call_function("div", F.col("ts_ns") - F.pmod("ts_ns", F.lit(HOUR_NS)), F.lit(HOUR_NS)).alias("hour"), "value")
     # Missing values and sums of the complete records; several steps below read them.
     at = scratch_folder(spark)
-    own.unionByName(others).mapInArrow(over_chunks(lambda t: _pass(t, cat, tolerance), (), 100_000), OUT_DDL).write.partitionBy("row_kind").parquet(f"{at}/seen")
+    own.unionByName(others).mapInArrow(over_chunks(lambda t: _pass(t, cat), (), 100_000), OUT_DDL).write.partitionBy("row_kind").parquet(f"{at}/seen")
     seen = spark.read.schema(OUT_DDL).parquet(f"{at}/seen")
     of = lambda kind: seen.where(F.col("row_kind") == kind)
-    rules = of("verify").groupBy(F.col("index_name").alias("kind"), "rule").agg(F.sum("v").alias("agreed"), F.sum("n").alias("n")).where((F.col("agreed") >= confidence * F.col("n")) & (F.col("n") >= support)).select("kind", "rule", (F.col("agreed") / F.col("n")).alias("trust"))
-    missing = _attributes(of("missing"))
-    best = missing.where(F.col("rule").isNotNull()).join(_sent(rules), ["kind", "rule"]).groupBy("table_name", "rec_id", "field_name").agg(F.max_by(F.struct("rule", "v"), F.struct("trust", "rule")).alias("best"))
-    cells = missing.where(F.col("rule").isNull()).drop("row_kind", "rule", "bin", "v", "n").join(best, ["table_name", "rec_id", "field_name"], "left")
-    names = list(DETERMINANTS)
-    dictionaries(of("bin")).write.partitionBy("determinants").parquet(f"{at}/dictionaries")
+    rules = of("verify").groupBy("rule", "field").agg(F.sum("v").alias("agreed"), F.sum("n").alias("n")).where((F.col("agreed") >= confidence * F.col("n")) & (F.col("n") >= support)).select("rule", F.col("field").alias("product"), (F.col("agreed") / F.col("n")).alias("trust"))
+    sums = _places(of("sum")).select(*[c.split(" ")[0] for c in SUMS_DDL.split(", ")])
+    # Series and day fix the place.
+    day = F.floor(F.col("hour") / 24).cast("long")
+    _added(sums.withColumn("day", day), "series", "place", "day").write.parquet(f"{at}/daily")
+    dictionaries(sums, spark.read.parquet(f"{at}/daily"), cat.coded, tolerance).write.partitionBy("determinants").parquet(f"{at}/dictionaries")
     every = spark.read.schema(DICTIONARY_DDL).parquet(f"{at}/dictionaries")
-    told = verified(every, confidence, support).groupBy("kind", "field_name").agg(*(F.max(F.when(F.col("determinants") == name, F.col("trust"))).alias(f"trust{k}") for k, name in enumerate(names)))
-    cells = cells.join(_sent(told), ["kind", "field_name"], "left")
+    names = list(DETERMINANTS)
+    told = verified(every, confidence, support).groupBy("field").agg(*(F.max(F.when(F.col("determinants") == name, F.col("trust"))).alias(f"trust{k}") for k, name in enumerate(names)))
+
+    missing = of("missing")
+    best = missing.where(F.col("rule").isNotNull()).join(_sent(rules), ["rule"]).where(F.element_at(_kinds(cat), F.col("field")) == F.element_at(_kinds(cat), F.col("product")))
+    best = best.groupBy("table_name", "rec_id", "field").agg(F.max_by(F.struct("rule", "v"), F.struct("trust", "rule")).alias("best"))
+    cells = _times(_places(missing.where(F.col("rule").isNull()).select("table_name", "rec_id", "index_name", "hour", "field")))
+    few = missing.where(F.col("rule").isNull()).count() <= SEND_KEYS
+    filled = cells.join(best, ["table_name", "rec_id", "field"], "left").join(_sent(told), ["field"], "left")
     for k, name in enumerate(names):
-        by = DETERMINANTS[name]
-        cells = cells.join(every.where(F.col("determinants") == name).select(*by, "field_name", F.col("value").alias(f"value{k}")), [*by, "field_name"], "left")
+        by = [*DETERMINANTS[name], "field"]
+        keys = cells.select(*by).distinct()
+        known = every.where(F.col("determinants") == name).select(*by, F.col("value").alias(f"value{k}"))
+        # Only the keys of missing values go on, to be joined.
+        filled = filled.join(known.join(F.broadcast(keys) if few else keys, by, "left_semi"), by, "left")
+    cells = filled.join(_sent(spark.createDataFrame([(k, f) for k, (_, f) in enumerate(cat.pairs)], "field int, field_name string")), ["field"])
     # Of the verified sets that know the key, the most trusted; of equal ones the first of DETERMINANTS.
     trusted = F.array_max(F.array_compact(F.array(*(F.when(F.col(f"value{k}").isNotNull() & F.col(f"trust{k}").isNotNull(), F.struct(F.col(f"trust{k}").alias("trust"), F.lit(-k).alias("rank"), F.lit(f"dependency:{name}").alias("source"), F.col(f"value{k}").alias("v"))) for k, name in enumerate(names)))))
     near: Column = F.struct(F.lit("none").alias("source"), F.lit(None).cast("double").alias("v"))
@@ -203,6 +227,11 @@ def fill_missing(posts: DataFrame, points: DataFrame, kind_fields: DataFrame, *,
     return cells.select("table_name", "rec_id", "index_name", "field_name", F.coalesce("best.v", "t.v", "g.v").alias("filled"), source.alias("source"))
 
 
+def _kinds(cat: Catalogue) -> Column:
+    """Kind by number of a kind's field."""
+    return F.create_map(*(x for k, (kind, _) in enumerate(cat.pairs) for x in (F.lit(k), F.lit(kind))))
+
+
 def _sent(df: DataFrame) -> DataFrame:
     """To every task if the rows, counted, are few; they grow with the catalogue's kinds and fields, relations with the cube of a kind's."""
     local, few = tiling.small(df.sparkSession, df)

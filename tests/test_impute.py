@@ -80,13 +80,6 @@ def test_dependencies_are_mined_and_verified(spark):
             assert r.source.startswith("group:") and 0 <= r.filled <= 9
 
 
-def test_bins():
-    v = np.array([-1e300, -5.0, -1e-300, 0.0, 1e-300, 1.0, 1.01, 5.0, 1e300])
-    b = M.bins_of(v, np.zeros(9, bool), 0.02)
-    assert (np.diff(b[[0, 1, 2, 3, 4, 5, 7, 8]]) != 0).all() and b[1] == -b[7] and b[5] == b[6] and b[3] == 0
-    assert M.bins_of(np.array([3.0, 4.0]), np.ones(2, bool), 0.02).tolist() == [3, 4]
-
-
 def test_shares_and_errors_by_source(spark):
     """Held-out values of posts and points: what each source fills, and how far off it is."""
     from collections import defaultdict
