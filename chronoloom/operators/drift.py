@@ -2,13 +2,17 @@
 
 1. ``field_profiles`` reads each file's records once and keeps, per field, how many records carry it, its JSON type and
    what it holds: the median of its numbers and a MinHash signature of its values (both merge across partitions).
-2. ``schema_versions`` fingerprints the fields and types of each file and numbers the versions of a feed.
-3. ``schema_changes`` compares each file with its feed's previous one. A field that goes while one of the same quantity
-   comes is a renaming; pairs are made closest first.
-4. ``migrate`` routes every record through its file's chain of rules (rename to the latest name, cast, default) into
-   one table of one schema: a row per post, and per entry of a query with its position and name.
-
-Work per file is bounded by the number of fields of a file, never by its records, so one feed may hold most rows.
+2. ``schema_versions`` fingerprints the fields and types of each file and numbers the versions of a feed: one begins where
+   the fingerprint changes.
+3. ``migration_steps`` turns each pair of consecutive versions into explicit steps: added, removed, retyped, renamed. A
+   field that goes while one of the same quantity comes is a renaming; pairs are made closest first. The steps are the
+   report of changes.
+4. ``migration_rules`` chains the steps from a feed's newest version back: for each version's fields the latest name and
+   the type that they are cast to, for fields that it lacks a default. ``migrate`` routes every record through the rules
+   of its file's version into one table of one schema: a row per post, and per entry of a query with its position and name.
+
+Work per file is bounded by the number of fields of a file, never by its records, so one feed may hold most rows; what
+follows the order of a feed's versions streams in that order and holds one version.
 
 Defined cases: null or broken JSON, and JSON that is no object (nor, in queries, an array), carries nothing but counts as
 a record; a record without a feed or file number can't be ordered and takes part in no comparison, but is migrated by its
@@ -28,6 +32,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from chronoloom.operators.readings import spread
+from chronoloom.session import ensure_checkpoint_dir
 
 #: A file has a field if at least one of so many of its records carries it.
 CARRIED_BY = 5
@@ -157,7 +162,7 @@ def files(recs: DataFrame) -> DataFrame:
 
 
 def field_profiles(recs: DataFrame) -> DataFrame:
-    """One row per file and field that the file has: ordinal, json_type, level, words (MinHash) and n_distinct."""
+    """One row per file and field that the file has: ordinal, json_type, level, words (MinHash) and n_distinct; and one without field per file."""
     schema = "table_name string, feed string, file_no long, field string, json_type string, carries int, n_values int, number double, words array<long>"
     long = recs.where(F.col("feed").isNotNull() & F.col("file_no").isNotNull()).mapInPandas(_profile, schema)
     mins = [F.min(F.col("words")[k]).alias(f"w{k}") for k in range(HASHES)]
@@ -169,20 +174,25 @@ def field_profiles(recs: DataFrame) -> DataFrame:
         F.max_by(F.struct("json_type", "level", "n_values", "n_numbers", "n_distinct"), rank).alias("main"),
         F.array(*(F.min(f"w{k}") for k in range(HASHES))).alias("words"),
     )
-    return by_field.join(files(recs), FILE).where(F.col("carries") * CARRIED_BY >= F.col("n_records")).select(*FILE, "ordinal", "next_file_no", "field", "main.json_type", F.when(F.col("main.n_numbers") * 2 >= F.col("main.n_values"), F.col("main.level")).alias("level"), "main.n_values", "main.n_distinct", "words")
+    every = files(recs)
+    held = by_field.join(every, FILE).where(F.col("carries") * CARRIED_BY >= F.col("n_records")).select(*FILE, "ordinal", "next_file_no", "field", "main.json_type", F.when(F.col("main.n_numbers") * 2 >= F.col("main.n_values"), F.col("main.level")).alias("level"), "main.n_values", "main.n_distinct", "words")
+    # A file may have no field; it is a file all the same.
+    return held.unionByName(every.select(*FILE, "ordinal", "next_file_no"), allowMissingColumns=True)
 
 
 def schema_versions(profiles: DataFrame) -> DataFrame:
-    """Fingerprint of each file's schema, and the feed's version that it belongs to (a version begins where the fingerprint changes)."""
-    prints = profiles.groupBy(*FILE, "ordinal").agg(F.array_sort(F.collect_list(F.concat_ws(":", "field", "json_type"))).alias("schema_fields"))
-    prints = prints.withColumn("fingerprint", F.hex(F.xxhash64("schema_fields")))
+    """Of each file its schema (fields and types), that schema's fingerprint, the feed's version that it belongs to, and whether it is the version's first and last."""
+    named = F.when(F.col("field").isNotNull(), F.concat_ws(":", "field", "json_type"))
+    prints = profiles.groupBy(*FILE, "ordinal", "next_file_no").agg(F.array_sort(F.collect_list(named)).alias("schema_fields"))
     feed = Window.partitionBy("table_name", "feed").orderBy("ordinal")
-    changed = F.coalesce((F.lag("fingerprint").over(feed) != F.col("fingerprint")).cast("int"), F.lit(1))
-    return prints.withColumn("changed", changed).withColumn("schema_version", F.sum("changed").over(feed)).drop("changed")
+    first = F.coalesce(F.lag("schema_fields").over(feed) != F.col("schema_fields"), F.lit(True))
+    last = F.coalesce(F.lead("schema_fields").over(feed) != F.col("schema_fields"), F.lit(True))
+    marked = prints.withColumns({"first": first, "last": last})
+    return marked.withColumns({"schema_version": F.sum(F.col("first").cast("long")).over(feed), "fingerprint": F.hex(F.xxhash64("schema_fields"))})
 
 
-def _distance(a: dict, b: dict) -> float | None:
-    """How far two fields' contents lie apart; None if they don't hold the same quantity."""
+def _distance(a: dict, b: dict, worded: bool) -> float | None:
+    """How far two fields' contents lie apart; None if they don't hold the same quantity. worded: numbers may be words of a small set."""
     # Nulls in an array of integers come as NaN.
     words = lambda x: None if x["words"] is None or any(w is None or w != w for w in x["words"]) else list(x["words"])
     wa, wb = words(a), words(b)
@@ -192,7 +202,7 @@ def _distance(a: dict, b: dict) -> float | None:
         near = 0.0 if x == y else abs(math.log(x / y)) if x * y > 0 else math.inf
         if near >= math.log(SAME_LEVEL):
             return None
-        few = max(a["n_distinct"], b["n_distinct"]) <= 12 and alike is not None
+        few = worded and max(a["n_distinct"], b["n_distinct"]) <= 12 and alike is not None
         return None if few and alike < SAME_WORDS else near
     if a["level"] is None and b["level"] is None and alike is not None and alike >= SAME_WORDS:
         return 1 - alike
@@ -202,10 +212,11 @@ def _distance(a: dict, b: dict) -> float | None:
 def _match(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for pdf in batches:
         rows = []
-        for table, feed, file_no, ordinal, gone, come, retyped in zip(pdf.table_name, pdf.feed, pdf.file_no, pdf.ordinal, pdf.gone, pdf.come, pdf.retyped):
-            gone, come, retyped = ([x if isinstance(x, dict) else x.asDict() for x in xs] for xs in (gone, come, retyped))
-            at = (table, feed, file_no, ordinal)
-            near = sorted((d, a["field"], b["field"]) for a in gone for b in come if (d := _distance(a, b)) is not None)
+        for table, feed, file_no, ordinal, version, old, new in zip(pdf.table_name, pdf.feed, pdf.file_no, pdf.ordinal, pdf.schema_version, pdf.old, pdf.new):
+            old, new = ({x["field"]: x for x in (x if isinstance(x, dict) else x.asDict() for x in xs)} for xs in (old, new))
+            at = (table, feed, file_no, ordinal, version)
+            gone, come = [x for f, x in old.items() if f not in new], [x for f, x in new.items() if f not in old]
+            near = sorted((d, a["field"], b["field"]) for a in gone for b in come if (d := _distance(a, b, table == "raw_queries")) is not None)
             used_a: set[str] = set()
             used_b: set[str] = set()
             for _, a, b in near:
@@ -215,52 +226,57 @@ def _match(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
                     rows.append((*at, "renamed", a, b))
             rows += [(*at, "removed", a["field"], "") for a in gone if a["field"] not in used_a]
             rows += [(*at, "added", "", b["field"]) for b in come if b["field"] not in used_b]
-            rows += [(*at, "retyped", x["field"], x["field"]) for x in retyped]
-        yield pd.DataFrame(rows, columns=["table_name", "feed", "file_no", "ordinal", "change_kind", "field_from", "field_to"])
-
-
-def schema_changes(profiles: DataFrame) -> DataFrame:
-    """One row per change between a file and its feed's previous file: table_name, feed, file_no, ordinal, change_kind, field_from, field_to."""
-    own = Window.partitionBy("table_name", "feed", "field").orderBy("ordinal")
-    seen = profiles.withColumns({"before": F.lag("ordinal").over(own), "type_before": F.lag("json_type").over(own), "after": F.lead("ordinal").over(own)})
-    here = F.col("ordinal")
-    content = F.struct("field", "level", "n_distinct", "words")
-    stays = F.coalesce(F.col("before") == here - 1, F.lit(False))
-    leaves = F.coalesce(F.col("after") != here + 1, F.lit(True)) & F.col("next_file_no").isNotNull()
-    event = lambda when, at, file_no, side: F.when(when, F.struct(at.alias("ordinal"), F.col(file_no).alias("file_no"), F.lit(side).alias("side"), content.alias("content")))
-    events = F.array_compact(F.array(
-        event(~stays & (here > 1), here, "file_no", "come"),
-        event(leaves, here + 1, "next_file_no", "gone"),
-        event(stays & (F.col("type_before") != F.col("json_type")), here, "file_no", "retyped"),
-    ))
-    of = lambda side: F.array_compact(F.collect_list(F.when(F.col("e.side") == side, F.col("e.content")))).alias(side)
-    steps = seen.select("table_name", "feed", F.explode(events).alias("e")).groupBy("table_name", "feed", F.col("e.file_no").alias("file_no"), F.col("e.ordinal").alias("ordinal")).agg(of("gone"), of("come"), of("retyped"))
-    return steps.mapInPandas(_match, "table_name string, feed string, file_no long, ordinal int, change_kind string, field_from string, field_to string")
-
-
-def _chain(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-    """Latest name of each field of each file of one feed, through the renamings that follow."""
-    ends: dict[str, list] = {}
-    steps = pdf[pdf.change_kind.notna()].sort_values("ordinal")
-    for ordinal, kind, old, new in zip(steps.ordinal, steps.change_kind, steps.field_from, steps.field_to):
-        if kind in ("renamed", "removed"):
-            ends.setdefault(old, []).append((ordinal, new if kind == "renamed" else None))
-    rows = []
-    for r in pdf[pdf.change_kind.isna()].itertuples():
-        name, at, hops = r.field_from, r.ordinal, 0
-        while (step := next((s for s in ends.get(name, ()) if s[0] > at), None)) and step[1] is not None:
-            at, name, hops = step[0], step[1], hops + 1
-        rows.append((r.table_name, r.feed, r.file_no, r.field_from, name, hops))
-    return pd.DataFrame(rows, columns=["table_name", "feed", "file_no", "field", "latest", "n_renames"])
-
-
-def migration_rules(profiles: DataFrame, changes: DataFrame) -> DataFrame:
-    """Per file: rules (field, latest, n_renames) of its fields, and the feed's fields of the latest names as defaults."""
-    now = profiles.select(*FILE, F.col("ordinal").cast("int").alias("ordinal"), F.lit(None).cast("string").alias("change_kind"), F.col("field").alias("field_from"), F.lit("").alias("field_to"))
-    out = "table_name string, feed string, file_no long, field string, latest string, n_renames int"
-    chained = now.unionByName(changes).groupBy("table_name", "feed").applyInPandas(_chain, out)
-    whole = chained.groupBy("table_name", "feed").agg(F.array_sort(F.collect_set("latest")).alias("defaults"))
-    return chained.groupBy(*FILE).agg(F.array_sort(F.collect_list(F.struct("field", "latest", "n_renames"))).alias("rules")).join(whole, ["table_name", "feed"])
+            rows += [(*at, "retyped", f, f) for f, x in new.items() if f in old and old[f]["json_type"] != x["json_type"]]
+        yield pd.DataFrame(rows, columns=["table_name", "feed", "file_no", "ordinal", "schema_version", "change_kind", "field_from", "field_to"])
+
+
+def migration_steps(profiles: DataFrame, versions: DataFrame) -> DataFrame:
+    """The steps from each version of a feed to the next, at the file that begins it: table_name, feed, file_no, ordinal, schema_version, change_kind, field_from, field_to."""
+    edges = profiles.where(F.col("field").isNotNull()).join(versions.where(F.col("first") | F.col("last")).select(*FILE, "schema_version", "first", "last"), FILE)
+    # The last file of a version is what the next one's first file is compared with.
+    at = lambda when, version, file_no, ordinal, side: F.when(when, F.struct(version.alias("schema_version"), file_no.alias("file_no"), ordinal.alias("ordinal"), F.lit(side).alias("side")))
+    version, ordinal = F.col("schema_version"), F.col("ordinal")
+    sides = F.array_compact(F.array(at(F.col("first") & (version > 1), version, F.col("file_no"), ordinal, "new"), at(F.col("last") & F.col("next_file_no").isNotNull(), version + 1, F.col("next_file_no"), ordinal + 1, "old")))
+    content = F.struct("field", "json_type", "level", "n_distinct", "words").alias("content")
+    of = lambda side: F.array_compact(F.collect_list(F.when(F.col("e.side") == side, F.col("content")))).alias(side)
+    pairs = edges.select("table_name", "feed", F.explode(sides).alias("e"), content).groupBy("table_name", "feed", "e.file_no", "e.ordinal", "e.schema_version").agg(of("old"), of("new"))
+    return pairs.mapInPandas(_match, "table_name string, feed string, file_no long, ordinal int, schema_version long, change_kind string, field_from string, field_to string")
+
+
+def _chain(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Rules of each version, from rows sorted by feed and version, the newest first; holds the names and types of one version."""
+    feed, names, targets = None, {}, {}
+    for pdf in batches:
+        rows = []
+        for table, name, version, fields, steps in zip(pdf.table_name, pdf.feed, pdf.schema_version, pdf.fields, pdf.steps):
+            if (table, name) != feed:
+                feed, names, targets = (table, name), {}, {}
+            rules = {}
+            for x in fields if fields is not None else ():
+                latest = names.get(x["field"], x["field"])
+                # The newest version that has a field tells what it holds.
+                target = targets.setdefault(latest, "number" if x["json_type"] == "number" or x["numeric"] else "text")
+                rules[x["field"]] = (latest, target)
+            rows.append((table, name, version, json.dumps(rules), [latest for latest, _ in rules.values()], [targets[latest] for latest, _ in rules.values()]))
+            steps = [(x["change_kind"], x["field_from"], x["field_to"]) for x in (steps if steps is not None else ())]
+            renamed = {old: names.get(new, new) for kind, old, new in steps if kind == "renamed"}
+            # Before this version a name that came or went meant nothing of what it means later.
+            for kind, old, new in steps:
+                names.pop(old if kind == "removed" else new, None)
+            names |= renamed
+        yield pd.DataFrame(rows, columns=["table_name", "feed", "schema_version", "rules", "latest", "targets"])
+
+
+def migration_rules(profiles: DataFrame, versions: DataFrame, steps: DataFrame) -> DataFrame:
+    """Per feed and version: rules (JSON: field to latest name and the type that it is cast to) and defaults (JSON: the feed's other fields and their types)."""
+    by = ["table_name", "feed", "schema_version"]
+    firsts = profiles.join(versions.where("first").select(*FILE, "schema_version"), FILE)
+    fields = firsts.groupBy(*by).agg(F.array_compact(F.collect_list(F.when(F.col("field").isNotNull(), F.struct("field", "json_type", F.col("level").isNotNull().alias("numeric"))))).alias("fields"))
+    taken = steps.groupBy(*by).agg(F.collect_list(F.struct("change_kind", "field_from", "field_to")).alias("steps"))
+    ordered = fields.join(taken, by, "left").repartition("table_name", "feed").sortWithinPartitions("table_name", "feed", F.col("schema_version").desc())
+    chained = ordered.mapInPandas(_chain, "table_name string, feed string, schema_version long, rules string, latest array<string>, targets array<string>")
+    every = chained.select("table_name", "feed", F.explode(F.arrays_zip("latest", "targets")).alias("x")).groupBy("table_name", "feed").agg(F.to_json(F.map_from_entries(F.array_sort(F.collect_set("x")))).alias("defaults"))
+    return chained.select(*by, "rules").join(every, ["table_name", "feed"], "left")
 
 
 def entries_of(kind: str, value) -> list[tuple]:
@@ -305,56 +321,91 @@ def _left_by_cast(value):
     return None
 
 
-def _apply(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    get = lambda x, k: x[k] if isinstance(x, dict) else getattr(x, k)
-    for pdf in batches:
-        rows = []
-        for r in pdf.itertuples():
-            rules = {get(x, "field"): get(x, "latest") for x in (r.rules if r.rules is not None else ()) if r.kind == "post" or get(x, "field") != CONTAINER}
-            defaults = [str(x) for x in (r.defaults if r.defaults is not None else ()) if not (x == CONTAINER and r.kind != "post")]
-            decoded = _decode(r.body)
-            for pos, entry, members in entries_of(r.kind, decoded):
-                numbers, texts, applied = {}, {}, []
-                names = _latest_names(members, rules)
-                for field, value in members.items():
-                    name = names[field]
-                    if name != field:
-                        applied.append(f"rename:{field}>{name}")
-                    elif rules.get(field, field) != field:
-                        applied.append(f"clash:{field}>{rules[field]}")
-                    x = number_in(value)
-                    if x is None:
-                        texts[name] = value if isinstance(value, str) else json.dumps(value, sort_keys=True)
-                        continue
-                    numbers[name] = x
-                    if json_type(value) != "number":
-                        applied.append(f"cast:{name}")
-                        if left := _left_by_cast(value):
-                            texts[name] = json.dumps(left, sort_keys=True)
-                known = numbers.keys() | texts.keys() | (set(NAMES) if entry is not None else set())
-                applied += [f"default:{x}" for x in defaults if x not in known]
-                rows.append((r.table_name, r.feed, r.file_no, r.rec_id, pos, entry, "read" if decoded is not None else "broken", r.schema_version, numbers, texts, applied))
-        yield pd.DataFrame(rows, columns=["table_name", "feed", "file_no", "rec_id", "entry_pos", "entry_name", "read_status", "schema_version", "numbers", "texts", "applied"]).astype({"file_no": "Int64", "rec_id": "Int64", "entry_pos": "Int64", "schema_version": "Int64"})
-
-
-def migrate(recs: DataFrame, rules: DataFrame, versions: DataFrame) -> DataFrame:
+class _Rules:
+    """Rules and defaults by their JSON, read once each while they are few."""
+
+    def __init__(self):
+        self.known: dict[str, dict] = {}
+
+    def of(self, text: str | None) -> dict:
+        if not isinstance(text, str):
+            return {}
+        if text not in self.known:
+            if len(self.known) > 10_000:
+                self.known.clear()
+            self.known[text] = json.loads(text)
+        return self.known[text]
+
+
+def _apply(defaults: dict[tuple[str, str], float | str | None]):
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        read = _Rules()
+        for pdf in batches:
+            rows = []
+            for table, feed, file_no, rec_id, kind, body, version, rules, others in zip(pdf.table_name, pdf.feed, pdf.file_no, pdf.rec_id, pdf.kind, pdf.body, pdf.schema_version, pdf.rules, pdf.defaults):
+                rules, others = read.of(rules), read.of(others)
+                if kind != "post":
+                    # The container isn't a field of an entry.
+                    rules = {f: r for f, r in rules.items() if f != CONTAINER}
+                latest = {f: r[0] for f, r in rules.items()}
+                decoded = _decode(body)
+                for pos, entry, members in entries_of(kind, decoded):
+                    numbers, texts, applied = {}, {}, []
+                    names = _latest_names(members, latest)
+                    for field, value in members.items():
+                        name = names[field]
+                        if name != field:
+                            applied.append(f"rename:{field}>{name}")
+                        elif latest.get(field, field) != field:
+                            applied.append(f"clash:{field}>{latest[field]}")
+                        # A field without a rule, as in records that no file's schema covers, goes by its own type.
+                        target = others.get(name) or ("number" if json_type(value) == "number" else "text" if name in others else None)
+                        x = number_in(value) if target != "text" else None
+                        if x is None:
+                            texts[name] = value if isinstance(value, str) else json.dumps(value, sort_keys=True)
+                            if target == "number":
+                                applied.append(f"uncast:{name}")
+                            elif target == "text" and json_type(value) in ("number", "boolean"):
+                                applied.append(f"cast:{name}")
+                            continue
+                        numbers[name] = x
+                        if json_type(value) != "number":
+                            applied.append(f"cast:{name}")
+                            if left := _left_by_cast(value):
+                                texts[name] = json.dumps(left, sort_keys=True)
+                    known = numbers.keys() | texts.keys() | (set(NAMES) if entry is not None else set())
+                    for name, target in others.items():
+                        if name not in known and not (name == CONTAINER and kind != "post"):
+                            (numbers if target == "number" else texts)[name] = defaults.get((table, name))
+                            applied.append(f"default:{name}")
+                    rows.append((table, feed, file_no, rec_id, pos, entry, "read" if decoded is not None else "broken", version, numbers, texts, applied))
+            yield pd.DataFrame(rows, columns=["table_name", "feed", "file_no", "rec_id", "entry_pos", "entry_name", "read_status", "schema_version", "numbers", "texts", "applied"]).astype({"file_no": "Int64", "rec_id": "Int64", "entry_pos": "Int64", "schema_version": "Int64"})
+
+    return run
+
+
+def migrate(recs: DataFrame, rules: DataFrame, versions: DataFrame, defaults: dict[tuple[str, str], float | str | None] | None = None) -> DataFrame:
     """Every record, a query by its entries, in one schema: numbers and texts by the latest field names, and the rules that were applied.
 
-    What a cast to a number leaves of an array or object is in texts, as JSON, beside the number.
+    defaults: value of (table, field) where a record lacks a field of its feed's schema; null where none is given. What a
+    cast to a number leaves of an array or object is in texts, as JSON, beside the number; what can't be cast is there whole.
     """
-    known = recs.join(rules, FILE, "left").join(versions.select(*FILE, "schema_version"), FILE, "left")
+    of_file = versions.select(*FILE, "schema_version").join(rules, ["table_name", "feed", "schema_version"], "left")
     out = "table_name string, feed string, file_no long, rec_id long, entry_pos long, entry_name string, read_status string, schema_version long, numbers map<string,double>, texts map<string,string>, applied array<string>"
-    return known.mapInPandas(_apply, out)
+    return recs.join(of_file, FILE, "left").mapInPandas(_apply(defaults or {}), out)
 
 
 def drift_report(raw_posts: DataFrame, raw_queries: DataFrame) -> DataFrame:
-    """Every change of both raw tables' feeds; see ``schema_changes``."""
-    recs = records(raw_posts, raw_queries)
-    return schema_changes(field_profiles(recs))
+    """Every change of both raw tables' feeds; see ``migration_steps``."""
+    profiles = field_profiles(records(raw_posts, raw_queries))
+    return migration_steps(profiles, schema_versions(profiles))
 
 
-def consistent_table(raw_posts: DataFrame, raw_queries: DataFrame) -> DataFrame:
+def consistent_table(raw_posts: DataFrame, raw_queries: DataFrame, defaults: dict[tuple[str, str], float | str | None] | None = None) -> DataFrame:
     """All records of both raw tables in one schema; see ``migrate``."""
     recs = records(raw_posts, raw_queries)
-    profiles = field_profiles(recs)
-    return migrate(recs, migration_rules(profiles, schema_changes(profiles)), schema_versions(profiles))
+    ensure_checkpoint_dir(recs.sparkSession)
+    # Some rows a file, read by several steps.
+    profiles = field_profiles(recs).checkpoint()
+    versions = schema_versions(profiles)
+    return migrate(recs, migration_rules(profiles, versions, migration_steps(profiles, versions)), versions, defaults)

@@ -19,7 +19,7 @@ def p1_found(spark: SparkSession, d: str) -> DataFrame:
 
 def p1_consistent(spark: SparkSession, d: str) -> DataFrame:
     rows = drift.consistent_table(table(spark, d, "raw_posts"), table(spark, d, "raw_queries"))
-    as_text = lambda c: F.to_json(F.map_from_entries(F.array_sort(F.map_entries(c))))
+    as_text = lambda c: F.to_json(F.map_from_entries(F.array_sort(F.map_entries(c))), {"ignoreNullFields": "false"})
     return rows.select("table_name", "rec_id", "feed", "file_no", "entry_pos", "entry_name", "read_status", "schema_version", as_text(F.col("numbers")).alias("numbers"), as_text(F.col("texts")).alias("texts"), F.concat_ws(";", "applied").alias("applied"))
 
 
