@@ -27,6 +27,7 @@ from pyspark.sql import functions as F
 
 from chronoloom.operators import tiling
 from chronoloom.operators.readings import codes_of, limits_by_kind, over_chunks, standing
+from chronoloom.session import scratch_folder
 
 SPAN = 4096
 DAY_US = 86_400_000_000
@@ -97,20 +98,31 @@ def _features_of(us: np.ndarray) -> np.ndarray:
     return np.stack(out, axis=1)
 
 
-def seasonal_models(posts: DataFrame, fields: DataFrame, limits: DataFrame) -> DataFrame:
+def asked_readings(posts: DataFrame, fields: DataFrame) -> DataFrame:
+    """Readings of the fields that are asked for, of standing posts: index_name, field_name, us, v (infinities too).
+
+    fields: distinct index_name, field_name. A series' fields come as one list, so each post is met once.
+    """
+    lists = fields.groupBy("index_name").agg(F.collect_set("field_name").alias("fields"))
+    local, few = tiling.small(posts.sparkSession, lists)
+    rows = standing(posts.join(F.broadcast(local) if few else local, "index_name", "left_semi")).join(F.broadcast(local) if few else local, "index_name")
+    entries = F.map_entries(F.map_filter("value", lambda k, v: v.isNotNull() & ~F.isnan(v) & F.array_contains("fields", k)))
+    return rows.select("index_name", _us(F.col("ts")).alias("us"), F.inline(entries).alias("field_name", "v"))
+
+
+def seasonal_models(readings: DataFrame, limits: DataFrame) -> DataFrame:
     """index_name, field_name, sums: the normal equations (upper triangle, then right-hand side) of the seasonal regression.
 
-    posts: standing; fields: distinct index_name, field_name; limits: kind, field_name, low_limit, high_limit, unfenced.
+    readings: see ``asked_readings``; limits: kind, field_name, low_limit, high_limit, unfenced.
     """
     key = ["index_name", "field_name"]
-    v = F.try_element_at("value", F.col("field_name"))
-    readings = posts.join(fields, "index_name").select(*key, _us(F.col("ts")).alias("us"), v.alias("v")).where(F.col("v").isNotNull() & ~F.isnan("v") & (F.abs("v") < float("inf")))
     kind = F.lower(F.substring_index("index_name", ".", 1))
-    readings = readings.join(F.broadcast(limits.withColumnRenamed("field_name", "f")), (kind == F.col("kind")) & (F.col("field_name") == F.col("f")), "left").where(F.coalesce(F.col("v") >= F.col("low_limit"), F.lit(True)) & F.coalesce(F.col("v") <= F.col("high_limit"), F.lit(True))).withColumn("unfenced", F.coalesce("unfenced", F.lit(False)))
-    quartiles = readings.groupBy(*key).agg(F.percentile_approx("v", [0.25, 0.75], 200).alias("q")).select(*key, F.col("q")[0].alias("q1"), F.col("q")[1].alias("q3"))
-    quartiles, few = tiling.small(posts.sparkSession, quartiles)
+    finite = readings.where(F.abs("v") < float("inf"))
+    inside = finite.join(F.broadcast(limits.withColumnRenamed("field_name", "f")), (kind == F.col("kind")) & (F.col("field_name") == F.col("f")), "left").where(F.coalesce(F.col("v") >= F.col("low_limit"), F.lit(True)) & F.coalesce(F.col("v") <= F.col("high_limit"), F.lit(True))).withColumn("unfenced", F.coalesce("unfenced", F.lit(False)))
+    quartiles = inside.groupBy(*key).agg(F.percentile_approx("v", [0.25, 0.75], 200).alias("q")).select(*key, F.col("q")[0].alias("q1"), F.col("q")[1].alias("q3"))
+    quartiles, few = tiling.small(readings.sparkSession, quartiles)
     reach = 3 * (F.col("q3") - F.col("q1"))
-    fenced = readings.join(F.broadcast(quartiles) if few else quartiles, key).where(F.col("unfenced") | (reach == 0) | F.col("v").between(F.col("q1") - reach, F.col("q3") + reach))
+    fenced = inside.join(F.broadcast(quartiles) if few else quartiles, key).where(F.col("unfenced") | (reach == 0) | F.col("v").between(F.col("q1") - reach, F.col("q3") + reach))
     x = _features(F.col("us"))
     names = [f"x{k}" for k in range(len(x))]
     fenced = fenced.select(*key, "v", *(c.alias(n) for c, n in zip(x, names)))
@@ -191,6 +203,12 @@ def _fill(table: pa.Table, limits: dict) -> pa.Table | None:
     return pa.table({"grid_id": pa.array(g, pa.int64()), "bucket_us": pa.array(us, pa.int64()), "value": pa.array(value, mask=np.isnan(value)), "n_readings": pa.array(count), "cell_state": pa.array(state, pa.string())})
 
 
+def _catalogue_limits(kind_fields: DataFrame) -> DataFrame:
+    """Limits of each kind and field, and whether it is fenced, from the catalogue, whose rows ``limits_by_kind`` bounds."""
+    rows = [(kind, field, low, high, unit in UNFENCED_UNITS) for (kind, field), (unit, low, high) in limits_by_kind(kind_fields).items()]
+    return kind_fields.sparkSession.createDataFrame(rows, "kind string, field_name string, low_limit double, high_limit double, unfenced boolean")
+
+
 def regular_grid(posts: DataFrame, requests: DataFrame, kind_fields: DataFrame) -> DataFrame:
     """Columns of OUT: one row per bucket of each request."""
     spark = posts.sparkSession
@@ -200,15 +218,17 @@ def regular_grid(posts: DataFrame, requests: DataFrame, kind_fields: DataFrame)
     covered, few = tiling.small(spark, plan.withColumn("day", F.explode(F.sequence(day(F.col("begin_us")), day(F.col("end_us") - 1)))))
     send = F.broadcast if few else (lambda df: df)
     fields = plan.select("index_name", "field_name").where(F.col("index_name").isNotNull() & F.col("field_name").isNotNull()).distinct()
-    asked = posts.join(send(fields.select("index_name").distinct()), "index_name", "left_semi")
-    rows = standing(asked)
-    limits_table = kind_fields.where(F.col("kind").isNotNull() & F.col("field_name").isNotNull()).groupBy(F.lower(F.trim("kind")).alias("kind"), "field_name").agg(F.min("low_limit").alias("low_limit"), F.max("high_limit").alias("high_limit"), F.max(F.coalesce(F.col("unit").isin(*UNFENCED_UNITS), F.lit(False))).alias("unfenced"))
-    models = seasonal_models(rows, send(fields), limits_table)
-
-    v = F.try_element_at("value", F.col("field_name"))
-    met = rows.withColumn("day", day(_us(F.col("ts")))).join(send(covered), ["index_name", "day"]).where((_us(F.col("ts")) >= F.col("begin_us")) & (_us(F.col("ts")) < F.col("end_us")))
-    met = met.select("grid_id", "ts", v.alias("v"), bucket_number(F.col("ts"), F.col("step_us"), F.col("months")).alias("bucket"), F.floor((bucket_number(F.col("ts"), F.col("step_us"), F.col("months")) - F.col("first")) / SPAN).alias("span"))
-    observed = met.where(F.col("v").isNotNull() & ~F.isnan("v")).groupBy("grid_id", "span", "bucket").agg(F.avg("v").alias("mean_v"), F.max_by("v", "ts").alias("last_v"), F.count("*").alias("n"))
+    # Posts are read, resolved and shuffled once; the fences, the fit and the buckets take their readings from what is written.
+    at = scratch_folder(spark)
+    asked_readings(posts, fields).write.parquet(f"{at}/readings")
+    readings = spark.read.schema("index_name string, us long, field_name string, v double").parquet(f"{at}/readings")
+    models = seasonal_models(readings, _catalogue_limits(kind_fields))
+
+    ts = F.timestamp_micros("us")
+    met = readings.withColumn("day", day(F.col("us"))).join(send(covered), ["index_name", "field_name", "day"]).where((F.col("us") >= F.col("begin_us")) & (F.col("us") < F.col("end_us")))
+    bucket = bucket_number(ts, F.col("step_us"), F.col("months"))
+    met = met.select("grid_id", "us", "v", bucket.alias("bucket"), F.floor((bucket - F.col("first")) / SPAN).alias("span"))
+    observed = met.groupBy("grid_id", "span", "bucket").agg(F.avg("v").alias("mean_v"), F.max_by("v", "us").alias("last_v"), F.count("*").alias("n"))
 
     ends = observed.where((F.abs("mean_v") < float("inf")) & (F.abs("last_v") < float("inf"))).groupBy("grid_id", "span").agg(F.min_by(F.struct("bucket", "mean_v", "last_v"), "bucket").alias("head"), F.max_by(F.struct("bucket", "mean_v", "last_v"), "bucket").alias("tail"))
     spans = plan.withColumn("span", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("last") - F.col("first")) / SPAN))))
