@@ -1,9 +1,13 @@
 """Oversized texts cut into pieces under a token limit, at the article's own boundaries.
 
-A text is read as a tree whose levels are its kinds of boundary, coarsest first: headings, paragraphs and environments,
-list items, sentences, lines, clauses, spaces, words, tokens. A node that fits is one piece; only an oversized node is opened, at the
-coarsest level that it has, and the pieces of its children are then merged with their neighbours, bottom-up, as far as
-the limit allows. Every piece but the first begins with the last ``overlap`` tokens before it.
+A text is parsed into a tree: sections by their headings, environments and lists, however deep they nest, the items of a
+list, and the blocks that blank lines part within each of them. A node that fits is one piece or part of one; only an
+oversized node is opened. Its children that fit are merged with their siblings, in order, as far as the limit allows, an
+oversized child is opened in turn, and what comes of it is not merged with its parent's other children. A block without
+structure is opened at the coarsest boundary that it has: list entries, sentences, lines, clauses, spaces, words, tokens.
+Every piece but the first begins with the last ``overlap`` tokens before it.
+
+Marks that don't match are no harm: an end without a begin is a boundary and no more, a heading ends what is open.
 
 Pieces are contiguous slices of the text and without their overlaps give it back exactly. Null and empty texts, and
 texts within the limit, have no pieces; a text without any boundary is cut between tokens (never inside a character); of
@@ -14,6 +18,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from dataclasses import dataclass, field
 
 import numpy as np
 import pandas as pd
@@ -24,62 +29,103 @@ from chronoloom.operators.readings import spread
 
 LIMIT = 2048
 OVERLAP = 128
+#: Tokens of a piece that stay free while it is packed.
+SPARE = 8
 HEADINGS = ("part", "chapter", "section", "subsection", "subsubsection", "paragraph", "subparagraph")
-#: Levels after those of the headings.
-BLOCK, ENTRY, SENTENCE, LINE, WORD, TOKEN = range(len(HEADINGS), len(HEADINGS) + 6)
 _MARK = re.compile(
     r"^[ \t]*\\(?P<heading>" + "|".join(HEADINGS) + r")\*?[ \t]*[\[{]"
     r"|^[ \t]*(?P<hashes>#{1,6})[ \t]"
     r"|\\(?P<edge>begin|end)[ \t]*\{(?P<env>[^}\n]*)\}"
     r"|(?P<blank>(?:\r\n|\n|\r)[ \t]*(?:(?:\r\n|\n|\r)[ \t]*)+)"
-    r"|^[ \t]*(?P<entry>\\(?:item|bibitem)\b|[-*+][ \t]|[0-9]+[.)][ \t])"
-    r"|(?P<stop>[.!?]['\")}\]]*[ \t]*(?:\r\n|\n|\r|(?<=[ \t]))[ \t]*)(?=[^\s])"
-    r"|(?P<line>\r\n|\n|\r)",
+    r"|^[ \t]*(?P<item>\\(?:item|bibitem)\b)",
     re.MULTILINE,
 )
-
-
-#: Within a line: after a clause, then at a space or before a command; looked for only where a node has nothing coarser.
-_WITHIN = (re.compile(r"[;,][ \t]*(?=\S)"), re.compile(r"[ \t]+(?=\S)|(?<=[^\\A-Za-z])(?=\\[A-Za-z])"))
-
-
-def boundaries(text: str) -> tuple[np.ndarray, np.ndarray]:
-    """Positions at which a part of the text begins, ascending, and the level of each (the coarsest where several meet)."""
-    found: dict[int, int] = {}
-    depth = 0
-
-    def mark(at: int, level: int) -> None:
-        if 0 < at < len(text):
-            found[at] = min(level, found.get(at, TOKEN))
+#: Boundaries inside a block, from coarse to fine: before entries, after sentences, lines and clauses, at spaces and before commands.
+_WITHIN = (
+    re.compile(r"^(?=[ \t]*(?:\\(?:item|bibitem)\b|[-*+][ \t]|[0-9]+[.)][ \t]))", re.MULTILINE),
+    re.compile(r"[.!?]['\")}\]]*[ \t]*(?:\r\n|\n|\r|(?<=[ \t]))[ \t]*(?=[^\s])"),
+    re.compile(r"\r\n|\n|\r"),
+    re.compile(r"[;,][ \t]*(?=\S)"),
+    re.compile(r"[ \t]+(?=\S)|(?<=[^\\A-Za-z])(?=\\[A-Za-z])"),
+)
+WORDS, TOKENS = len(_WITHIN), len(_WITHIN) + 1
+
+
+@dataclass
+class Node:
+    """A part of the text; ``kids`` follow each other and make it up, a block without structure has none."""
+
+    start: int
+    end: int
+    kind: str  # root, section, env, item or block
+    level: int = -1  # of a section; of a block, the kind of boundary to look for first
+    name: str = ""
+    kids: list[Node] = field(default_factory=list)
+    #: Where the block begins that is still open.
+    at: int = 0
+    #: Nothing but its own mark has come yet.
+    fresh: bool = True
+
+
+def parse(text: str) -> Node:
+    """The tree of a text."""
+    root = Node(0, len(text), "root")
+    stack = [root]
+
+    def block(at: int) -> None:
+        """Ends the open block of the innermost node."""
+        top = stack[-1]
+        if at > top.at:
+            top.kids.append(Node(top.at, at, "block", 0))
+            top.at = at
+
+    def close(at: int) -> None:
+        block(at)
+        node = stack.pop()
+        node.end = at
+        stack[-1].kids.append(node)
+        stack[-1].at, stack[-1].fresh = at, False
+
+    def begin(node: Node) -> None:
+        block(node.start)
+        node.at = node.start
+        stack.append(node)
 
     for m in _MARK.finditer(text):
         kind = m.lastgroup if m.lastgroup != "env" else "edge"
-        inner = 1 if depth > 0 else 0
-        if kind == "heading":
-            mark(m.start(), HEADINGS.index(m["heading"]))
-            depth = 0
-        elif kind == "hashes":
-            mark(m.start(), min(len(m["hashes"]), len(HEADINGS)) - 1)
+        if kind in ("heading", "hashes"):
+            level = HEADINGS.index(m["heading"]) if kind == "heading" else min(len(m["hashes"]), len(HEADINGS)) - 1
+            while len(stack) > 1 and not (stack[-1].kind == "section" and stack[-1].level < level):
+                close(m.start())
+            begin(Node(m.start(), 0, "section", level))
+        elif kind == "edge" and m["env"] == "document":
+            # The document itself is no block: its body is what the article consists of.
+            block(m.start() if m["edge"] == "begin" else m.end())
+        elif kind == "edge" and m["edge"] == "begin":
+            begin(Node(m.start(), 0, "env", name=m["env"]))
         elif kind == "edge":
-            # The document itself is no block; blocks are opened only where they don't fit.
-            if m["env"] == "document":
-                mark(m.start(), 0)
-            elif m["edge"] == "begin":
-                mark(m.start(), ENTRY if inner else BLOCK)
-                depth += 1
+            depth = next((k for k in range(len(stack) - 1, 0, -1) if stack[k].kind == "env" and stack[k].name == m["env"]), 0)
+            # A section that began inside keeps what is its own.
+            if depth and all(n.kind != "section" for n in stack[depth:]):
+                while len(stack) > depth:
+                    close(m.end())
             else:
-                depth = max(0, depth - 1)
-                mark(m.end(), ENTRY if depth else BLOCK)
-        elif kind == "blank":
-            mark(m.end(), ENTRY if inner else BLOCK)
-        elif kind == "entry":
-            mark(m.start(), ENTRY)
-        elif kind == "stop":
-            mark(m.end(), SENTENCE)
-        else:
-            mark(m.end(), LINE)
-    at = np.array(sorted(found), "int64")
-    return at, np.array([found[p] for p in at], "int64")
+                block(m.end())
+        elif kind == "item":
+            if stack[-1].kind == "item":
+                close(m.start())
+            if stack[-1].kind == "env":
+                begin(Node(m.start(), 0, "item"))
+            else:
+                block(m.start())
+        elif not (stack[-1].fresh and not stack[-1].kids and "\n" not in text[stack[-1].start : m.start()].strip()):
+            # A mark stays with what follows it.
+            block(m.end())
+        stack[-1].fresh &= stack[-1].start == m.start()
+    while len(stack) > 1:
+        close(len(text))
+    block(len(text))
+    return root
 
 
 class _Text:
@@ -131,56 +177,52 @@ class _Text:
         return k, begin, before + (int(counts[i]) if i >= 0 else 0)
 
 
-def _pack(t: _Text, at: np.ndarray, level: np.ndarray, start: int, end: int, limit: int) -> list[tuple[int, int]]:
-    """Slices under the limit that make up a node; neighbours are merged where they fit together."""
-    if t.cost(start, end) <= limit:
-        return [(start, end)]
-    lo, hi = np.searchsorted(at, start, side="right"), np.searchsorted(at, end, side="left")
-    inside = level[lo:hi]
-    if len(inside):
-        cuts = at[lo:hi][inside == inside.min()]
-    else:
-        cuts = np.zeros(0, "int64")
-        for rx in _WITHIN:
-            if not len(cuts):
-                cuts = np.array([m.end() for m in rx.finditer(t.text, start, end) if start < m.end() < end], "int64")
-    if not len(cuts):
-        a, b = np.searchsorted(t.ends, start, side="right"), np.searchsorted(t.ends, end, side="left")
-        cuts = t.ends[a:b]
-        if not len(cuts):
-            # Inside one word: as many tokens as fit.
-            cuts, counts = t.token_cuts(start, end)
-            steps, taken = [start], 0
-            while (i := int(np.searchsorted(counts, taken + limit, side="right")) - 1) >= 0 and counts[i] > taken and i < len(cuts) - 1:
-                steps.append(int(cuts[i]))
-                taken = int(counts[i])
-            steps.append(end)
-            return list(zip(steps, steps[1:]))
-    edges = np.array([start, *cuts.tolist(), end])
-    # Tokens before each edge; of an edge inside a word, with the whole word to its left.
-    upto = np.append(0, t.upto)[np.searchsorted(t.ends, edges, side="left") + (edges > 0)] if len(t.upto) else np.zeros(len(edges))
-    pieces: list[tuple[int, int]] = []
-
-    def add(piece: tuple[int, int]) -> None:
-        if pieces and t.cost(pieces[-1][0], piece[1]) <= limit:
-            pieces[-1] = (pieces[-1][0], piece[1])
-        else:
-            pieces.append(piece)
-
-    i = 0
-    while i < len(edges) - 1:
-        # As many whole children as fit together; a child that doesn't fit alone is opened.
-        j = int(np.searchsorted(upto, upto[i] + limit, side="right")) - 1
-        while j > i and t.cost(int(edges[i]), int(edges[j])) > limit:
-            j -= 1
-        if j > i:
-            add((int(edges[i]), int(edges[j])))
-            i = j
-        else:
-            for piece in _pack(t, at, level, int(edges[i]), int(edges[i + 1]), limit):
-                add(piece)
-            i += 1
-    return pieces
+def _inside(t: _Text, node: Node, limit: int) -> list[Node]:
+    """The parts of a block without structure, at its coarsest boundary."""
+    for level in range(max(0, node.level), WORDS):
+        cuts = [m.end() for m in _WITHIN[level].finditer(t.text, node.start, node.end) if node.start < m.end() < node.end]
+        if cuts:
+            edges = [node.start, *cuts, node.end]
+            return [Node(a, b, "block", level + 1) for a, b in zip(edges, edges[1:])]
+    if node.level <= WORDS:
+        a, b = np.searchsorted(t.ends, node.start, side="right"), np.searchsorted(t.ends, node.end, side="left")
+        edges = [node.start, *t.ends[a:b].tolist(), node.end]
+        if len(edges) > 2:
+            return [Node(a, b, "block", TOKENS) for a, b in zip(edges, edges[1:])]
+    # Inside one word: as many tokens as fit.
+    cuts, counts = t.token_cuts(node.start, node.end)
+    steps, taken = [node.start], 0
+    while (i := int(np.searchsorted(counts, taken + limit, side="right")) - 1) >= 0 and counts[i] > taken and i < len(cuts) - 1:
+        steps.append(int(cuts[i]))
+        taken = int(counts[i])
+    steps.append(node.end)
+    return [Node(a, b, "block", TOKENS + 1) for a, b in zip(steps, steps[1:])]
+
+
+def pack(t: _Text, root: Node, limit: int) -> list[tuple[int, int]]:
+    """Slices under the limit that make up a tree: whole siblings merged, oversized nodes opened."""
+    out: list[tuple[int, int]] = []
+    work: list[Node] = [root]  # what is left, last first; nodes of level TOKENS + 1 are pieces
+    while work:
+        node = work.pop()
+        if node.level > TOKENS or t.cost(node.start, node.end) <= limit:
+            out.append((node.start, node.end))
+            continue
+        kids = node.kids or _inside(t, node, limit)
+        edges = np.array([kids[0].start, *(k.end for k in kids)])
+        # Tokens before each edge; of an edge inside a word, with the whole word to its left.
+        upto = np.append(0, t.upto)[np.searchsorted(t.ends, edges, side="left") + (edges > 0)] if len(t.upto) else np.zeros(len(edges))
+        merged: list[Node] = []
+        i = 0
+        while i < len(kids):
+            # As many whole siblings as fit together; one that doesn't fit alone is opened.
+            j = int(np.searchsorted(upto, upto[i] + limit, side="right")) - 1
+            while j > i and t.cost(int(edges[i]), int(edges[j])) > limit:
+                j -= 1
+            merged.append(kids[i] if j <= i else Node(int(edges[i]), int(edges[j]), "block", TOKENS + 1))
+            i = max(j, i + 1)
+        work += merged[::-1]
+    return out
 
 
 def _overlap_start(t: _Text, start: int, overlap: int) -> tuple[int, int]:
@@ -208,9 +250,20 @@ def pieces_of(text: str, encoder: bpe.Encoder, limit: int = LIMIT, overlap: int
     t = _Text(text, encoder)
     if t.total <= limit:
         return []
-    at, level = boundaries(text)
-    # A few tokens stay free, as a slice's first and last word may split otherwise than in the whole.
-    cores = _pack(t, at, level, 0, len(text), limit - overlap - 8)
+    tree, inner = parse(text), limit - overlap - SPARE
+    while True:
+        # A few tokens stay free, as a slice's first and last word may split otherwise than in the whole.
+        out = _with_overlaps(t, pack(t, tree, inner), limit, overlap)
+        over = max(n for *_, n, _ in out) - limit
+        if over <= 0:
+            return out
+        if inner <= over:
+            raise ValueError(f"no pieces of at most {limit} tokens with an overlap of {overlap}")
+        inner -= over
+
+
+def _with_overlaps(t: _Text, cores: list[tuple[int, int]], limit: int, overlap: int) -> list[tuple[int, int, int, int, int]]:
+    text, encoder = t.text, t.encoder
     out = []
     for k, (start, end) in enumerate(cores):
         begin, shared = _overlap_start(t, start, overlap) if k else (start, 0)

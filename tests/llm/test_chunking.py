@@ -47,9 +47,15 @@ def article(seed, sections):
 def test_article(encoder, seed):
     text = article(seed, 30)
     pieces = check(text, encoder, 256, 32)
-    at, level = chunking.boundaries(text)
-    where = dict(zip(at.tolist(), level.tolist()))
-    assert all(where.get(s, 99) <= chunking.BLOCK for _, s, *_ in pieces[1:])
+    edges = set()
+
+    def walk(node):
+        edges.update((node.start, node.end))
+        for kid in node.kids:
+            walk(kid)
+
+    walk(chunking.parse(text))
+    assert all(s in edges for _, s, *_ in pieces[1:])
     assert all(32 <= shared <= 36 for *_, shared in pieces[1:])
 
 
@@ -70,6 +76,57 @@ def test_headings_are_preferred(encoder):
     assert {text[s:].split("\n")[0] for _, s, *_ in pieces[1:]} <= {"\\subsection{B}", "\\section{C}"}
 
 
+def whole(node, text):
+    """Children make up their node, in order."""
+    if node.kids:
+        assert node.kids[0].start == node.start and node.kids[-1].end == node.end
+        assert all(a.end == b.start for a, b in zip(node.kids, node.kids[1:]))
+        for kid in node.kids:
+            whole(kid, text)
+
+
+@settings(max_examples=300, deadline=None)
+@given(parts=st.lists(st.sampled_from(["\\section{A}", "\n\\subsection{B}\n", "\\begin{itemize}", "\\end{itemize}", "\n\\item x", "\n\n", "\\begin{a}", "\\end{a}", "word. ", "\n", "\\end{document}", "\\begin{document}", "\n# H\n", "\r\n\r\n", "- e\n"]), max_size=40))
+def test_any_marks_make_a_tree(encoder, parts):
+    text = "".join(parts)
+    whole(chunking.parse(text), text)
+    check(text, encoder, 40, 8)
+
+
+def nested(depth, n):
+    """A list of n items, each with a list of n items, and so on."""
+    if not depth:
+        return "one two three four five.\n"
+    return "\\begin{itemize}\n" + "".join(f"\\item entry {depth}\n{nested(depth - 1, n)}" for _ in range(n)) + "\\end{itemize}\n"
+
+
+def test_nested_lists_are_a_tree(encoder):
+    """Only oversized nodes are opened: pieces are whole items of the depth at which they fit, with their siblings."""
+    text = "\\section{A}\n" + nested(3, 4) + "\\section{B}\nshort.\n"
+    tree = chunking.parse(text)
+    assert [k.kind for k in tree.kids] == ["section", "section"]
+    outer = tree.kids[0].kids[1]
+    assert outer.kind == "env" and [k.kind for k in outer.kids] == ["block", *["item"] * 4]
+    inner = outer.kids[1].kids[1]
+    assert inner.kind == "env" and len(inner.kids) == 5 and inner.kids[1].kids[1].kind == "env"
+    t = chunking._Text(text, encoder)
+    size = t.cost(inner.start, inner.end)
+    pieces = chunking.pack(t, tree, size + 20)
+    assert "".join(text[a:b] for a, b in pieces) == text
+    # Each outer item is a piece of its own, and the section after the list isn't merged into the list's last item.
+    assert [text[a:b].count("entry 3") for a, b in pieces].count(1) == 4 and text[slice(*pieces[-1])].startswith("\\section{B}")
+    # With less room the inner lists are opened, and their items merged with one another only.
+    finer = chunking.pack(t, tree, size // 2)
+    assert max(t.cost(a, b) for a, b in finer) <= size // 2
+    opened = [text[a:b] for a, b in finer if text[a:b].startswith("\\item entry 2")]
+    assert opened and all("entry 3" not in x for x in opened)
+
+
+def test_very_deep_and_malformed(encoder):
+    for text in ("\\begin{a}\n" * 3_000 + "x " * 3_000, "\\end{a}\n" * 3_000 + "x " * 3_000, "\\begin{a}\\section{S} " * 2_000):
+        check(text, encoder, 512, 64)
+
+
 def test_tables(spark, encoder):
     rows = [(1, None, "x"), (2, "", "x"), (3, "short", "x"), (4, article(1, 120), "x"), (4, article(1, 120), "x")]
     df = spark.createDataFrame(rows, "doc_id long, text string, piece string")
