@@ -397,15 +397,19 @@ def migrate(recs: DataFrame, rules: DataFrame, versions: DataFrame, defaults: di
 
 def drift_report(raw_posts: DataFrame, raw_queries: DataFrame) -> DataFrame:
     """Every change of both raw tables' feeds; see ``migration_steps``."""
-    profiles = field_profiles(records(raw_posts, raw_queries))
+    profiles = _kept_profiles(records(raw_posts, raw_queries))
     return migration_steps(profiles, schema_versions(profiles))
 
 
+def _kept_profiles(recs: DataFrame) -> DataFrame:
+    """Profiles, written: some rows a file, read by several steps."""
+    ensure_checkpoint_dir(recs.sparkSession)
+    return field_profiles(recs).checkpoint()
+
+
 def consistent_table(raw_posts: DataFrame, raw_queries: DataFrame, defaults: dict[tuple[str, str], float | str | None] | None = None) -> DataFrame:
     """All records of both raw tables in one schema; see ``migrate``."""
     recs = records(raw_posts, raw_queries)
-    ensure_checkpoint_dir(recs.sparkSession)
-    # Some rows a file, read by several steps.
-    profiles = field_profiles(recs).checkpoint()
+    profiles = _kept_profiles(recs)
     versions = schema_versions(profiles)
     return migrate(recs, migration_rules(profiles, versions, migration_steps(profiles, versions)), versions, defaults)

@@ -51,6 +51,11 @@ def p5_found(spark: SparkSession, d: str) -> DataFrame:
     return p5_filled(spark, d).where("filled IS NOT NULL OR source = 'none'").select("table_name", "rec_id", "field_name")
 
 
+def p5_by_rule(spark: SparkSession, d: str) -> DataFrame:
+    """The values that relations between the fields of a row fill."""
+    return p5_filled(spark, d).where("source LIKE 'rule:%'").select("table_name", "rec_id", "field_name", F.round("filled", 6).alias("filled"), "source")
+
+
 def p6_grid(spark: SparkSession, d: str) -> DataFrame:
     return grid.regular_grid(table(spark, d, "posts"), table(spark, d, "grid_requests"), table(spark, d, "kind_fields"))
 
@@ -64,7 +69,12 @@ def p7_found(spark: SparkSession, d: str) -> DataFrame:
     return flagged.select("post_id", "field_name", "case_kind").distinct()
 
 
-QUERIES = {"p1_found": p1_found, "p1_consistent": p1_consistent, "p2_found": p2_found, "p4_found": p4_found, "p4_trailing": p4_trailing, "p5_found": p5_found, "p5_filled": p5_filled, "p6_found": p6_found, "p6_grid": p6_grid, "p7_found": p7_found}
+def p7_limits_and_runs(spark: SparkSession, d: str) -> DataFrame:
+    """The faults that plain SQL can tell: impossible values and stuck runs."""
+    return p7_found(spark, d).where("case_kind != 'spike'")
+
+
+QUERIES = {"p1_found": p1_found, "p1_consistent": p1_consistent, "p2_found": p2_found, "p4_found": p4_found, "p4_trailing": p4_trailing, "p5_found": p5_found, "p5_filled": p5_filled, "p5_by_rule": p5_by_rule, "p6_found": p6_found, "p6_grid": p6_grid, "p7_found": p7_found, "p7_limits_and_runs": p7_limits_and_runs}
 
 _STANDING = "SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY index_name, ts ORDER BY post_id DESC) AS rn FROM posts WHERE index_name IS NOT NULL AND ts IS NOT NULL) WHERE rn = 1"
 _TRAILING = """
@@ -100,5 +110,23 @@ b AS (SELECT grid_id, index_name, field_name, step, unnest(generate_series(epoch
 r AS (SELECT index_name, epoch_us(ts) AS us, unnest(map_keys(value)) AS field_name, unnest(map_values(value)) AS v FROM ({_STANDING}) WHERE value IS NOT NULL),
 full_b AS (SELECT DISTINCT g.grid_id, r.us // g.step * g.step AS bucket_us FROM g JOIN r ON r.index_name = g.index_name AND r.field_name = g.field_name AND r.v IS NOT NULL AND NOT isnan(r.v))
 SELECT b.grid_id, b.bucket_us FROM b LEFT JOIN full_b USING (grid_id, bucket_us) WHERE full_b.grid_id IS NULL
+""",
+    "p5_by_rule": f"""
+WITH st AS (SELECT 'posts' AS table_name, post_id AS rec_id, index_name, value FROM ({_STANDING})
+ UNION ALL SELECT 'points', point_id, index_name, value FROM (SELECT *, row_number() OVER (PARTITION BY index_name, ts_ns ORDER BY point_id DESC) AS rn FROM points WHERE index_name IS NOT NULL AND ts_ns IS NOT NULL) WHERE rn = 1),
+x AS (SELECT table_name, rec_id, field_name, element_at(value, field_name)[1] AS v, low_limit, high_limit FROM st JOIN kind_fields ON split_part(index_name, '.', 1) = kind WHERE kind = 'power' AND field_name <> 'state'),
+y AS (SELECT *, v IS NULL OR isnan(v) OR (table_name = 'points' AND (v < low_limit OR v > high_limit)) AS missing, CASE WHEN v >= low_limit AND v <= high_limit AND NOT isnan(v) THEN v END AS good FROM x),
+r AS (SELECT table_name, rec_id, max(good) FILTER (WHERE field_name = 'watts') AS w, max(good) FILTER (WHERE field_name = 'amps') AS a, max(good) FILTER (WHERE field_name = 'volts') AS u FROM y GROUP BY ALL),
+f AS (SELECT table_name, rec_id, field_name, CASE field_name WHEN 'watts' THEN a * u WHEN 'amps' THEN CASE WHEN u <> 0 THEN w / u END ELSE CASE WHEN a <> 0 THEN w / a END END AS filled FROM y JOIN r USING (table_name, rec_id) WHERE missing)
+SELECT table_name, rec_id, field_name, round(filled, 6) AS filled, 'rule:watts=amps*volts' AS source FROM f WHERE filled IS NOT NULL
+""",
+    "p7_limits_and_runs": f"""
+WITH c AS (SELECT post_id, index_name, ts, unnest(map_keys(value)) AS field_name, unnest(map_values(value)) AS v FROM ({_STANDING}) WHERE value IS NOT NULL),
+k AS (SELECT c.*, unit, low_limit, high_limit FROM c LEFT JOIN kind_fields f ON split_part(index_name, '.', 1) = f.kind AND c.field_name = f.field_name WHERE v IS NOT NULL AND NOT isnan(v)),
+s AS (SELECT *, coalesce(v = lag(v) OVER w, false) AS same FROM k WINDOW w AS (PARTITION BY index_name, field_name ORDER BY ts)),
+g AS (SELECT *, count(*) FILTER (WHERE NOT same) OVER (PARTITION BY index_name, field_name ORDER BY ts ROWS UNBOUNDED PRECEDING) AS run FROM s),
+n AS (SELECT *, count(*) OVER (PARTITION BY index_name, field_name, run) AS size, count(*) FILTER (WHERE same) OVER (PARTITION BY index_name, field_name) * 3 < count(*) OVER (PARTITION BY index_name, field_name) AS varied FROM g)
+SELECT post_id, field_name, 'impossible' AS case_kind FROM n WHERE v < low_limit OR v > high_limit OR isinf(v)
+UNION SELECT post_id, field_name, 'stuck' FROM n WHERE size >= 10 AND varied AND coalesce(unit, '') NOT IN ('code', 'n', 'mm')
 """,
 }

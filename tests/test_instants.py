@@ -102,3 +102,12 @@ def test_tables(spark):
     assert sorted((r.rec_id, r.time_status) for r in rows) == [(1, "ok"), (1, "ok"), (2, "unreadable")]
     empty = I.normalise_times(posts.limit(0), queries, info.limit(0))
     assert empty.count() == 0
+
+
+@pytest.mark.parametrize("n", [150, 201, 5_000, 200_000])
+def test_long_texts_are_read_like_short_ones(n):
+    """White space around a time, and the digits of a fraction, may be of any length."""
+    want = int(dt.datetime(2024, 8, 19, 13, 33, 5, tzinfo=UTC).timestamp()) * 10**9
+    assert one(" " * n + "2024-08-19T13:33:05Z" + "\n" * n) == ("ok", want, False)
+    assert one("2024-08-19T13:33:05." + "1234567891" * (n // 10) + "Z") == ("ok", want + 123_456_789, True)
+    assert one("2024-08-19T13:33:05Z" + "x" * n)[0] == one("1" * n)[0] == one("Mon, " + " " * n + "z")[0] == one("a" * n + " 19 Aug 2024")[0] == "unreadable"
