@@ -6,6 +6,7 @@ import pytest
 from chronoloom.llm import quantiles as Q
 from chronoloom.llm import queries
 from tests.conftest import DATA
+from tests.oracle import assert_same
 
 
 def rank_error(values, got, q):
@@ -171,3 +172,7 @@ def test_tables_with_nulls_and_repeats(spark):
     queries = spark.createDataFrame([("k.a", "nonsense"), (None, None)], "index_name string, group_text string")
     rollups = spark.createDataFrame([], "rollup_id long, index_name string, level_name string, bucket_start timestamp_ntz, field_name string, sum_v double")
     assert Q.reading_percentiles(posts, requests, queries, rollups).count() == 0
+
+
+def test_counts_are_those_of_sql(spark):
+    assert_same(spark, f"{DATA}/sf0.001", queries.p3_counts, queries.ORACLE_SQL["p3_counts"])
