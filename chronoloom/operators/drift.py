@@ -24,6 +24,7 @@ from __future__ import annotations
 import json
 import math
 import zlib
+from collections import Counter
 from collections.abc import Iterator
 from statistics import median
 
@@ -134,7 +135,9 @@ def _profile(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         return list(found[0]) if len(found) == 1 else [min(column) for column in zip(*found)]
 
     for pdf in batches:
-        rows = []
+        # A file's records are counted in a row without field.
+        counted = Counter(zip(pdf.table_name, pdf.feed, pdf.file_no))
+        rows = [(*file, None, "", n, 0, None, None) for file, n in counted.items()]
         for table, feed, file_no, kind, body in zip(pdf.table_name, pdf.feed, pdf.file_no, pdf.kind, pdf.body):
             for field, values in fields_of(kind, body).items():
                 kinds: dict[str, list] = {}
@@ -153,11 +156,10 @@ def records(raw_posts: DataFrame, raw_queries: DataFrame) -> DataFrame:
     return spread(one(raw_posts, "raw_posts", "post_id", "post", "value_text").unionByName(one(raw_queries, "raw_queries", "query_id", "query", "fields_text")))
 
 
-def files(recs: DataFrame) -> DataFrame:
+def files(typed: DataFrame) -> DataFrame:
     """Each file with its number of records, its ordinal in the feed, from 1, and the feed's next file (null at the end)."""
-    counted = recs.where(F.col("feed").isNotNull() & F.col("file_no").isNotNull()).groupBy(*FILE).agg(F.count("*").alias("n_records"))
-    feed = Window.partitionBy("table_name", "feed")
-    ordered = feed.orderBy("file_no")
+    counted = typed.where(F.col("field").isNull()).select(*FILE, F.col("carries").alias("n_records"))
+    ordered = Window.partitionBy("table_name", "feed").orderBy("file_no")
     return counted.withColumns({"ordinal": F.row_number().over(ordered), "next_file_no": F.lead("file_no").over(ordered)})
 
 
@@ -167,14 +169,17 @@ def field_profiles(recs: DataFrame) -> DataFrame:
     long = recs.where(F.col("feed").isNotNull() & F.col("file_no").isNotNull()).mapInPandas(_profile, schema)
     mins = [F.min(F.col("words")[k]).alias(f"w{k}") for k in range(HASHES)]
     typed = long.groupBy(*FILE, "field", "json_type").agg(F.sum("carries").alias("carries"), F.sum("n_values").alias("n_values"), F.count("number").alias("n_numbers"), F.percentile_approx("number", 0.5, 1000).alias("level"), F.approx_count_distinct("number").alias("n_distinct"), *mins)
+    # Some rows a file: the records are read once.
+    ensure_checkpoint_dir(recs.sparkSession)
+    typed = typed.checkpoint()
     # Of types as frequent the first by name counts; the median is that of the most frequent type.
     rank = F.struct(F.col("n_values"), -F.ascii("json_type"), -F.length("json_type"))
-    by_field = typed.groupBy(*FILE, "field").agg(
+    by_field = typed.where(F.col("field").isNotNull()).groupBy(*FILE, "field").agg(
         F.sum("carries").alias("carries"),
         F.max_by(F.struct("json_type", "level", "n_values", "n_numbers", "n_distinct"), rank).alias("main"),
         F.array(*(F.min(f"w{k}") for k in range(HASHES))).alias("words"),
     )
-    every = files(recs)
+    every = files(typed)
     held = by_field.join(every, FILE).where(F.col("carries") * CARRIED_BY >= F.col("n_records")).select(*FILE, "ordinal", "next_file_no", "field", "main.json_type", F.when(F.col("main.n_numbers") * 2 >= F.col("main.n_values"), F.col("main.level")).alias("level"), "main.n_values", "main.n_distinct", "words")
     # A file may have no field; it is a file all the same.
     return held.unionByName(every.select(*FILE, "ordinal", "next_file_no"), allowMissingColumns=True)
@@ -397,19 +402,13 @@ def migrate(recs: DataFrame, rules: DataFrame, versions: DataFrame, defaults: di
 
 def drift_report(raw_posts: DataFrame, raw_queries: DataFrame) -> DataFrame:
     """Every change of both raw tables' feeds; see ``migration_steps``."""
-    profiles = _kept_profiles(records(raw_posts, raw_queries))
+    profiles = field_profiles(records(raw_posts, raw_queries))
     return migration_steps(profiles, schema_versions(profiles))
 
 
-def _kept_profiles(recs: DataFrame) -> DataFrame:
-    """Profiles, written: some rows a file, read by several steps."""
-    ensure_checkpoint_dir(recs.sparkSession)
-    return field_profiles(recs).checkpoint()
-
-
 def consistent_table(raw_posts: DataFrame, raw_queries: DataFrame, defaults: dict[tuple[str, str], float | str | None] | None = None) -> DataFrame:
     """All records of both raw tables in one schema; see ``migrate``."""
     recs = records(raw_posts, raw_queries)
-    profiles = _kept_profiles(recs)
+    profiles = field_profiles(recs)
     versions = schema_versions(profiles)
     return migrate(recs, migration_rules(profiles, versions, migration_steps(profiles, versions)), versions, defaults)
