@@ -7,7 +7,9 @@ the queries through the store sort them.
 
 from __future__ import annotations
 
+import http.client
 import json
+import threading
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -18,8 +20,9 @@ from chronoloom.plans.query import run_query
 from chronoloom.plans.rollup import query_rollup
 from chronoloom.plans.spec import Group, QuerySpec, parse_group, parse_ns
 from chronoloom.session import scratch_folder
+from chronoloom.sources.api import Api, serve
 from chronoloom.sources.store import Store
-from chronoloom.streaming.ingest import into_rollup, into_store, read_rollup, read_rows
+from chronoloom.streaming.ingest import into_rollup, into_store, read_rollup, read_rows, windowed
 
 ALL = {"sum_v": "sum", "max_v": "max", "min_v": "min", "first_v": "first", "last_v": "last", "count_v": "count", "avg_v": "avg"}
 UNTIED = {k: v for k, v in ALL.items() if v not in ("first", "last")}
@@ -263,6 +266,62 @@ def stream_rollup(spark: SparkSession, d: str) -> DataFrame:
     return _rounded(rows.select("index_name", "bucket_start", F.col("sum").alias("sum_v"), F.col("max").alias("max_v"), F.col("min").alias("min_v"), F.col("first").alias("first_v"), F.col("last").alias("last_v"), F.col("count").cast("double").alias("count_v")))
 
 
+def stream_windows(spark: SparkSession, d: str) -> DataFrame:
+    """Hours of all events as a watermarked stream emits them: those that end before the watermark, each once."""
+    at = scratch_folder(spark)
+    events = spark.readStream.schema(_table(spark, d, "events").schema).parquet(f"{d}/events.parque[t]")
+    cells = events.select(F.col("event_type").alias("index_name"), F.col("ts").cast("timestamp").alias("ts"), (micros(F.col("ts")) * 1000).alias("ts_ns"), F.lit("value").alias("field_name"), F.col("value").alias("v"))
+    windowed(cells, Group(1, "hour"), "1 second").writeStream.format("parquet").option("path", f"{at}/out").option("checkpointLocation", f"{at}/checkpoint").trigger(availableNow=True).start().awaitTermination()
+    rows = spark.read.parquet(f"{at}/out").withColumn("bucket_start", F.col("bucket_start").cast("timestamp_ntz"))
+    return _rounded(rows.select("index_name", "bucket_start", F.col("sum").alias("sum_v"), F.col("max").alias("max_v"), F.col("min").alias("min_v"), F.col("first").alias("first_v"), F.col("last").alias("last_v"), F.col("count").cast("double").alias("count_v")))
+
+
+_POINT = {"index": "index1", "time": "2016-08-28T21:24:00Z", "value": {"open": 10.1, "close": 10.2}}
+_ASK = {"index": "index1", "from": "2016-08-01T08:00:00Z", "to": "2016-08-31T18:00:59Z", "group": "2minutes", "fields": {"open": {"reducer": "avg"}}}
+#: Requests to the routes, in order: method, path, body, and the expected status and answer.
+_REQUESTS = (
+    ("PUT", "/db", None, 201, None),
+    ("PUT", "/db", None, 409, {"error": "exists", "reason": "db"}),
+    ("GET", "/_all_dbs", None, 200, ["db"]),
+    ("POST", "/db", [_POINT, {"index": "index1", "time": "soon", "value": {}}], 200, {"accepted": 1, "rejected": [{"index": "index1", "time": "soon", "reason": "time: unreadable"}]}),
+    ("POST", "/db/_query", _ASK, 200, [{"Timestamp": 1_472_419_440_000_000_000, "Value": {"open": 10.1}}]),
+    ("POST", "/db/_query", {**_ASK, "group": "5weeks"}, 400, {"error": "BadGroupError", "reason": "unknown group '5weeks': units are second, minute, hour, day, month, year"}),
+    ("GET", "/db/index1/2016-08-28T21:24:00Z", None, 200, {"open": 10.1, "close": 10.2}),
+    ("GET", "/db/index1/open/2016-08-28T21:24:00Z", None, 200, 10.1),
+    ("DELETE", "/db/index1", {"from": "2016-08-28T21:24:00Z", "to": "2016-08-28T21:24:01Z"}, 201, None),
+    ("GET", "/db/index1/2016-08-28T21:24:00Z", None, 404, {"error": "not_found", "reason": "no point of index1 at 2016-08-28T21:24:00Z"}),
+    ("DELETE", "/db/index1/_all", None, 201, None),
+    ("DELETE", "/db/_all", None, 201, None),
+    ("GET", "/db", None, 404, {"error": "not_found", "reason": "db"}),
+    ("PATCH", "/db", None, 400, {"error": "no_handler", "reason": "Can't handle PATCH to /db"}),
+)
+
+
+def http_routes(spark: SparkSession, d: str) -> DataFrame:
+    """Every route over a socket: the status, the answer, and the header that lets any origin read it."""
+    server = serve(Api(Store(spark, scratch_folder(spark))), 0)
+    thread = threading.Thread(target=server.serve_forever, daemon=True)
+    thread.start()
+    rows = []
+    try:
+        for k, (method, path, body, _, _) in enumerate(_REQUESTS):
+            connection = http.client.HTTPConnection("127.0.0.1", server.server_port)
+            connection.request(method, path, None if body is None else json.dumps(body))
+            answer = connection.getresponse()
+            rows.append((k, method, path, answer.status, answer.read().decode(), answer.headers["Access-Control-Allow-Origin"]))
+            connection.close()
+    finally:
+        server.shutdown()
+        server.server_close()
+    return spark.createDataFrame(rows, "step int, method string, path string, status int, answer string, origin string")
+
+
+def _routes_sql() -> str:
+    quoted = lambda x: "'" + x.replace("'", "''") + "'"
+    rows = [f"({k}, {quoted(m)}, {quoted(p)}, {status}, {quoted('' if answer is None else json.dumps(answer, sort_keys=True))}, '*')" for k, (m, p, _, status, answer) in enumerate(_REQUESTS)]
+    return f"SELECT * FROM (VALUES {', '.join(rows)}) AS t(step, method, path, status, answer, origin)"
+
+
 def rollup_tables(spark: SparkSession, d: str) -> DataFrame:
     """Standing rollups merged from days to months, as ``sum`` and ``count`` of each series' first field."""
     rows = standing(_table(spark, d, "rollups").where("level_name = 'day' AND field_name IS NOT NULL"), ("index_name", "field_name", "bucket_start"), "rollup_id", ("sum_v", "min_v", "max_v", "count_v"))
@@ -273,7 +332,7 @@ def rollup_tables(spark: SparkSession, d: str) -> DataFrame:
 QUERIES |= {
     "range_query": range_query, "multi_series": multi_series, "multi_field": multi_field, "missing_field_default": missing_field_default, "point_get": point_get, "upsert_lww": upsert_lww,
     "standing_posts": standing_posts, "store_query": store_query, "delete_range": delete_range, "drop_index": drop_index, "list_indexes": list_indexes, "ordered_scan": ordered_scan,
-    "last_points": last_points, "put_json": put_json, "put_files": put_files, "stream_store": stream_store, "rollup_corrected": rollup_corrected, "rollup_year": rollup_year,
+    "last_points": last_points, "put_json": put_json, "put_files": put_files, "stream_store": stream_store, "rollup_corrected": rollup_corrected, "rollup_year": rollup_year, "stream_windows": stream_windows, "http_routes": http_routes,
     "rollup_hour_from_minute": lambda s, d: _rollup_query(s, d, "minute", "hour"), "rollup_month_from_day": lambda s, d: _rollup_query(s, d, "day", "month"),
     "json_field": json_field, "levels": levels, "stream_rollup": stream_rollup, "rollup_tables": rollup_tables,
 }
@@ -301,6 +360,8 @@ ORACLE_SQL |= {
     "json_field": "SELECT event_id, CAST(json_extract(props, '$.k') AS DOUBLE) AS k FROM events",
     "levels": "SELECT CASE WHEN ts_ns % 1000 <> 0 THEN 'nanosecond' WHEN ts_ns % 1000000 <> 0 THEN 'microsecond' WHEN ts_ns % 1000000000 <> 0 THEN 'millisecond' WHEN ts_ns % 60000000000 <> 0 THEN 'second' WHEN ts_ns % 3600000000000 <> 0 THEN 'minute' WHEN ts_ns % 86400000000000 <> 0 THEN 'hour' WHEN day(make_timestamp(ts_ns // 1000)) <> 1 THEN 'day' WHEN month(make_timestamp(ts_ns // 1000)) <> 1 THEN 'month' ELSE 'year' END AS level_name, count(*) AS n_points FROM points WHERE ts_ns IS NOT NULL GROUP BY 1",
     "stream_rollup": _events_sql("date_trunc('hour', ts)", [k for k in ALL if k != "avg_v"]),
+    "stream_windows": "SELECT * FROM (" + _events_sql("date_trunc('hour', ts)", [k for k in ALL if k != "avg_v"]) + ") WHERE bucket_start + INTERVAL 1 HOUR <= (SELECT max(ts) FROM events) - INTERVAL 1 SECOND",
+    "http_routes": _routes_sql(),
     "rollup_tables": "SELECT index_name, field_name, CAST(date_trunc('month', bucket_start) AS TIMESTAMP) AS bucket_start, round(sum(sum_v), 4) AS sum_v, min(min_v) AS min_v, max(max_v) AS max_v, CAST(sum(count_v) AS BIGINT) AS count_v FROM (SELECT *, row_number() OVER (PARTITION BY index_name, field_name, bucket_start ORDER BY rollup_id DESC) AS rn FROM rollups WHERE level_name = 'day' AND index_name IS NOT NULL AND field_name IS NOT NULL AND bucket_start IS NOT NULL) WHERE rn = 1 GROUP BY 1, 2, 3",
 }
 ORACLE_SQL["rollup_corrected"] = ORACLE_SQL["store_query"]

@@ -130,7 +130,7 @@ def serve(api: Api, port: int = 9527, host: str = "127.0.0.1") -> ThreadingHTTPS
         def _any(self) -> None:
             size = int(self.headers.get("Content-Length") or 0)
             status, value = api.handle(self.command, self.path, self.rfile.read(size) if size else b"")
-            data = b"" if value is None else json.dumps(finite(value), allow_nan=False).encode()
+            data = b"" if value is None else json.dumps(finite(value), allow_nan=False, sort_keys=True).encode()
             self.send_response(status)
             self.send_header("Access-Control-Allow-Origin", "*")
             self.send_header("Content-Type", "application/json")
@@ -138,7 +138,7 @@ def serve(api: Api, port: int = 9527, host: str = "127.0.0.1") -> ThreadingHTTPS
             self.end_headers()
             self.wfile.write(data)
 
-        do_GET = do_PUT = do_POST = do_DELETE = _any
+        do_GET = do_PUT = do_POST = do_DELETE = do_PATCH = do_OPTIONS = _any
 
         def log_message(self, *args) -> None:
             log.debug("%s", args)
