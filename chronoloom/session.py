@@ -31,15 +31,18 @@ def local_session(cores: int | str = "*", shuffle_partitions: int = 8, memory: s
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir``.
+    """The folder that driver and executors share: ``spark.checkpoint.dir``, or what the caller set as checkpoint folder.
 
-    Where it is unset a local session, whose driver and executors are one process, gets a temporary folder that is removed
+    Where there is none a local session, whose driver and executors are one process, gets a temporary folder that is removed
     at its end; on a cluster an error is raised, as nothing that one machine writes could be read by the others.
     """
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named.rstrip("/")
-    if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+    context = spark.sparkContext
+    if context.getCheckpointDir() is not None and not _LOCAL:
+        return context.getCheckpointDir().rstrip("/")
+    if not context.master.startswith("local[") and context.master != "local":
         raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
     if not _LOCAL:
         _LOCAL.append(tempfile.mkdtemp(prefix="chronoloom-"))
