@@ -148,6 +148,13 @@ class _Text:
         k = int(np.searchsorted(self.ends, start, side="right"))
         return self.before(end) - (int(self.upto[k - 1]) if k else 0)
 
+    def between(self, cuts: list[int]) -> list[int]:
+        """The positions that don't lie inside a word of many tokens (a long run of line ends, say): there only its tokens part it."""
+        at = np.array(cuts, "int64")
+        k = np.searchsorted(self.ends, at, side="left")
+        size = self.upto[k] - np.append(0, self.upto)[k]
+        return at[(self.ends[k] == at) | (size <= SPARE)].tolist()
+
     def token_cuts(self, start: int, end: int) -> tuple[np.ndarray, np.ndarray]:
         """Positions inside a slice between two tokens of it, where these end with a character, and the tokens before each."""
         cuts, counts, at, n, held = [], [], start, 0, b""
@@ -180,7 +187,7 @@ class _Text:
 def _inside(t: _Text, node: Node, limit: int) -> list[Node]:
     """The parts of a block without structure, at its coarsest boundary."""
     for level in range(max(0, node.level), WORDS):
-        cuts = [m.end() for m in _WITHIN[level].finditer(t.text, node.start, node.end) if node.start < m.end() < node.end]
+        cuts = t.between([m.end() for m in _WITHIN[level].finditer(t.text, node.start, node.end) if node.start < m.end() < node.end])
         if cuts:
             edges = [node.start, *cuts, node.end]
             return [Node(a, b, "block", level + 1) for a, b in zip(edges, edges[1:])]

@@ -70,6 +70,12 @@ def test_texts_without_structure(encoder, text):
     check(text, encoder, 512, 64)
 
 
+@pytest.mark.parametrize("text", ["\n" * 5_000, "a\n" + " \n" * 4_000 + "b", ";,; " * 50 + "\r\n" * 3_000])
+def test_long_runs_of_line_ends_stay_few_pieces(encoder, text):
+    pieces = check(text, encoder, 512, 64)
+    assert len(pieces) <= 2 + len(encoder.encode(text)) // 300
+
+
 def test_headings_are_preferred(encoder):
     text = "\\section{A}\n" + "one two three.\n" * 20 + "\\subsection{B}\n" + "four five six.\n" * 20 + "\\section{C}\n" + "seven eight.\n" * 20
     pieces = check(text, encoder, 200, 16)
