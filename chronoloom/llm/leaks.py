@@ -11,7 +11,8 @@
 4. *Check.* For each candidate the passages are aligned in order: seeds are chained into stretches that allow a few words
    changed or put in, and slots must be filled consistently (a name of the item always by one name of the document). The
    best one or two stretches in order must cover ``SHARE`` of the item's words. A stretch proves itself in one of two ways:
-   it holds a whole window of the item's own words and mostly consists of the item's very words; or, as a re-parameterised
+   it holds a whole window of the item's own words and mostly consists of the item's very words (so does the other of two,
+   which need not hold a window); or, as a re-parameterised
    question, it covers ``TEMPLATE_SHARE`` of the item, nearly every word of it is aligned, most are kept, other names and numbers stand
    for the item's one to one, and no other item is there word for word.
 
@@ -58,6 +59,8 @@ SLOTS = 2
 GAP = 6
 #: A stretch has at least so many aligned words.
 LEAST_STRETCH = 6
+#: A second stretch, beside one that proves itself, needs no proof if it is longer than phrases are.
+LEAST_SECOND = 11
 #: Share of a stretch's words that are the item's own, not slots filled otherwise or changed.
 LEAST_EXACT = 0.65
 #: A re-parameterised passage covers so much of the item, and aligns and keeps so much of its own length.
@@ -214,9 +217,9 @@ def enough(hits: list[tuple[int, int]], need: int) -> list[tuple[int, int]]:
             g[1], g[3] = at, max(g[3], at + width)
         else:
             groups.append([at, at, width, at + width])
-    # A single window proves nothing, unless the item is no longer.
-    groups = [g for g in groups if g[2] >= min(need, WINDOW + 1)]
-    return [(g[0], g[1]) for g in groups] if sum(sorted((g[2] for g in groups), reverse=True)[:2]) >= need else []
+    # A single window proves nothing, unless the item is no longer; beside others it may mark a second passage.
+    best = sorted((g[2] for g in groups if g[2] >= min(need, WINDOW + 1)), reverse=True)[:2]
+    return [(g[0], g[1]) for g in groups] if sum(best) >= need else []
 
 
 def likely(at: np.ndarray, width: np.ndarray, signature: np.ndarray, need: int) -> np.ndarray:
@@ -323,8 +326,8 @@ def _chains(seeds: list[tuple[int, int]], least: int) -> list[list[tuple[int, in
     return chains
 
 
-def stretches(item: np.ndarray, own: np.ndarray, words: np.ndarray) -> list[tuple[int, int, int, int, set[int], bool]]:
-    """Passages of the item in the words: item from, to, words from, to, the item positions covered, and whether word for word."""
+def stretches(item: np.ndarray, own: np.ndarray, words: np.ndarray) -> list[tuple[int, int, int, int, set[int], bool, bool]]:
+    """Passages of the item in the words: item from, to, words from, to, the item positions covered, whether word for word, and whether that proves itself."""
     item_words, text, owned = item.tolist(), words.tolist(), own.tolist()
     size = len(item_words)
     out = []
@@ -348,11 +351,14 @@ def stretches(item: np.ndarray, own: np.ndarray, words: np.ndarray) -> list[tupl
             run = run + 1 if same and (not run or aligned.get(i - 1) == aligned[i] - 1) else int(same)
             proof = max(proof, run)
         exact = [i for i, j in aligned.items() if item_words[i] == text[j]]
-        literal = proof >= min(WINDOW, size) and len(exact) >= LEAST_EXACT * (last - first + 1)
-        if not literal:
+        proved = proof >= min(WINDOW, size)
+        literal = (proved or len(aligned) >= LEAST_SECOND) and len(exact) >= LEAST_EXACT * (last - first + 1)
+        template = False
+        if not (literal and proved):
             kept = sum(owned[i] for i in exact)
             one_to_one = len(set(filled.values())) == len(filled)
-            if not (consistent and one_to_one and kept >= max(LEAST_STRETCH, TEMPLATE_KEPT * (last - first + 1)) and len(aligned) >= TEMPLATE_SHARE * size and len(aligned) >= TEMPLATE_ALIGNED * (last - first + 1)):
+            template = consistent and one_to_one and kept >= max(LEAST_STRETCH, TEMPLATE_KEPT * (last - first + 1)) and len(aligned) >= max(TEMPLATE_SHARE * size, TEMPLATE_ALIGNED * (last - first + 1))
+            if not (literal or template):
                 continue
         start, end = min(aligned.values()), max(aligned.values())
         # Changed words between two aligned ones, as many on both sides, belong to the passage.
@@ -361,7 +367,7 @@ def stretches(item: np.ndarray, own: np.ndarray, words: np.ndarray) -> list[tupl
         for (a, x), (b, y) in zip(ordered, ordered[1:]):
             if 1 < b - a <= 3 and y - x == b - a:
                 covered.update(range(a + 1, b))
-        out.append((first, last, start, end, covered, literal))
+        out += [(first, last, start, end, covered, mode, mode and proved) for mode, given in ((True, literal), (False, template)) if given]
     return out
 
 
@@ -378,9 +384,10 @@ def leaked(item: np.ndarray, own: np.ndarray, words: np.ndarray, hits: list[tupl
         for a in found:
             if a[5] != literal:
                 continue
-            best = max(best, (len(a[4]), literal, a[2], a[3]))
+            if a[6] or not literal:
+                best = max(best, (len(a[4]), literal, a[2], a[3]))
             for b in found if literal else ():
-                if b[5] and b[2] > a[3] and b[0] > a[0]:
+                if b[5] and (a[6] or b[6]) and b[2] > a[3] and b[0] > a[0]:
                     best = max(best, (len(a[4] | b[4]), literal, a[2], b[3]))
         if best[0] >= share * len(item):
             # Back to positions among the words given.

@@ -226,3 +226,32 @@ def test_against_plain_overlap_on_the_tables(spark):
         certain |= {(r.doc_id, i) for i, c in covered.items() if len(c) >= 0.5 * size[i]}
         any_ |= {(r.doc_id, i) for i, c in covered.items() if len(c) >= 0.15 * size[i]}
     assert len(certain) > 20 and certain <= got <= any_
+
+
+@pytest.mark.parametrize("share, every, parts, least", [(0.4, 0, 1, 0.99), (0.4, 0, 2, 0.99), (0.4, 8, 1, 0.99), (0.4, 8, 2, 0.95), (0.45, 6, 1, 0.99), (0.45, 6, 2, 0.85)])
+def test_recall_of_parts_with_changed_words(spark, share, every, parts, least):
+    """Parts of the table's own items, in one or two stretches among words of its documents, every so many words replaced."""
+    rows = [(r.item_id, r.text) for r in spark.read.parquet(f"{DATA}/sf0.001/eval_items.parquet").orderBy("item_id").collect()]
+    index = Index(rows)
+    rng = random.Random(1)
+    pool = [w for r in spark.read.parquet(f"{DATA}/sf0.001/documents.parquet").where("text IS NOT NULL").orderBy("doc_id").collect() for w in L.plain_words(r.text)]
+
+    def filler(n):
+        a = rng.randrange(len(pool) - n)
+        return pool[a : a + n]
+
+    changed = lambda ws: [rng.choice(pool) if every and k % every == every - 1 else w for k, w in enumerate(ws)]
+    ok = 0
+    for i, t in rows[:80]:
+        w = L.plain_words(t)
+        m = int(len(w) * share) + 1
+        if parts == 1:
+            a = rng.randrange(len(w) - m + 1)
+            doc = filler(60) + changed(w[a : a + m]) + filler(60)
+        else:
+            h = m // 2
+            a = rng.randrange(0, len(w) - m - 4)
+            b = rng.randrange(a + h + 4, len(w) - (m - h) + 1)
+            doc = filler(60) + changed(w[a : a + h]) + filler(100) + changed(w[b : b + m - h]) + filler(60)
+        ok += i in index.find(" ".join(doc))
+    assert ok >= least * 80
