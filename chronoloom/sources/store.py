@@ -278,8 +278,14 @@ class Store:
         old = lambda status: status.getModificationTime() < (self._now_ms() - older_than_s * 1000)
         pending = set(self._log(db).pending())
         gone = 0
+        if self._fs.exists(self._path(db, "rollups")):
+            chain = live.rollup["chain"] if live.rollup else []
+            for b in self._fs.listStatus(self._path(db, "rollups")):
+                n = int(b.getPath().getName().removeprefix("batch="))
+                if n not in pending and n not in chain and old(b):
+                    gone += bool(self._fs.delete(b.getPath(), True))
         if not self._fs.exists(self._path(db, "data")):
-            return 0
+            return gone
         for b in self._fs.listStatus(self._path(db, "data")):
             n = int(b.getPath().getName().removeprefix("batch="))
             for p in self._fs.listStatus(b.getPath()):
