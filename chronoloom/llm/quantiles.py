@@ -25,10 +25,9 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from chronoloom.operators import tiling
 from chronoloom.operators.grid import DAY_US, one_per_id, requests_plan
 from chronoloom.operators.readings import codes_of, map_parts, standing
 
@@ -42,6 +41,8 @@ PERCENTILES = (0.01, 0.05, 0.25, 0.5, 0.75, 0.95, 0.99)
 #: Values that a task sketches at once, and bytes of sketches that it merges at once.
 FLUSH_VALUES, FLUSH_BYTES = 1_000_000, 32 << 20
 LEVELS = BITS - LEAST_BITS
+#: Posts and what is asked of them meet by series and slot; a day has a whole number of slots.
+SLOT_US = DAY_US // 6
 _MULTIPLIERS = np.random.default_rng(20_250_203).integers(1, 2**63, (2, LEVELS, DEPTH), dtype="uint64") * np.uint64(2) + np.uint64(1)
 _WIDTH_SHIFT = np.uint64(64 - WIDTH.bit_length() + 1)
 KEYS = ("scope", "group_key", "field_name")
@@ -264,12 +265,53 @@ def _partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield from _batches(Groups(group, encode(v[np.isfinite(v)]), table.column("n").to_numpy()).table(keys))
 
 
+def _asked(batches: Iterator[pa.RecordBatch], rows: int) -> Iterator[pa.Table]:
+    """Tables of about ``rows`` rows; what is asked of a slot that goes on is repeated at the next one's begin."""
+    asks = None
+    for table in _flushed(batches, rows):
+        if asks is not None and asks.num_rows:
+            table = pa.concat_tables([asks, table]).combine_chunks()
+        yield table
+        series, slot = (table.column(c) for c in ("index_name", "slot"))
+        last = pc.and_(pc.equal(series, series[-1]), pc.equal(slot, slot[-1]))
+        asks = table.filter(pc.and_(last, table.column("ask").is_valid()))
+
+
+def _pairs(asked: np.ndarray, keys: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Positions of equal keys in ``keys`` and ``asked``, about FLUSH_VALUES pairs at once."""
+    order = np.argsort(asked, kind="stable")
+    low = np.searchsorted(asked[order], keys, side="left")
+    many = np.searchsorted(asked[order], keys, side="right") - low
+    some = np.flatnonzero(many)
+    upto = np.cumsum(many[some])
+    begin = 0
+    while begin < len(some):
+        end = max(begin + 1, int(np.searchsorted(upto, (upto[begin - 1] if begin else 0) + FLUSH_VALUES, side="right")))
+        part = some[begin:end]
+        n = many[part]
+        yield np.repeat(part, n), order[np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n) + np.repeat(low[part], n)]
+        begin = end
+
+
+def _starts(us: np.ndarray, every: np.ndarray) -> np.ndarray:
+    """First instants of the buckets that hold ``us``; ``every`` is a width in us, or a number of months, negative."""
+    month = us.astype("datetime64[us]").astype("datetime64[M]").astype("int64")
+    months = np.maximum(-every, 1)
+    by_month = (MONTH0 + np.where(every < 0, month // months * months, 0)).astype("datetime64[us]").astype("int64")
+    return np.where(every < 0, by_month, us // np.maximum(every, 1) * every)
+
+
 def _sketch_readings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """mapInArrow from posts (index_name, us, value, asked: requests that hold them) to sketches of series, kinds and buckets."""
-    for table in _flushed(batches, FLUSH_VALUES // 4):
+    """mapInArrow from posts (index_name, slot, us, value) and what is asked of them (index_name, slot, ask) to sketches of series, kinds and buckets.
+
+    The rows come sorted by series and slot, what is asked first. Buckets of ranges have the scope ``ranged`` and a key of
+    their width, start and series, whichever requests ask for them.
+    """
+    for table in _asked(batches, FLUSH_VALUES // 4):
         series, names = codes_of(table.column("index_name").combine_chunks())
-        value = table.column("value").combine_chunks()
-        rows, key, v = map_parts(value if isinstance(value, pa.Array) else value.chunk(0))
+        series = series.astype("int64")
+        value, ask = (c if isinstance(c, pa.Array) else c.chunk(0) for c in (table.column(k).combine_chunks() for k in ("value", "ask")))
+        rows, key, v = map_parts(value)
         keep = np.isfinite(v)
         rows, field, v = rows[keep], np.asarray(key.indices, "int64")[keep], v[keep]
         fields = key.dictionary.to_pylist()
@@ -282,39 +324,36 @@ def _sketch_readings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBat
                 keys = [pa.array([scope] * len(joint), pa.string()), pa.array(labels, pa.string()).take(pa.array(joint // len(fields))), pa.array(fields, pa.string()).take(pa.array(joint % len(fields)))]
                 yield from _batches(Groups(group.reshape(-1), code[at], np.ones(len(at), "int64")).table(keys))
 
-        every = np.arange(len(rows))
-        yield from sketch("series", series[rows].astype("int64"), names, every)
+        every_reading = np.arange(len(rows))
+        yield from sketch("series", series[rows], names, every_reading)
         kinds, kind = np.unique([n.split(".", 1)[0] for n in names], return_inverse=True)
-        yield from sketch("kind", kind.reshape(-1)[series[rows]].astype("int64"), kinds.tolist(), every)
-        # Each reading meets the requests of its row that ask for its field, or for all.
-        asked = table.column("asked").combine_chunks()
-        asked = asked if isinstance(asked, pa.Array) else asked.chunk(0)
-        many = np.where(np.asarray(asked.is_valid()), np.diff(np.asarray(asked.offsets)), 0)
-        if not many.any():
+        yield from sketch("kind", kind.reshape(-1)[series[rows]].astype("int64"), kinds.tolist(), every_reading)
+        # Each reading meets what is asked of its series and slot for its field, or for all.
+        asks = np.flatnonzero(np.asarray(ask.is_valid()))
+        if not len(asks) or not len(rows):
             continue
-        flat = asked.values
-        n = many[rows]
-        reading = np.repeat(every, n)
-        place = np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n) + np.repeat(np.asarray(asked.offsets)[:-1][rows], n)
-        request, requests = codes_of(flat.field("name"))
-        wanted, wanted_names = codes_of(flat.field("field_name"))
+        ask = ask.take(pa.array(asks))
+        begin, end, every = (ask.field(c).to_numpy(zero_copy_only=False) for c in ("begin_us", "end_us", "every"))
+        wanted, wanted_names = codes_of(ask.field("field_name"))
         number = {f: k for k, f in enumerate(fields)}
-        wanted = np.array([-1 if f is None else number.get(f, -2) for f in wanted_names] or [-2])[wanted]
-        us = table.column("us").to_numpy()[rows]
-        begin, end = (flat.field(c).fill_null(x).to_numpy(zero_copy_only=False) for c, x in (("begin_us", -(2**63)), ("end_us", 2**63 - 1)))
-        meets = ((wanted[place] == -1) | (wanted[place] == field[reading])) & (us[reading] >= begin[place]) & (us[reading] < end[place])
-        reading, place = reading[meets], place[meets]
-        if not len(reading):
-            continue
-        step, months = (flat.field(c).fill_null(0).to_numpy(zero_copy_only=False)[place].astype("int64") for c in ("step_us", "months"))
-        at = us[reading]
-        month = at.astype("datetime64[us]").astype("datetime64[M]").astype("int64")
-        by_month = (MONTH0 + np.where(months > 0, month // np.maximum(months, 1) * months, 0)).astype("datetime64[us]").astype("int64")
-        start = np.where(months > 0, by_month, at // np.maximum(step, 1) * step)
-        starts, bucket = np.unique(start, return_inverse=True)
-        owners, owner = np.unique(request[place].astype("int64") * len(starts) + bucket.reshape(-1), return_inverse=True)
-        labels = [f"{requests[o // len(starts)]} {starts[o % len(starts)]}" for o in owners.tolist()]
-        yield from sketch("bucket", owner.reshape(-1), labels, reading)
+        wanted = np.array([-1 if f is None else number.get(f, -2) for f in wanted_names])[wanted]
+        us = table.column("us").fill_null(0).to_numpy()[rows]
+        slots, slot = np.unique(table.column("slot").to_numpy(), return_inverse=True)
+        place = series * len(slots) + slot.reshape(-1)
+        for scope, label, of, asked, keys in (
+            ("ranged", "{1} {2} {0}", wanted >= 0, place[asks] * len(fields) + wanted, place[rows] * len(fields) + field),
+            ("bucket", "query {0} {1} {2}", wanted == -1, place[asks], place[rows]),
+        ):
+            of = np.flatnonzero(of)
+            for reading, a in _pairs(asked[of], keys):
+                a = of[a]
+                meets = (us[reading] >= begin[a]) & (us[reading] < end[a])
+                reading, a = reading[meets], a[meets]
+                widths, width = np.unique(every[a], return_inverse=True)
+                starts, bucket = np.unique(_starts(us[reading], every[a]), return_inverse=True)
+                owners, owner = np.unique((series[rows[reading]] * len(widths) + width.reshape(-1)) * len(starts) + bucket.reshape(-1), return_inverse=True)
+                labels = [label.format(names[o // len(starts) // len(widths)], widths[o // len(starts) % len(widths)], starts[o % len(starts)]) for o in owners.tolist()]
+                yield from sketch(scope, owner.reshape(-1), labels, reading)
 
 
 def _read(table: pa.Table) -> tuple[Groups, list[pa.Array]]:
@@ -359,7 +398,9 @@ def _merge(q: tuple[float, ...] | None):
             if rest.num_rows:
                 groups, keys = _read(rest)
                 merged = groups.table(keys).cast(pa.schema([f.with_type(pa.binary()) if f.name == "sketch" else f for f in ROWS]))
-                held = [merged.append_column("h", pa.array(np.full(merged.num_rows, h[-1]))).select(table.column_names)]
+                merged = merged.append_column("h", pa.array(np.full(merged.num_rows, h[-1])))
+                # Under the input's own schema, where ``h`` can't be null; else it can't be joined to what follows.
+                held = [pa.Table.from_arrays([merged.column(c) for c in table.column_names], schema=table.schema)]
 
         for batch in batches:
             # Few rows may hold much.
@@ -400,24 +441,41 @@ def reading_percentiles(posts: DataFrame, requests: DataFrame, queries: DataFram
     (index_name and level). Requests are those of ``requests`` in their range, and of ``queries`` every series and group
     that has posts, over all time, each field; a null or empty group is a year, an unknown one has no buckets.
     """
-    rows = standing(posts)
-    us = F.unix_micros(F.col("ts").cast("timestamp"))
-    day = lambda x: F.floor(x / DAY_US).cast("int")
-    request = F.struct("name", "field_name", "step_us", F.col("months").cast("long").alias("months"), "begin_us", "end_us").alias("request")
-    ranged = requests_plan(one_per_id(requests)).withColumn("name", F.concat(F.lit("grid "), "grid_id")).where(F.col("index_name").isNotNull() & F.col("field_name").isNotNull())
-    daily = ranged.select("index_name", F.explode(F.sequence(day(F.col("begin_us")), day(F.col("end_us") - 1))).alias("day"), request)
+    at = lambda x, width: ((x - F.pmod(x, F.lit(width))) / width).cast("long")
+    rows = posts.where(F.col("index_name").isNotNull() & F.col("ts").isNotNull()).withColumn("us", F.unix_micros(F.col("ts").cast("timestamp")))
+    every = F.coalesce("step_us", F.col("months").cast("long") * -1).alias("every")
+    ranged = requests_plan(one_per_id(requests)).where(F.col("index_name").isNotNull() & F.col("field_name").isNotNull())
+    ranged = ranged.select(F.concat(F.lit("grid "), "grid_id").alias("name"), "index_name", "field_name", every, "begin_us", "end_us")
+    ranged = ranged.withColumn("day", F.explode(F.sequence(at(F.col("begin_us"), DAY_US), at(F.col("end_us") - 1, DAY_US))))
+    # What several requests ask for is asked once: ranges of a day that aren't asked for in between are dropped at the end.
+    asks = ranged.groupBy("index_name", "field_name", "every", "day").agg(F.min("begin_us").alias("begin_us"), F.max("end_us").alias("end_us"))
     spec = F.coalesce(F.nullif(F.lower(F.trim("group_text")), F.lit("")), F.lit("year"))
-    asked = queries.where(F.col("index_name").isNotNull()).select("index_name", spec.alias("group_spec")).distinct()
-    asked = requests_plan(asked.withColumns({"grid_id": F.lit(0).cast("long"), "field_name": F.lit(""), "from_time": F.lit("1970-01-01").cast("timestamp"), "to_time": F.lit("1970-01-02").cast("timestamp")}))
-    name = F.concat_ws(" ", F.lit("query"), "index_name", F.coalesce(F.col("step_us"), F.col("months") * -1).cast("string"))
-    nothing = {"field_name": F.lit(None).cast("string"), "begin_us": F.lit(None).cast("long"), "end_us": F.lit(None).cast("long"), "name": name}
-    always = asked.withColumns(nothing).select("index_name", request).distinct().groupBy("index_name").agg(F.collect_list("request").alias("always"))
-    # Lists of requests go to every task only where they are few by count; else the same plan joins.
-    send = lambda df: (lambda local, few: F.broadcast(local) if few else local)(*tiling.small(posts.sparkSession, df))
-    rows = rows.withColumns({"us": us, "day": day(us)}).join(send(daily.groupBy("index_name", "day").agg(F.collect_list("request").alias("ranged"))), ["index_name", "day"], "left").join(send(always), "index_name", "left")
-    both = F.when(F.col("ranged").isNotNull() | F.col("always").isNotNull(), F.concat(F.coalesce("ranged", F.array()), F.coalesce("always", F.array())))
-    sketches = rows.select("index_name", "us", "value", both.alias("asked")).mapInArrow(_sketch_readings, ROWS_DDL)
+    always = queries.where(F.col("index_name").isNotNull()).select("index_name", spec.alias("group_spec")).distinct()
+    always = requests_plan(always.withColumns({"grid_id": F.lit(0).cast("long"), "field_name": F.lit(""), "from_time": F.lit("1970-01-01").cast("timestamp"), "to_time": F.lit("1970-01-02").cast("timestamp")}))
+    days = rows.select("index_name", at(F.col("us"), DAY_US).alias("day")).distinct()
+    always = always.select("index_name", every).distinct().join(days, "index_name").withColumn("field_name", F.lit(None).cast("string"))
+    asks = asks.unionByName(always.withColumns({"begin_us": F.col("day") * DAY_US, "end_us": (F.col("day") + 1) * DAY_US}))
+    first, last = F.greatest("begin_us", F.col("day") * DAY_US), F.least("end_us", (F.col("day") + 1) * DAY_US) - 1
+    asks = asks.select("index_name", F.explode(F.sequence(at(first, SLOT_US), at(last, SLOT_US))).alias("slot"), F.struct("field_name", "every", "begin_us", "end_us").alias("ask"))
+    # Asks go the way of the posts, once for a slot: no list of them is sent to all tasks or repeated with each post.
+    rows = rows.select("index_name", at(F.col("us"), SLOT_US).alias("slot"), "us", "post_id", "value").unionByName(asks, allowMissingColumns=True).repartition("index_name", "slot")
+    later = F.lead(F.lit(True)).over(Window.partitionBy("index_name", "slot", "us").orderBy("post_id"))
+    rows = rows.withColumn("later", later).where(F.col("ask").isNotNull() | F.col("later").isNull())
+    sketches = rows.select("index_name", "slot", "us", "value", "ask").mapInArrow(_sketch_readings, ROWS_DDL)
     last = rollups.where(F.col("bucket_start").isNotNull() & F.col("level_name").isNotNull())
     last = standing(last, ("index_name", "level_name", "bucket_start", "field_name"), "rollup_id", ("sum_v",))
     sums = last.select(F.lit("rollup").alias("scope"), F.concat_ws(" ", "index_name", "level_name").alias("group_key"), "field_name", F.col("sum_v").alias("v"), F.lit(1).cast("long").alias("n"))
-    return _merged(sketches.unionByName(sums.mapInArrow(_partial, ROWS_DDL)), q)
+    found = _merged(sketches.unionByName(sums.mapInArrow(_partial, ROWS_DDL)), q)
+    return _requested(found, ranged, at)
+
+
+def _requested(found: DataFrame, ranged: DataFrame, at) -> DataFrame:
+    """The groups, of the scope ``ranged`` once for each request that asks for the bucket, and named by it."""
+    is_ranged, parts = F.col("scope") == "ranged", F.split("group_key", " ", 3)
+    # Other groups have the width 0, which no request has.
+    found = found.withColumns({"at_series": F.when(is_ranged, parts[2]).otherwise(F.col("group_key")), "at_every": F.when(is_ranged, parts[0].cast("long")).otherwise(F.lit(0)), "start": F.when(is_ranged, parts[1].cast("long")).otherwise(F.lit(0))})
+    names = ranged.withColumnRenamed("field_name", "at_field")
+    same = (F.col("at_series") == F.col("index_name")) & (F.col("field_name") == F.col("at_field")) & (F.col("at_every") == F.col("every")) & (at(F.col("start"), DAY_US) == F.col("day"))
+    named = found.join(names, same & (F.col("start") >= F.col("begin_us")) & (F.col("start") < F.col("end_us")), "left").where(~is_ranged | F.col("name").isNotNull())
+    key = F.when(is_ranged, F.concat_ws(" ", "name", F.col("start").cast("string"))).otherwise(F.col("group_key"))
+    return named.select(F.when(is_ranged, F.lit("bucket")).otherwise(F.col("scope")).alias("scope"), key.alias("group_key"), "field_name", "n_values", "p")

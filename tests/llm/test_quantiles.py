@@ -176,3 +176,76 @@ def test_tables_with_nulls_and_repeats(spark):
 
 def test_counts_are_those_of_sql(spark):
     assert_same(spark, f"{DATA}/sf0.001", queries.p3_counts, queries.ORACLE_SQL["p3_counts"])
+
+
+def test_many_requests_of_a_series_are_sketched_once(spark, monkeypatch):
+    """Sketches don't grow with the requests that ask for a bucket, and each request has its own buckets only."""
+    hour, day0 = 3_600_000_000, 1_738_540_800_000_000  # 2025-02-03
+    posts = spark.range(2_000).selectExpr("id AS post_id", "'k.a' AS index_name", f"CAST(timestamp_micros({day0} + id * 43000000) AS timestamp_ntz) AS ts", "map('f', double(id), 'g', double(-id)) AS value").repartition(4)
+    requests = spark.range(300).selectExpr("id AS grid_id", "'k.a' AS index_name", f"CAST(timestamp_micros({day0} + id % 20 * {hour}) AS timestamp_ntz) AS from_time", f"CAST(timestamp_micros({day0} + (id % 20 + 1 + 40 * int(id % 3 = 0)) * {hour}) AS timestamp_ntz) AS to_time", "if(id % 2 = 0, 'hour', '60minutes') AS group_spec", "if(id = 299, 'g', 'f') AS field_name")
+    queries_ = spark.createDataFrame([("k.a", "day"), ("k.b", "day")], "index_name string, group_text string")
+    rollups = spark.createDataFrame([], "rollup_id long, index_name string, level_name string, bucket_start timestamp_ntz, field_name string, sum_v double")
+    seen, merged = [], Q._merged
+    monkeypatch.setattr(Q, "_merged", lambda sketches, q: seen.append(sketches) or merged(sketches, q))
+    got = {(r.group_key, r.field_name): (r.n_values, r.p[0]) for r in Q.reading_percentiles(posts, requests, queries_, rollups, (0.5,)).where("scope = 'bucket'").collect()}
+    want: dict = {}
+    for k in range(2_000):
+        at = k * 43_000_000
+        for g in range(300):
+            if g % 20 * hour <= at < (g % 20 + 1 + 40 * (g % 3 == 0)) * hour:
+                want.setdefault((f"grid {g} {day0 + at // hour * hour}", "g" if g == 299 else "f"), []).append(-k if g == 299 else k)
+        for f, x in (("f", k), ("g", -k)):
+            want.setdefault((f"query k.a {24 * hour} {day0 + at // (24 * hour) * 24 * hour}", f), []).append(x)
+    assert {k: n for k, (n, _) in got.items()} == {k: len(v) for k, v in want.items()}
+    assert all(np.isclose(got[k][1], sorted(v)[(len(v) - 1) // 2], rtol=1e-6) for k, v in want.items())
+    assert len(want) > 1_500 and seen[0].count() < 400
+
+
+def test_what_is_asked_of_a_slot_holds_over_tables(monkeypatch):
+    """A slot that is read in many tables, and pairs cut into many steps, give the same counts; a series without requests has no buckets."""
+    import pyarrow as pa
+
+    ask = pa.struct([("field_name", pa.string()), ("every", pa.int64()), ("begin_us", pa.int64()), ("end_us", pa.int64())])
+    schema = pa.schema([("index_name", pa.string()), ("slot", pa.int64()), ("us", pa.int64()), ("value", pa.map_(pa.string(), pa.float64())), ("ask", ask)])
+    rows = [("a", s, None, None, {"field_name": f, "every": w, "begin_us": s * Q.SLOT_US, "end_us": (s + 1) * Q.SLOT_US - 50}) for s in (0, 1) for f, w in (("f", 10), ("f", 7), ("x", 10), (None, -1))]
+    rows += [("a", s, s * Q.SLOT_US + k, [("f", 1.0), ("g", 2.0)], None) for s in (0, 1) for k in (*range(100), Q.SLOT_US - 10)] + [("b", 0, k, [("f", 3.0)], None) for k in range(50)]
+    rows.sort(key=lambda r: (r[0], r[1], r[2] is not None, r[2] or 0))
+    table = pa.Table.from_pylist([dict(zip(schema.names, r)) for r in rows], schema=schema)
+
+    def counts(flush):
+        monkeypatch.setattr(Q, "FLUSH_VALUES", flush)
+        out: dict = {}
+        for b in Q._sketch_readings(iter(table.to_batches(max_chunksize=9))):
+            for r in b.to_pylist():
+                k = r["scope"], r["group_key"], r["field_name"]
+                out[k] = out.get(k, 0) + int(np.frombuffer(r["sketch"], Q.ENTRY)["count"].sum())
+        return out
+
+    whole = counts(1_000_000)
+    assert counts(40) == whole == counts(4)
+    assert whole["ranged", "10 0 a", "f"] == 10 and sum(n for (s, k, _), n in whole.items() if s == "ranged" and k.startswith("7 ")) == 200
+    assert {(k, f): n for (s, k, f), n in whole.items() if s == "bucket"} == {("query a -1 0", "f"): 200, ("query a -1 0", "g"): 200}
+    assert whole["series", "b", "f"] == 50 and whole["kind", "a", "g"] == 202
+
+
+def test_merging_goes_on_after_a_flush(monkeypatch):
+    """More bytes in a task than are merged at once, under the schema that Spark gives, where ``h`` can't be null."""
+    import pyarrow as pa
+
+    schema = pa.schema([pa.field("h", pa.int64(), nullable=False), ("scope", pa.string()), ("group_key", pa.string()), ("field_name", pa.string()), ("bits", pa.int8()), ("sketch", pa.binary())])
+    rng = np.random.default_rng(2)
+    hot = rng.normal(50, 9, (12, 9_000))
+    small = Q.DyadicSketch().add(Q.encode(np.arange(5.0)), np.ones(5, "int64"))
+    rows = [(h, "s", f"g{h}", "f", small.bits, small.to_bytes()) for h in range(5) for _ in range(40)]
+    rows += [(7, "s", "hot", "f", x.bits, x.to_bytes()) for x in (Q.DyadicSketch().add(*np.unique(Q.encode(v), return_counts=True)) for v in hot)]
+    rows += [(9, "s", "g9", "f", small.bits, small.to_bytes())]
+    batches = [pa.RecordBatch.from_arrays([pa.array(c, t.type) for c, t in zip(zip(*rows[k : k + 7]), schema)], schema=schema) for k in range(0, len(rows), 7)]
+
+    def run(at_once):
+        monkeypatch.setattr(Q, "FLUSH_BYTES", at_once)
+        return {r["group_key"]: (r["n_values"], r["p"]) for b in Q._merge((0.2, 0.5, 0.9))(iter(batches)) for r in b.to_pylist()}
+
+    got = run(1_000)
+    assert got == run(100_000) == run(1 << 30)
+    assert {k: n for k, (n, _) in got.items()} == {**{f"g{h}": 200 for h in range(5)}, "hot": hot.size, "g9": 5}
+    assert max(rank_error(hot.ravel(), x, q) for x, q in zip(got["hot"][1], (0.2, 0.5, 0.9))) <= Q.RANK_ERROR
